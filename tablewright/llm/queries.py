@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablewright.functions.parse import EDGE_SPACE, MISSING_TOKENS, label_missing
+from tablewright.llm import quantiles as Q
 from tablewright.llm.packing import pack_items
 from tablewright.llm.splitting import split_documents
 from tablewright.llm.tokenizer import count_tokens, default_vocabulary, encode_documents
@@ -13,6 +15,32 @@ from tablewright.plans.tables import table
 CONTAINER, PIECE, OVERLAP = 4096, 1024, 64
 
 
+P2_COLUMNS, PER_MILLE = ["X21_systolic", "X20_heart_rate"], [50, 250, 500, 750, 950]
+
+
+def department_summaries(spark: SparkSession, sf: str, unit: str) -> DataFrame:
+    """Summaries by department (without edge spaces and letter case, missing ones under null) and load or day."""
+    department = F.when(~label_missing(F.col("X50_department")), F.upper(F.regexp_replace("X50_department", EDGE_SPACE, "")))
+    keys = {"load": F.col("load_id").alias("load_id"), "day": F.to_date("appt_ts").cast("string").alias("day")}
+    rows = table(spark, sf, "encounters").select(department.alias("department"), keys[unit], *P2_COLUMNS)
+    return Q.summarise(rows, ["department", "load_id" if unit == "load" else "day"], P2_COLUMNS)
+
+
+def p2_percentiles(spark: SparkSession, sf: str) -> DataFrame:
+    return Q.percentiles(department_summaries(spark, sf, "load"), ["department", "load_id"], PER_MILLE)
+
+
+def p2_days(spark: SparkSession, sf: str) -> DataFrame:
+    return Q.percentiles(department_summaries(spark, sf, "day"), ["department", "day"], PER_MILLE)
+
+
+def p2_months(spark: SparkSession, sf: str) -> DataFrame:
+    """From the summaries of the days, without a look at the rows."""
+    days = department_summaries(spark, sf, "day")
+    months = Q.merge_summaries(days.withColumn("month", F.substring("day", 1, 7)), ["department", "month"], spread=31)
+    return Q.percentiles(months, ["department", "month"], PER_MILLE)
+
+
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode_documents(table(spark, sf, "documents"), "doc_id", "text", default_vocabulary())
 
@@ -43,5 +71,21 @@ def p9_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return split_posts(spark, sf)
 
 
-QUERIES = {"p7_ids": p7_ids, "p8_found": p8_found, "p8_containers": p8_containers, "p9_found": p9_found, "p9_pieces": p9_pieces}
-SQL: dict[str, str] = {}
+QUERIES = {"p2_percentiles": p2_percentiles, "p2_days": p2_days, "p2_months": p2_months, "p7_ids": p7_ids, "p8_found": p8_found, "p8_containers": p8_containers, "p9_found": p9_found, "p9_pieces": p9_pieces}
+
+_BLANK = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]+"
+_BARE = f"regexp_replace(regexp_replace(X50_department, '^{_BLANK}', ''), '{_BLANK}$', '')"
+_LOST = ", ".join(sorted({f"'{t.lower()}'" for t in MISSING_TOKENS}))
+
+
+def _p2_sql(unit: str, name: str) -> str:
+    """Exact percentiles; the summaries are exact for groups below their buffer size."""
+    picks = ", ".join(f"max(case when rn = greatest(1, ({p} * n + 999) // 1000) then v end) as p{p:03d}" for p in PER_MILLE)
+    cells = " union all ".join(f"select case when lower({_BARE}) not in ({_LOST}) then upper({_BARE}) end as department, {unit} as {name}, '{c}' as column_name, {c} as v from encounters where {c} is not null and not isnan({c})" for c in P2_COLUMNS)
+    return f"""
+with cells as ({cells}),
+ranked as (select *, row_number() over (partition by department, {name}, column_name order by v) as rn, count(*) over (partition by department, {name}, column_name) as n from cells)
+select department, {name}, column_name, max(n) as n, 0::bigint as rank_error, {picks} from ranked group by 1, 2, 3"""
+
+
+SQL: dict[str, str] = {"p2_percentiles": _p2_sql("load_id", "load_id"), "p2_days": _p2_sql("appt_ts::date::varchar", "day")}
