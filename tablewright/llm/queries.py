@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.parse import EDGE_SPACE, MISSING_TOKENS, label_missing
 from tablewright.llm import quantiles as Q
+from tablewright.llm import vectors as V
+from tablewright.llm.clusters import Clustering, cluster_rows, linked_groups
 from tablewright.llm.packing import pack_items
 from tablewright.llm.splitting import split_documents
 from tablewright.llm.tokenizer import count_tokens, default_vocabulary, encode_documents
@@ -41,6 +43,47 @@ def p2_months(spark: SparkSession, sf: str) -> DataFrame:
     return Q.percentiles(months, ["department", "month"], PER_MILLE)
 
 
+P4_FIELDS, P4_RADIUS, P4_PARTNERS = ["X20_heart_rate", "X22_diastolic", "X25_weight_lb"], 0.35, 5
+P6_FIELDS, P6_RADIUS, P6_LEAST = ["X21_systolic", "X23_temperature", "X40_skewed"], 0.5, 5
+READINGS, EVERY, NEIGHBOURS = 8, 20, 10
+
+
+def profile_vectors(spark: SparkSession, sf: str, fields: list[str]) -> DataFrame:
+    """The scales, one row per field, are a parameter and small by their nature."""
+    scales = {r.field_name: (r.field_name, r.centre, r.spread) for r in table(spark, sf, "vital_scales").where(F.col("field_name").isin(fields)).collect()}
+    return V.scaled_vectors(table(spark, sf, "vital_profiles"), "vec_id", [scales[f] for f in fields], READINGS)
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    near = V.similar_rows(profile_vectors(spark, sf, P4_FIELDS), P4_PARTNERS, P4_RADIUS)
+    return near.select(F.least("id", "other").alias("vec_id_a"), F.greatest("id", "other").alias("vec_id_b")).distinct()
+
+
+def p4_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    """The nearest rows of every row whose id is divisible by 20, among all rows."""
+    rows = profile_vectors(spark, sf, P4_FIELDS)
+    near = V.search(rows.where(F.col("id") % EVERY == 0), rows, NEIGHBOURS)
+    return near.select(F.col("id").alias("vec_id"), "rank", F.col("other").alias("neighbour"), F.round("distance", 9).alias("distance"))
+
+
+def clustered_profiles(spark: SparkSession, sf: str) -> Clustering | None:
+    return cluster_rows(profile_vectors(spark, sf, P6_FIELDS))
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    made = clustered_profiles(spark, sf)
+    if made is None:
+        return spark.createDataFrame([], "group_id long, vec_id long")
+    return linked_groups(made, P6_RADIUS, P6_LEAST).select("group_id", F.col("id").alias("vec_id"))
+
+
+def p6_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    made = clustered_profiles(spark, sf)
+    if made is None:
+        return spark.createDataFrame([], "cluster int, size long, mean_distance double, rank int, vec_id long, distance double")
+    return made.described().withColumnRenamed("id", "vec_id")
+
+
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode_documents(table(spark, sf, "documents"), "doc_id", "text", default_vocabulary())
 
@@ -71,7 +114,7 @@ def p9_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return split_posts(spark, sf)
 
 
-QUERIES = {"p2_percentiles": p2_percentiles, "p2_days": p2_days, "p2_months": p2_months, "p7_ids": p7_ids, "p8_found": p8_found, "p8_containers": p8_containers, "p9_found": p9_found, "p9_pieces": p9_pieces}
+QUERIES = {"p2_percentiles": p2_percentiles, "p2_days": p2_days, "p2_months": p2_months, "p4_found": p4_found, "p4_nearest": p4_nearest, "p6_found": p6_found, "p6_clusters": p6_clusters, "p7_ids": p7_ids, "p8_found": p8_found, "p8_containers": p8_containers, "p9_found": p9_found, "p9_pieces": p9_pieces}
 
 _BLANK = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]+"
 _BARE = f"regexp_replace(regexp_replace(X50_department, '^{_BLANK}', ''), '{_BLANK}$', '')"

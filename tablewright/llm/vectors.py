@@ -40,10 +40,14 @@ def scaled_vectors(df: DataFrame, key: str, scales: list[tuple[str, float, float
         c = F.col(f"`{field}`")
         fine = F.forall(c, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
         whole = whole & F.coalesce((F.size(c) == length) & fine, F.lit(False))
-        parts.append(F.transform(c, lambda x, m=centre, s=spread: (x - F.lit(float(m))) / F.lit(float(s))))
+        parts.append(F.transform(c, _scaling(centre, spread)))
     return df.where(whole).select(F.col(f"`{key}`").cast("long").alias("id"), F.concat(*parts).alias("v"))
 
 
+def _scaling(centre: float, spread: float):
+    return lambda x: (x - F.lit(float(centre))) / F.lit(float(spread))
+
+
 def matrix(column: pa.Array) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return np.asarray(column.flatten(), np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
