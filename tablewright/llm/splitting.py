@@ -20,11 +20,13 @@ from tablewright.llm.tokenizer import Vocabulary, _offsets, spread
 
 #: Letters by strength: paragraph, line, sentence, word, character; X ends inside a character.
 BREAKS = "PLSWCX"
-_SPACE_WITH_LINES = regex.compile(r"\s*[\r\n  ]\s*")
-_LINE_END = regex.compile(r"\r\n|[\r\n  ]")
+_LETTERS = np.frombuffer(BREAKS.encode(), np.uint8)
+_LINES = regex.compile(r"[\r\n\u2028\u2029]\s*")
+_LINE_END = regex.compile(r"\r\n|[\r\n\u2028\u2029]")
 _TAG_BREAK = regex.compile(r"(?:<br\s*/?>\s*){2,}|</p>|</blockquote>|<br\s*/?>", regex.I)
 _SENTENCE = regex.compile(r"[.!?…。！？][\"'”’)\]]*(?=\s)")
-_WORD = regex.compile(r"(?<=\S)(?=\s)|(?<=\s)(?=\S)")
+#: Code points that str.isspace() holds for.
+_SPACES = np.array([c for c in range(0x3001) if chr(c).isspace()], np.uint32)
 #: A character has at most four bytes and so at most four tokens.
 CHAR_TOKENS = 4
 
@@ -36,11 +38,12 @@ def break_letters(text: str, ids: list[int], lengths: np.ndarray) -> tuple[str,
     ends = np.cumsum(lengths[np.asarray(ids, np.int64)])
     chars = np.cumsum(starts) - 1
     strength = np.full(len(text) + 1, 4, np.uint8)
-    strength[np.fromiter((m.start() for m in _WORD.finditer(text)), np.int64)] = 3
+    space = np.isin(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), _SPACES)
+    strength[1:-1][space[1:] != space[:-1]] = 3
     strength[np.fromiter((m.end() for m in _SENTENCE.finditer(text)), np.int64)] = 2
     for m in _TAG_BREAK.finditer(text):
         strength[m.end()] = 1 if m[0].lower().count("<") == 1 and m[0][1] in "bB" and m[0][2] in "rR" else 0
-    for m in _SPACE_WITH_LINES.finditer(text):
+    for m in _LINES.finditer(text):
         lines = [x.end() for x in _LINE_END.finditer(m[0])]
         strength[m.start() + lines[0] : m.end() + 1] = 1
         if len(lines) > 1:
@@ -48,7 +51,7 @@ def break_letters(text: str, ids: list[int], lengths: np.ndarray) -> tuple[str,
     whole = starts[ends]
     at = chars[ends]
     letter = np.where(whole, strength[at], 5)
-    return "".join(BREAKS[i] for i in letter), at
+    return _LETTERS[letter].tobytes().decode(), at
 
 
 def marks_column(spark, vocabulary: Vocabulary, above: int):
@@ -72,7 +75,8 @@ def marks_column(spark, vocabulary: Vocabulary, above: int):
                 fields=list(kind),
             )
 
-    return F.arrow_udf(mark, "struct<n_tokens: int, letters: string, ends: array<int>>")
+    # marked as nondeterministic: a filter on the result must not evaluate it a second time
+    return F.arrow_udf(mark, "struct<n_tokens: int, letters: string, ends: array<int>>").asNondeterministic()
 
 
 def cut_pattern(first: int, later: int, least: int) -> str:
