@@ -20,6 +20,10 @@ EDGE_SPACE = r"^[\s\p{Z}\x1c-\x1f\x85]+|[\s\p{Z}\x1c-\x1f\x85]+$"
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 
+#: A text of white space only.
+BLANK = r"^[\s\p{Z}\x1c-\x1f\x85]*\z"
+
+
 def name(column: str) -> Column:
     """A column by its exact name, dots and all."""
     return F.col("`" + column.replace("`", "``") + "`")
@@ -50,6 +54,10 @@ def as_number(c: Column, kind: T.DataType, tokens: tuple[str, ...] = MISSING_TOK
     return F.lit(None).cast("double")
 
 
+def is_blank(c: Column) -> Column:
+    return c.rlike(BLANK)
+
+
 def label_missing(c: Column) -> Column:
     """Whether a label is null or, without surrounding white space and letter case, empty or a missing token."""
     folded = F.lower(F.regexp_replace(c, EDGE_SPACE, ""))

@@ -46,5 +46,9 @@ NUMERIC_FEATURES = [c for c in NUMERIC if c not in ("PAT_ID", "Y1", "Y2", "Y3",
 CLEAN = "clean as (select row_id, " + ", ".join(f"{clean(c)} as {c}" for c in FIELDS) + " from encounters)"
 
 
+def blank(c: str) -> str:
+    return f"regexp_full_match({c}, '[\\s\\x0b\\x1c-\\x1f\\x{{85}}\\p{{Z}}]*')"
+
+
 def union(parts: list[str]) -> str:
     return "\nunion all ".join(parts)
