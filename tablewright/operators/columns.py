@@ -7,7 +7,7 @@ loads all come from the counts and never from the rows again.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -74,22 +74,35 @@ def apply_deltas(counts: DataFrame | None, *deltas: DataFrame) -> DataFrame:
     return every.groupBy("load_id", "c", "num", "label").agg(F.sum("cnt").alias("cnt")).where("cnt <> 0")
 
 
-@dataclass
+@dataclass(frozen=True)
 class CountStore:
-    """Count tables kept under a path, one version per commit; a version is complete before the next reads it."""
+    """Count tables kept under a path, one folder per version. Only complete versions count, so a commit that is cut short
+    leaves the one before it in force; a new store at the same path goes on from there."""
 
     spark: SparkSession
     path: str
     columns: list[str]
-    versions: list[int] = field(default_factory=list)
 
-    def counts(self) -> DataFrame | None:
-        return self.spark.read.schema(COUNTS).parquet(f"{self.path}/v{self.versions[-1]}") if self.versions else None
+    def version(self) -> int:
+        """The newest complete version, 0 before the first."""
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(p):
+            return 0
+        names = [x.getPath().getName() for x in fs.listStatus(p)]
+        done = [int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
+        return max(done, default=0)
 
-    def commit(self, *deltas: DataFrame) -> DataFrame:
-        nxt = self.versions[-1] + 1 if self.versions else 1
-        apply_deltas(self.counts(), *deltas).write.mode("overwrite").parquet(f"{self.path}/v{nxt}")
-        self.versions.append(nxt)
+    def counts(self) -> DataFrame | None:
+        at = self.version()
+        return self.spark.read.schema(COUNTS).parquet(f"{self.path}/v{at}") if at else None
+
+    def commit(self, *deltas: DataFrame, version: int | None = None) -> DataFrame | None:
+        """Apply deltas. With a version that is there already (a replayed batch) nothing happens."""
+        now = self.version()
+        to = now + 1 if version is None else version
+        if to > now:
+            apply_deltas(self.counts(), *deltas).write.mode("overwrite").parquet(f"{self.path}/v{to}")
         return self.counts()
 
 
