@@ -93,7 +93,7 @@ class _Numbers:
         if not self.bounds[i]:
             return F.col(f"_n{i}")
         low, high = self.bounds[i]
-        return F.greatest(F.least(F.col(f"_n{i}"), F.lit(high)), F.lit(low))
+        return F.when(F.col(f"_n{i}").isNotNull(), F.greatest(F.least(F.col(f"_n{i}"), F.lit(high)), F.lit(low)))
 
     def _hubs(self, rows: DataFrame) -> tuple[DataFrame, list[DataFrame], list[float | None]]:
         """Per edge and hub the mean of all votes and the number of observed ones. All edges in one grouping: a row is
