@@ -297,10 +297,10 @@ def similar_rows(vectors: DataFrame, k: int, radius: float) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(d, pa.float64())], names=["id", "other", "distance"])
 
     found = over_tiles(tiled(assigned(few.select("id", "v"), cells, radius)), "id long, other long, distance double", use)
-    # a row that repeats under one id finds each partner once per repetition
-    found = found.groupBy("id", "other").agg(F.min("distance").alias("distance"))
     crowded = few.where(F.col("_n") == k + 1).select("v")
-    found = found.unionByName(_beyond(vectors, few, crowded, k))
+    # a row that repeats under one id finds each partner once per repetition, and the first row left out of a crowd may find
+    # its partners in the tiles as well
+    found = found.unionByName(_beyond(vectors, few, crowded, k)).groupBy("id", "other").agg(F.min("distance").alias("distance"))
     nearest = Window.partitionBy("id").orderBy("distance", "other")
     return found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
 
