@@ -20,9 +20,11 @@ from pyspark.sql import functions as F
 from tablewright.llm.vectors import Cells, assigned, matrix, over_tiles, spread_centres, tile_pairs, tiled
 from tablewright.plans.shared import sized_join, written
 
-#: Leaf entries of a tree at most; entries of an inner node; trees merged into one; Ward clusters.
+#: Leaf entries of the first tree at most; entries of an inner node; trees merged into one; Ward clusters.
 LEAVES, BRANCH, FAN_IN, CLUSTERS = 512, 32, 8, 24
-LEAF = "part int, n double, ls array<double>, ss double"
+#: Leaves in all after heavy ones are refined, about; rows below which a leaf isn't heavy.
+CELLS, LEAST_SHARE = 1024, 64
+LEAF = "part int, node int, n double, ls array<double>, ss double"
 
 
 class FeatureTree:
@@ -143,47 +145,85 @@ class FeatureTree:
         return self.insert(np.ones(len(x)), x, (x**2).sum(1))
 
 
-def feature_leaves(vectors: DataFrame, leaves: int = LEAVES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(n, linear sums, sums of squares) of the leaves of one tree over all rows; at most `leaves` entries reach the driver."""
+def feature_leaves(vectors: DataFrame, budgets: dict[int, int], cells: Cells | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(n, linear sums, sums of squares) of the leaves of one tree for each node of `budgets`, which gives its number of
+    leaves at most; so many entries reach the driver. Without cells all rows are under node 0; with them a row is under
+    the cell it belongs to, and rows under other cells are left out."""
 
-    def batch(part: int, tree: FeatureTree | None) -> Iterator[pa.RecordBatch]:
-        if tree is not None and len(tree.n):
-            flat = pa.ListArray.from_arrays(np.arange(0, tree.ls.size + 1, tree.dims, np.int32), tree.ls.ravel())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(tree.n), part, np.int32)), pa.array(tree.n), flat, pa.array(tree.ss)], names=["part", "n", "ls", "ss"])
+    def batch(part: int, trees: dict[int, FeatureTree]) -> Iterator[pa.RecordBatch]:
+        for node, tree in trees.items():
+            if len(tree.n):
+                flat = pa.ListArray.from_arrays(np.arange(0, tree.ls.size + 1, tree.dims, np.int32), tree.ls.ravel())
+                number = lambda v: pa.array(np.full(len(tree.n), v, np.int32))  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([number(part), number(node), pa.array(tree.n), flat, pa.array(tree.ss)], names=["part", "node", "n", "ls", "ss"])
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = None
+        trees: dict[int, FeatureTree] = {}
         for b in batches:
             if len(b):
                 x = matrix(b.column("v"))
-                tree = (tree or FeatureTree(x.shape[1], leaves)).rows(x)
-        yield from batch(TaskContext.get().partitionId(), tree)
+                home = np.zeros(len(x), np.int64) if cells is None else cells.home(x)[0]
+                for node in np.unique(home).tolist():
+                    if node in budgets:
+                        trees.setdefault(node, FeatureTree(x.shape[1], budgets[node])).rows(x[home == node])
+        yield from batch(TaskContext.get().partitionId(), trees)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Entries of one partition come sorted by their new part; one tree is open at a time."""
+        """Entries of one partition come sorted by their new part and node; one tree is open at a time."""
         tree, now = None, None
         for b in batches:
-            part = b.column("part").to_numpy()
-            for p in np.unique(part):
-                if p != now:
-                    yield from batch(now, tree) if tree is not None else ()
-                    tree, now = None, int(p)
-                own = b.filter(pa.array(part == p))
+            part, node = b.column("part").to_numpy(), b.column("node").to_numpy()
+            cuts = np.flatnonzero((np.diff(part, prepend=-1) != 0) | (np.diff(node, prepend=-1) != 0))
+            for s, e in zip(cuts, [*cuts[1:], len(b)]):
+                key = int(part[s]), int(node[s])
+                if key != now:
+                    yield from batch(now[0], {now[1]: tree}) if tree is not None else ()
+                    tree, now = None, key
+                own = b.slice(s, e - s)
                 ls = matrix(own.column("ls"))
-                tree = (tree or FeatureTree(ls.shape[1], leaves)).insert(own.column("n").to_numpy(), ls, own.column("ss").to_numpy())
-        yield from batch(now, tree) if tree is not None else ()
+                tree = (tree or FeatureTree(ls.shape[1], budgets[key[1]])).insert(own.column("n").to_numpy(), ls, own.column("ss").to_numpy())
+        yield from batch(now[0], {now[1]: tree}) if tree is not None else ()
 
     parts = vectors.rdd.getNumPartitions()
     out = written(vectors.select("v").mapInArrow(grow, LEAF), "leaves")
     while parts > 1:
         parts = -(-parts // FAN_IN)
-        out = out.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("int")).repartition(parts, "part").sortWithinPartitions("part", "n", "ss").mapInArrow(merge, LEAF)
+        tasks = min(parts * len(budgets), 4 * vectors.sparkSession.sparkContext.defaultParallelism)
+        out = out.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("int")).repartition(tasks, "part", "node").sortWithinPartitions("part", "node", "n", "ss").mapInArrow(merge, LEAF)
     got = out.toArrow()
     if not len(got):
         return np.zeros(0), np.zeros((0, 0)), np.zeros(0)
     return got.column("n").to_numpy(), matrix(got.column("ls")), got.column("ss").to_numpy()
 
 
+def distinct_leaves(n: np.ndarray, ls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(n, centres) in a fixed order, leaves with nearly one centre united: the faces between such would be ill-defined."""
+    centres = ls / n[:, None]
+    order = np.lexsort(centres.T[::-1])
+    n, centres = n[order], centres[order]
+    kept = spread_centres(centres)
+    home, _ = Cells(kept).home(centres)
+    return np.bincount(home, n, len(kept)), kept
+
+
+def refined_leaves(vectors: DataFrame, leaves: int, cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """(n, centres) of the leaves of a tree, in which each leaf that holds far more than its share of the rows has become a
+    tree of its own: with `cells` leaves in all, far-off rows don't leave the dense ones to a single leaf."""
+    n, ls, _ = feature_leaves(vectors, {0: leaves})
+    if not len(n):
+        return n, ls
+    n, centres = distinct_leaves(n, ls)
+    share = max(LEAST_SHARE, n.sum() / cells)
+    heavy = np.flatnonzero(n > 2 * share)
+    if not len(heavy):
+        return n, centres
+    budgets = {int(i): int(max(2, n[i] / share)) for i in heavy}
+    held = Cells(centres)
+    m, sub, _ = feature_leaves(vectors, budgets, held)
+    light = np.setdiff1d(np.arange(len(n)), heavy)
+    return distinct_leaves(np.concatenate([n[light], m]), np.vstack([centres[light] * n[light, None], sub]))
+
+
 def ward(n: np.ndarray, centres: np.ndarray, clusters: int) -> np.ndarray:
     """Cluster number of each leaf: join the two whose union costs least until `clusters` are left."""
     n, c = n.astype(np.float64).copy(), centres.astype(np.float64).copy()
@@ -221,18 +261,15 @@ class Clustering:
         return typical.join(size, "cluster").select("cluster", "size", "mean_distance", "rank", "id", "distance")
 
 
-def cluster_rows(vectors: DataFrame, clusters: int = CLUSTERS, leaves: int = LEAVES) -> Clustering | None:
+def cluster_rows(vectors: DataFrame, clusters: int = CLUSTERS, leaves: int = LEAVES, cells: int = CELLS) -> Clustering | None:
     """Divide the rows of (id, v) into at most `clusters` clusters. None if there are no rows.
 
     Equal vectors share a cluster. The leaves depend on how rows lie in partitions; all rows take part. Rows with equal
     ids are rows of their own.
     """
-    n, ls, ss = feature_leaves(vectors, leaves)
+    n, centres = refined_leaves(vectors, leaves, cells)
     if not len(n):
         return None
-    centres = ls / n[:, None]
-    order = np.lexsort(centres.T[::-1])
-    n, centres = n[order], centres[order]
     label = ward(n, centres, clusters)
     means = np.array([np.average(centres[label == k], axis=0, weights=n[label == k]) for k in range(label.max() + 1)])
     held = vectors.sparkSession.sparkContext.broadcast((Cells(centres), label, means))
@@ -248,7 +285,7 @@ def cluster_rows(vectors: DataFrame, clusters: int = CLUSTERS, leaves: int = LEA
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array(leaf.astype(np.int32)), pa.array(label[leaf].astype(np.int32)), pa.array(distance)], names=["id", "v", "leaf", "cluster", "distance"])
 
     rows = vectors.select("id", "v").mapInArrow(assign, "id long, v array<double>, leaf int, cluster int, distance double")
-    return Clustering(Cells(spread_centres(centres)), label, means, rows)
+    return Clustering(Cells(centres), label, means, rows)
 
 
 def linked_groups(clustering: Clustering, radius: float, least: int) -> DataFrame:
