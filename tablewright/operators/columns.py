@@ -14,11 +14,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.functions.parse import name, value_missing
-from tablewright.plans.shared import written
+from tablewright.plans.shared import fits_broadcast, written
 
 COUNTS = "load_id long, c int, num double, label string, cnt long"
 #: Order-preserving buckets per natural logarithm of the magnitude, for quartiles.
 BUCKETS_PER_LOG = 4096
+QUARTILES = ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))
+#: A load of more rows isn't brought together in one task; cells that a task counts; tasks at most.
+HOT_ROWS, CELLS_PER_TASK, MAX_TASKS = 2_000_000, 1_000_000, 20_000
 
 
 @dataclass(frozen=True)
@@ -122,7 +125,7 @@ def quartiles(counts: DataFrame) -> DataFrame:
     load = Window.partitionBy(*key)
     totals = totals.withColumn("upto", F.sum("own").over(load.orderBy("b").rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("own").over(load))
     wanted = []
-    for i, q in enumerate((0.25, 0.5, 0.75)):
+    for i, (q, _) in enumerate(QUARTILES):
         place = (F.col("n") - 1) * F.lit(q)
         wanted += [(f"lo{i}", F.floor(place)), (f"hi{i}", F.ceil(place))]
     totals = totals.withColumns(dict(wanted)).withColumn("before", F.col("upto") - F.col("own"))
@@ -134,11 +137,7 @@ def quartiles(counts: DataFrame) -> DataFrame:
     near = near.withColumn("end", F.col("before") + F.sum("cnt").over(inside))
     at = [F.max(F.when((F.col(w) >= F.col("end") - F.col("cnt")) & (F.col(w) < F.col("end")), F.col("num"))).alias(w) for w, _ in wanted]
     picked = near.groupBy(*key).agg(F.max("n").alias("n"), *at)
-    out = []
-    for i, (q, to) in enumerate(((0.25, "q1"), (0.5, "median"), (0.75, "q3"))):
-        place = (F.col("n") - 1) * F.lit(q)
-        out.append((F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * (place - F.floor(place))).alias(to))
-    return picked.select(*key, *out)
+    return picked.select(*key, *(_interpolated(i, q).alias(to) for i, (q, to) in enumerate(QUARTILES)))
 
 
 def violation(c: Column, num: Column, label: Column, columns: list[str], specs: list[ColumnSpec]) -> Column:
@@ -156,27 +155,74 @@ def violation(c: Column, num: Column, label: Column, columns: list[str], specs:
     return out
 
 
-def profile(counts: DataFrame, columns: list[str], specs: list[ColumnSpec] = ()) -> DataFrame:
+def _interpolated(i: int, q: float) -> Column:
+    place = (F.col("n") - 1) * F.lit(q)
+    return F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * (place - F.floor(place))
+
+
+def profile(counts: DataFrame, columns: list[str], specs: list[ColumnSpec] = (), ordered: bool = False) -> DataFrame:
     """One row per load and column: row_count, missing, missing_share, distinct_values, min and max (numbers and labels apart), broken,
-    entropy (in nats, of the present values). A column without present values has null ranges and entropy 0."""
+    entropy (in nats, of the present values). A column without present values has null ranges and entropy 0.
+
+    ordered: add q1, median and q3 by ordering the values of each load and column in one task, for loads of bounded size;
+    `quartiles` has no such bound.
+    """
     present = F.col("num").isNotNull() | F.col("label").isNotNull()
     broken = violation(F.col("c"), F.col("num"), F.col("label"), columns, list(specs))
-    agg = counts.groupBy("load_id", "c").agg(
+    key = ["load_id", "c"]
+    picks, out = [], []
+    if ordered:
+        load = Window.partitionBy(*key)
+        number = F.when(F.col("num").isNotNull(), F.col("cnt"))
+        counts = counts.withColumns({"n": F.sum(number).over(load), "_end": F.sum(number).over(load.orderBy("num").rowsBetween(Window.unboundedPreceding, 0))})
+        for i, (q, to) in enumerate(QUARTILES):
+            for edge, at in (("lo", F.floor), ("hi", F.ceil)):
+                want = at((F.col("n") - 1) * F.lit(q))
+                picks.append(F.max(F.when((want >= F.col("_end") - F.col("cnt")) & (want < F.col("_end")), F.col("num"))).alias(f"{edge}{i}"))
+            out.append(_interpolated(i, q).alias(to))
+        picks.append(F.max("n").alias("n"))
+    agg = counts.groupBy(*key).agg(
         F.sum("cnt").alias("row_count"),
         F.coalesce(F.sum(F.when(~present, F.col("cnt"))), F.lit(0)).alias("missing"),
         F.sum(present.cast("long")).alias("distinct_values"),
         F.min("num").alias("min_number"), F.max("num").alias("max_number"), F.min("label").alias("min_label"), F.max("label").alias("max_label"),
         F.coalesce(F.sum(F.when(present & broken, F.col("cnt"))), F.lit(0)).alias("broken"),
         F.sum(F.when(present, F.col("cnt") * F.ln(F.col("cnt").cast("double")))).alias("_clogc"),
+        *picks,
     )
     n = (F.col("row_count") - F.col("missing")).cast("double")
     return agg.select(
         "load_id", "c", "row_count", "missing", (F.col("missing") / F.col("row_count")).alias("missing_share"), "distinct_values",
         "min_number", "max_number", "min_label", "max_label", "broken",
-        F.when(n > 0, F.greatest(F.ln(n) - F.col("_clogc") / n, F.lit(0.0))).otherwise(F.lit(0.0)).alias("entropy"),
+        F.when(n > 0, F.greatest(F.ln(n) - F.col("_clogc") / n, F.lit(0.0))).otherwise(F.lit(0.0)).alias("entropy"), *out,
     )
 
 
+def profile_loads(df: DataFrame, load: str, columns: list[str], specs: list[ColumnSpec] = ()) -> DataFrame:
+    """profile and quartiles of many columns in one pass over the rows.
+
+    The rows of a load are brought together once; counting, profile and quartiles then need no further shuffle, which
+    matters where nearly every value of a column is distinct. Loads above HOT_ROWS aren't brought together: their counts
+    are formed in all tasks and combined.
+    """
+    rows = df.withColumn("_load", name(load).cast("long"))
+    sizes = rows.groupBy("_load").count()
+    total, hot = sizes.agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.sum((F.col("count") > HOT_ROWS).cast("long")), F.lit(0))).first()
+    tasks = int(min(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), total * len(columns) // CELLS_PER_TASK), MAX_TASKS))
+
+    def near(part: DataFrame) -> DataFrame:
+        return profile(delta(part.repartition(tasks, "_load"), "_load", columns), columns, specs, ordered=True)
+
+    if not hot:
+        return near(rows)
+    large = written(sizes.where(F.col("count") > HOT_ROWS).select(F.col("_load").alias("_large")), "hot_loads")
+    same = F.col("_load").eqNullSafe(F.col("_large"))
+    right = F.broadcast(large) if fits_broadcast(large) else large
+    spread = delta(rows.join(right, same, "left_semi"), "_load", columns)
+    far = profile(spread, columns, specs).join(quartiles(spread), ["load_id", "c"], "left")
+    return near(rows.join(right, same, "left_anti")).unionByName(far)
+
+
 def column_names(c: Column, columns: list[str]) -> Column:
     return F.element_at(F.array(*map(F.lit, columns)), c + 1)
 

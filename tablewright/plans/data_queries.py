@@ -61,8 +61,7 @@ def p3_profile(spark: SparkSession, sf: str) -> DataFrame:
     """The profile of every column of every load."""
     rows, specs = table(spark, sf, "encounters"), column_specs(spark, sf)
     names = [c for c in rows.columns if c != "load_id"]
-    counts = written(C.delta(rows, "load_id", names), "counts")
-    out = C.profile(counts, names, specs).join(C.quartiles(counts), ["load_id", "c"], "left")
+    out = C.profile_loads(rows, "load_id", names, specs)
     return out.select(
         "load_id", C.column_names(F.col("c"), names).alias("column_name"), "row_count", "missing", F.round("missing_share", 9).alias("missing_share"), "distinct_values",
         "min_number", "max_number", "min_label", "max_label", "broken", F.round("entropy", 6).alias("entropy"), *(F.round(q, 9).alias(q) for q in ("q1", "median", "q3")),

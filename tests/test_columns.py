@@ -93,3 +93,15 @@ def test_very_long_labels_and_unicode_blanks(spark):
     df = spark.createDataFrame([(1, 1.0, long, ""), (1, 1.0, long, ""), (1, 1.0, "  N/a  ", ""), (1, 1.0, "　", "")], SCHEMA)
     r = C.profile(C.delta(df, "load_id", ["y"]), ["y"]).first()
     assert (r.missing, r.distinct_values, len(r.max_label), math.isclose(r.entropy, 0)) == (2, 1, 200_000, True)
+
+
+def shown(df):
+    return sorted(repr([round(v, 9) if isinstance(v, float) else v for v in r]) for r in df.collect())
+
+
+def test_hot_loads_get_the_same_profile(spark, monkeypatch):
+    df = spark.createDataFrame([*rows(4), (None, 1.0, "a", "")], SCHEMA)
+    want = shown(C.profile_loads(df, "load_id", ["x", "y"]))
+    monkeypatch.setattr(C, "HOT_ROWS", 70)
+    got = shown(C.profile_loads(df, "load_id", ["x", "y"]))
+    assert got == want and len(got) == 14
