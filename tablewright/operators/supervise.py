@@ -180,10 +180,10 @@ def _boosters(model) -> list:
 
 
 def _nodes(node) -> list[tuple]:
-    """(feature, gain) of every split, from the JVM tree."""
+    """(feature, gain) of every split, from the JVM tree; a split's gain is its fall of impurity times the rows it divides."""
     if node.subtreeDepth() == 0:
         return []
-    return [(node.split().featureIndex(), node.gain()), *_nodes(node.leftChild()), *_nodes(node.rightChild())]
+    return [(node.split().featureIndex(), node.gain() * node.impurityStats().count()), *_nodes(node.leftChild()), *_nodes(node.rightChild())]
 
 
 def gain_importance(model, names: list[str]) -> dict[str, float]:
