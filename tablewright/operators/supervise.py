@@ -17,11 +17,13 @@ from pyspark.sql import functions as F
 from tablewright.config import ImportanceConfig
 from tablewright.functions.parse import as_number, name
 from tablewright.operators.roles import Roles, present
-from tablewright.plans.shared import fits_broadcast, written
+from tablewright.plans.shared import fits_broadcast, numbered_in_order, written
 
 CLASSIFICATION, REGRESSION = "classification", "regression"
 #: Stands for a missing value in tree input, beside an indicator column.
 SENTINEL = -999_999_999.0
+#: Held-out rows among which a feature's values are shuffled, about.
+SHUFFLE_BLOCK = 20_000
 
 
 def infer_task(df: DataFrame, target: str, max_classes: int = 10) -> str:
@@ -47,9 +49,8 @@ def prepare_target(df: DataFrame, target: str, task: str) -> Column:
 
 
 def codes(df: DataFrame, column: str) -> DataFrame:
-    """(value, code): the distinct present values in sorted order, numbered from 0. The numbering is over distinct values only."""
-    values = df.select(present(df, column).alias("value")).where("value IS NOT NULL").distinct()
-    return values.withColumn("code", (F.row_number().over(Window.orderBy("value")) - 1).cast("long"))
+    """(value, code): the distinct present values in sorted order, numbered from 0."""
+    return numbered_in_order(df.select(present(df, column).alias("value")).where("value IS NOT NULL").distinct(), "value", "code")
 
 
 def ordinal_encode(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -112,10 +113,9 @@ def auc(df: DataFrame, label: str, score: str) -> DataFrame:
     """(auc) by rank sum with average ties; null unless there are exactly two classes. The greater label is the positive one."""
     from tablewright.functions.stats import average_ranks
 
-    ends = df.agg(F.min(name(label)).alias("lo"), F.max(name(label)).alias("hi"))
-    marked = df.crossJoin(F.broadcast(ends)).select(  # one row
-        F.lit(0).alias("g"), name(score).cast("double").alias("s"), (name(label) == F.col("hi")).cast("long").alias("pos"), ((name(label) != F.col("hi")) & (name(label) != F.col("lo"))).cast("long").alias("other")
-    )
+    low, high = df.agg(F.min(name(label)), F.max(name(label))).first()
+    y = name(label)
+    marked = df.select(F.lit(0).alias("g"), name(score).cast("double").alias("s"), (y == F.lit(high)).cast("long").alias("pos"), ((y != F.lit(high)) & (y != F.lit(low))).cast("long").alias("other"))
     counts = marked.groupBy("g", "s").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("pos"), F.sum("other").alias("other"))
     ranked = counts.join(average_ranks(counts.select("g", "s", "n"), ["g"], "s", "n"), ["g", "s"])
     sums = ranked.agg(F.sum("pos").cast("double").alias("p"), F.sum(F.col("n") - F.col("pos")).cast("double").alias("q"), F.sum(F.col("pos") * F.col("rank")).alias("r"), F.sum("other").alias("o"))
@@ -201,10 +201,11 @@ def permutation_importance(model, test: DataFrame, names: list[str], task: str,
     """Mean fall of accuracy or R2 when a feature (with its indicator) is shuffled. The copies of the held-out rows for all
     features and repeats are scored in one job."""
     features = list(dict.fromkeys(names))
-    base = test.select(key, "label", vector_to_array("features").alias("x")).withColumn("r", F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64(key), F.lit(64))).orderBy(key)))
-    base = written(base.withColumn("b", F.pmod(F.xxhash64(key), F.lit(64)).cast("int")), "held_out")
+    blocks = max(1, test.count() // SHUFFLE_BLOCK)
+    base = test.select(key, "label", vector_to_array("features").alias("x"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("b"))
+    base = written(base.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy(key))), "held_out")
     trial = base.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(len(features) * repeats - 1))))
-    # within each of 64 hash blocks the donor of a row is the row of the same number in a shuffled order
+    # within each hash block the donor of a row is the row of the same number in a shuffled order
     shuffled = trial.select("t", "b", F.col("x").alias("donor"), F.row_number().over(Window.partitionBy("t", "b").orderBy(F.xxhash64(F.col(key), F.col("t"), F.lit(seed)))).alias("r"))
     mixed = trial.join(shuffled, ["t", "b", "r"])
     which = (F.col("t") % len(features)).cast("int")

@@ -59,7 +59,8 @@ def constant_columns(df: DataFrame) -> DataFrame:
 
 
 def row_count(df: DataFrame, original: DataFrame) -> DataFrame:
-    counts = df.agg(F.count(F.lit(1)).alias("now")).crossJoin(original.agg(F.count(F.lit(1)).alias("was")))
+    sides = df.agg(F.count(F.lit(1)).alias("now"), F.lit(None).cast("long").alias("was")).unionByName(original.agg(F.lit(None).cast("long").alias("now"), F.count(F.lit(1)).alias("was")))
+    counts = sides.agg(F.max("now").alias("now"), F.max("was").alias("was"))
     return counts.where("now <> was").select(F.lit("row_count").alias("check_name"), F.lit(None).cast("string").alias("column_name"), F.concat(F.col("was").cast("string"), F.lit(" rows became "), F.col("now").cast("string")).alias("detail"))
 
 

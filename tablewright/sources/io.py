@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pathlib import PurePosixPath
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -123,12 +123,17 @@ def write_frame(df: DataFrame, path: str, single_file: bool = False) -> str:
 
 
 def with_row_key(df: DataFrame, column: str = "_row_id") -> DataFrame:
-    """Number the rows from 0 in the order of the files. The numbers follow from one pass that counts partitions; they are
-    the same for the same file listing."""
+    """Number the rows from 0 in the order of the files. A first pass counts the rows of each task of the scan, which gives
+    where its numbers begin; the same file listing gives the same numbers. df must be a scan and what is selected from it."""
     if column in df.columns:
         raise SourceError(f"the table has a column {column!r} already")
-    schema = T.StructType([*df.schema.fields, T.StructField(column, T.LongType(), False)])
-    return df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])).toDF(schema)
+    tagged = df.withColumn(column, F.monotonically_increasing_id())
+    task = F.shiftright(column, 33).cast("int")
+    upto = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, 0)
+    starts = tagged.groupBy(task.alias("_task")).agg(F.count(F.lit(1)).alias("_n")).select("_task", (F.sum("_n").over(upto) - F.col("_n")).alias("_start"))
+    # one row per task of the scan
+    numbered = tagged.withColumn("_task", task).join(F.broadcast(starts), "_task")
+    return numbered.select(*(name(c) for c in df.columns), (F.col("_start") + F.col(column).bitwiseAND(F.lit((1 << 33) - 1))).alias(column))
 
 
 def load(spark: SparkSession, path: str, config: SchemaConfig = SchemaConfig(), as_text: bool = False, **options) -> tuple[DataFrame, Roles]:
