@@ -131,4 +131,29 @@ ranked as (select *, row_number() over (partition by department, {name}, column_
 select department, {name}, column_name, max(n) as n, 0::bigint as rank_error, {picks} from ranked group by 1, 2, 3"""
 
 
-SQL: dict[str, str] = {"p2_percentiles": _p2_sql("load_id", "load_id"), "p2_days": _p2_sql("appt_ts::date::varchar", "day")}
+def _vectors_sql(fields: list[str]) -> str:
+    """Complete rows and their scaled readings."""
+    fine = " and ".join(f"len({f}) = {READINGS} and list_count({f}) = {READINGS} and len(list_filter({f}, lambda x: isnan(x))) = 0" for f in fields)
+    one = ", ".join(f"max(case when field_name = '{f}' then centre end) as c{i}, max(case when field_name = '{f}' then spread end) as s{i}" for i, f in enumerate(fields))
+    scaled = " || ".join(f"list_transform({f}, lambda x: (x - c{i}) / s{i})" for i, f in enumerate(fields))
+    return f"scales as (select {one} from vital_scales), vecs as materialized (select vec_id, ({scaled})::double[{READINGS * len(fields)}] as v from vital_profiles, scales where {fine})"
+
+
+def _close_sql(fields: list[str], radius: float) -> str:
+    return f"{_vectors_sql(fields)}, close as (select a.vec_id as vec_id_a, b.vec_id as vec_id_b from vecs a join vecs b on a.vec_id < b.vec_id where array_distance(a.v, b.v) <= {radius})"
+
+
+SQL: dict[str, str] = {
+    "p2_percentiles": _p2_sql("load_id", "load_id"),
+    "p2_days": _p2_sql("appt_ts::date::varchar", "day"),
+    "p4_found": f"with {_close_sql(P4_FIELDS, P4_RADIUS)} select * from close",
+    "p4_nearest": f"""with {_vectors_sql(P4_FIELDS)},
+pairs as (select a.vec_id, b.vec_id as neighbour, array_distance(a.v, b.v) as d from vecs a join vecs b on a.vec_id <> b.vec_id where a.vec_id % {EVERY} = 0),
+ranked as (select *, row_number() over (partition by vec_id order by d, neighbour) as rn from pairs)
+select vec_id, rn::int as rank, neighbour, round(d, 9) as distance from ranked where rn <= {NEIGHBOURS}""",
+    "p6_found": f"""with recursive {_close_sql(P6_FIELDS, P6_RADIUS)},
+links as (select vec_id_a as a, vec_id_b as b from close union all select vec_id_b, vec_id_a from close),
+reach(a, b) as (select a, a from links union select r.a, l.b from reach r join links l on r.b = l.a),
+grouped as (select a as vec_id, min(b) as group_id, count(*) as n from reach group by 1)
+select group_id, vec_id from grouped where n >= {P6_LEAST}""",
+}
