@@ -75,6 +75,11 @@ def _bare(c: Column) -> Column:
     return F.trim(c, F.lit(" \t"))
 
 
+def _loose(c: Column) -> Column:
+    """Without white space that lines carry at their ends as well."""
+    return F.trim(c, F.lit(" \t\r\n"))
+
+
 def value_reason(text: Column, low: Column, high: Column) -> Column:
     """Why a bare text can't stand for a checked field; null if it can."""
     number = F.when(text.rlike(FINITE_NUMBER) & ~text.rlike(r"[\r\n]"), text.try_cast("double"))
@@ -85,7 +90,7 @@ def value_reason(text: Column, low: Column, high: Column) -> Column:
 def _typed(text: Column, kind: str) -> Column:
     if kind == "string":
         return text
-    bare = _bare(text)
+    bare = _loose(text)
     number = F.when(bare.rlike(FINITE_NUMBER), bare.try_cast("double"))
     if kind == "double":
         return number
@@ -96,7 +101,7 @@ def load_lines(lines: DataFrame, line: str, fields: list[Field]) -> LoadedLines:
     """Divide the lines into typed records and rejects. Every input row appears on exactly one side, repeated rows too.
 
     A null line is a reject for its column count, as is an empty one where more than one field is expected. Missing
-    tokens become null in records. Texts that a field without bounds can't hold don't reject the line: the value is
+    tokens become null in records, and a number may have a line end behind it. Texts that a field without bounds can't hold don't reject the line: the value is
     null and the text is kept in `unparsed`. Extra input columns are kept; one that has the name of a field, or of
     `reason`, `detail` or `unparsed`, is replaced by ours. Empty input gives empty results.
     """
@@ -127,7 +132,7 @@ def load_lines(lines: DataFrame, line: str, fields: list[Field]) -> LoadedLines:
 
     rejects = joined.where(reason.isNotNull()).select(*map(name, kept), reason.alias("reason"), F.when(F.col("_reason").isNull(), faults).alias("detail"))
     texts = {f.name: F.get("_fields", F.lit(i)) for f, i in ((f, order[f.name]) for f in fields)}
-    present = {n: F.when(~_bare(t).isin(*MISSING_TOKENS), t) for n, t in texts.items()}
+    present = {n: F.when(~_loose(t).isin(*MISSING_TOKENS), t) for n, t in texts.items()}
     typed = {f.name: _typed(present[f.name], f.kind) for f in fields}
     lost = F.filter(
         F.array(*(F.struct(F.lit(f.name).alias("key"), F.when(typed[f.name].isNull(), present[f.name]).alias("value")) for f in fields if f.kind != "string")),

@@ -41,7 +41,9 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_records(spark: SparkSession, sf: str) -> DataFrame:
-    return loaded_lines(spark, sf).records.select("line_id", *map(name, _NAMES), F.map_keys("unparsed").alias("unparsed_columns"))
+    """Whole numbers as doubles here, which every client shows alike where there are gaps."""
+    shown = [name(c).cast("double").alias(c) if _kind(c) in ("int", "long") else name(c) for c in _NAMES]
+    return loaded_lines(spark, sf).records.select("line_id", *shown, F.concat_ws(",", F.map_keys("unparsed")).alias("unparsed_columns"))
 
 
 def column_specs(spark: SparkSession, sf: str) -> list[C.ColumnSpec]:
@@ -117,6 +119,62 @@ judged as (
 select line_id, reason from judged where reason is not null"""
 
 
+_FINITE = "[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?"
+
+
+def _records_sql() -> str:
+    """The same reading of the fields, without a dictionary."""
+    raw, typed, lost = [], [], []
+    for i, c in enumerate(_NAMES):
+        raw.append(f"{_UNQUOTE.format(f'f[{i + 1}]')} as t{i}")
+        bare, kind = f"trim(t{i}, ' ' || chr(9) || chr(10) || chr(13))", _kind(c)
+        number = f"case when {bare} not in {_TOKENS} and regexp_full_match({bare}, '{_FINITE}') then try_cast({bare} as double) end"
+        if kind == "string":
+            value = f"case when {bare} not in {_TOKENS} then t{i} end"
+        elif kind == "double":
+            value = number
+        else:
+            value = f"try_cast(case when {number} = floor({number}) then {number} end as {'bigint' if kind == 'long' else 'integer'})::double"
+        typed.append(f"{value} as {c}")
+        if kind != "string":
+            lost.append(f"case when {bare} not in {_TOKENS} and ({value}) is null then '{c}' end")
+    return f"""
+with bad as ({_p1_sql()}),
+good as (select line_id, regexp_extract_all(',' || line, '(?s),({_FIELD})', 1) as f from raw_lines where line_id not in (select line_id from bad)),
+texts as (select line_id, {", ".join(raw)} from good)
+select line_id, {", ".join(typed)}, array_to_string(list_filter([{", ".join(lost)}], lambda x: x is not null), ',') as unparsed_columns from texts"""
+
+
+def _profile_sql() -> str:
+    """Every column of encounters but load_id, from its values and not from counts."""
+    own = {"row_id": "number", "enc_id": "number", "clinic_id": "label", "appt_ts": "time", "checkin_ts": "time"}
+    kinds = own | {c: "label" if _kind(c) == "string" or c in ("X23_temperature", "X24_oxygen_sat") else "int" if _kind(c) != "double" else "number" for c in _NAMES}
+    parts = []
+    for c, kind in kinds.items():
+        num, lab = "null::double", "null::varchar"
+        if kind == "label":
+            lab = f"case when not {_lost(c, 'label')} then {c} end"
+        elif kind == "time":
+            lab = f"{c}::varchar"
+        else:
+            num = f"case when not isnan({c}::double) then {c}::double end"
+        parts.append(f"select load_id, '{c}' as column_name, {num} as num, {lab} as lab from encounters")
+    return f"""
+with cells as ({" union all ".join(parts)}),
+counts as (select load_id, column_name, num, lab, count(*) as n from cells group by 1, 2, 3, 4),
+spread as (
+  select load_id, column_name, sum(n)::double as t, sum(n * ln(n::double)) as s from counts where num is not null or lab is not null group by 1, 2),
+prof as (
+  select load_id, column_name, count(*) as row_count, count(*) - count(num) - count(lab) as missing, round((count(*) - count(num) - count(lab)) / count(*), 9) as missing_share,
+    count(distinct num) + count(distinct lab) as distinct_values, min(num) as min_number, max(num) as max_number, min(lab) as min_label, max(lab) as max_label,
+    round(quantile_cont(num, 0.25), 9) as q1, round(quantile_cont(num, 0.5), 9) as median, round(quantile_cont(num, 0.75), 9) as q3 from cells group by 1, 2),
+broken as (
+  select load_id, column_name, cast(sum(case when num < s.min_value or num > s.max_value or (lab is not null and not list_contains(s.allowed, lab)) then 1 else 0 end) as bigint) as broken
+  from cells join column_specs s using (column_name) group by 1, 2)
+select p.*, coalesce(b.broken, 0) as broken, coalesce(round(greatest(ln(t) - s / t, 0), 6), 0) as entropy
+from prof p left join spread e on e.load_id = p.load_id and e.column_name = p.column_name left join broken b on b.load_id = p.load_id and b.column_name = p.column_name"""
+
+
 _P3_COLUMNS = {"X60_sparse": "number", "X40_skewed": "number", "x13": "number", "X56_reminder": "label"}
 
 
@@ -156,4 +214,4 @@ def _p5_sql() -> str:
     )
 
 
-SQL = {"p1_found": _p1_sql(), "p3_found": _p3_sql(), "p5_found": _p5_sql()}
+SQL = {"p1_found": _p1_sql(), "p1_records": _records_sql(), "p3_profile": _profile_sql(), "p3_found": _p3_sql(), "p5_found": _p5_sql()}

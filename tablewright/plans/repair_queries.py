@@ -328,6 +328,7 @@ select column_name, strategy, n as filled from (
     "check_row_count": f"with {_FIRSTS} {_ROWS}",
     "check_columns": _COLUMNS,
     "check_skipped_unchanged": f"with {_FIRSTS} {_MOVED}",
+    "validation_issues": f"with {_FIRSTS} select check_name, coalesce(column_name, '') as column_name, detail from ({S.union([_COMPLETE, 'select * from (' + _PLACEHOLDER + ')', _CONSTANT, _MOVED, 'select check_name, null as column_name, detail from (' + _ROWS + ')', 'select check_name, null as column_name, detail from (' + _COLUMNS + ')'])}) where not (check_name = 'completeness' and column_name = 'X25_weight_lb')",
     "missing_map": _map_sql(),
     "top_by_variance": _variance_sql(),
     "histogram_bins": _hist_sql(["X21_systolic", "X26_bmi", "X30", "X25_weight_lb"]),

@@ -15,6 +15,7 @@ from tablewright.operators.roles import Roles, classify
 from tablewright.plans import sqltext as S
 from tablewright.plans.data_queries import column_specs
 from tablewright.plans.shared import shared_dir
+from tablewright.plans import table_queries as T
 from tablewright.plans.table_queries import VITALS, encounters
 from tablewright.plans.tables import table
 from tablewright.sources.generator import generate
@@ -124,6 +125,8 @@ SQL = {
     **dict.fromkeys(("csv_source", "parquet_source", "orc_source", "json_source"), _CLINICS),
     "csv_text": "select row_id, " + ", ".join(f"case when {c} not in {S.TOKENS} and {c} not in {_CSV_LOST} then {c} end as {c}" for c in ("X51_visit_type", "X57_payment")) + " from encounters",
     "tsv_source": "select n_nationkey::bigint as n_nationkey, n_name, n_regionkey::bigint as n_regionkey from nation",
+    "load_with_roles": f"select column_name, role from ({T.SQL['classify_columns']})",
+    "heatmap_marks": f"select feature_2 as row_feature, feature_1 as column_feature, correlation, true as named from ({T.VITAL_PAIRS})",
     "row_keys": "select count(*) as n, 0::bigint as low, count(*) - 1 as high, count(*) as n_keys from encounters",
     "stream_profile": _profile_sql(),
     "stream_gaps": S.union([f"select checkin_ts::date::varchar as day, '{c}' as column_name, count(*) as rows, cast(sum(case when {c} is null or isnan({c}) then 1 else 0 end) as bigint) as missing from encounters where checkin_ts is not null group by 1" for c in ("X20_heart_rate", "X60_sparse")]),

@@ -217,6 +217,7 @@ from signs join total using (feature_1, feature_2) join tx using (feature_1, fea
 _NUMERIC_NO_ID = [c for c in S.NUMERIC if c != "PAT_ID"]
 _GAPS = _pearson_sql(_NUMERIC_NO_ID, "clean", f"with {S.CLEAN}")
 _FRACTION = _fraction_sql()
+VITAL_PAIRS = _pearson_sql(VITALS, "clean", f"with {S.CLEAN}")
 
 SQL = {
     "null_token_normalize": "select row_id, " + ", ".join(f"{S.present(c)} as {c}" for c in [*S.NUMBER_TEXTS, *S.LABELS]) + " from encounters",
@@ -239,7 +240,7 @@ union all select 'identifiers', count(*) filter (is_identifier) from r union all
     "kendall_pairs": _kendall_sql(FEW),
     "corr_top_n": f"select * from ({_GAPS}) order by abs(correlation) desc, feature_1, feature_2 limit 10",
     "corr_above": f"select * from ({_GAPS}) where abs(correlation) >= 0.8",
-    "corr_matrix": f"""with c as ({_pearson_sql(VITALS, "clean", f"with {S.CLEAN}")})
+    "corr_matrix": f"""with c as ({VITAL_PAIRS})
 select feature_1, feature_2, correlation from c union all select feature_2, feature_1, correlation from c
 union all select v, v, 1e0 from (values {", ".join(f"('{v}')" for v in VITALS)}) t(v)""",
     "drop_constants": f"with {S.CLEAN} " + S.union([f"select '{c}' as column_name from clean having min({c}) <> max({c})" for c in S.NUMERIC]),
