@@ -85,6 +85,14 @@ def importance_rankings(spark: SparkSession, sf: str) -> DataFrame:
     return _study(spark, sf, "Y4").rankings
 
 
+def importance_gain(spark: SparkSession, sf: str) -> DataFrame:
+    return _study(spark, sf, "Y1", rounds=4, n_permutation_repeats=1, max_shap_rows=20).top(30, "gain").select("feature", "gain")
+
+
+def importance_permutation(spark: SparkSession, sf: str) -> DataFrame:
+    return _study(spark, sf, "Y3", rounds=4, n_permutation_repeats=2, max_shap_rows=20).top(30, "permutation").select("feature", "permutation")
+
+
 def model_evaluation(spark: SparkSession, sf: str) -> DataFrame:
     made = _study(spark, sf, "Y4")
     return spark.createDataFrame(list(made.metrics.items()), "metric string, value double")
@@ -99,7 +107,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         task_inference, ordinal_encode, label_encode, drop_missing_target, class_counts, stratified_split, plain_split, metrics_classification, metrics_binary,
-        metrics_regression, auc_rank_sum, importance_rankings, model_evaluation, importance_classes,
+        metrics_regression, auc_rank_sum, importance_gain, importance_permutation, importance_rankings, model_evaluation, importance_classes,
     )
 }
 

@@ -196,10 +196,24 @@ def tsne_projection(spark: SparkSession, sf: str) -> DataFrame:
     return X.tsne(raw, roles, "row_id", ExploreConfig(), 250)
 
 
+def exploration_stages(spark: SparkSession, sf: str) -> DataFrame:
+    """All figures of one run (t-SNE apart), with their numbers of marks."""
+    raw, roles, _ = _frame(spark, sf)
+    made = X.explore(raw, roles, "row_id", with_tsne=False)
+    return spark.createDataFrame([(stem, marks.count()) for stem, marks in made.figures.items()], "figure string, marks long")
+
+
+def repaired_is_valid(spark: SparkSession, sf: str) -> DataFrame:
+    """Issues of the imputed customers against their source: none."""
+    source = messy(spark, sf)
+    made = impute(source, "c_custkey", ImputationConfig(K, skip_columns=("untouched",)), MESSY_ROLES).frame
+    return V.validate(made, source, ("untouched",), key="c_custkey").issues
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        impute_mode, impute_median, impute_knn, impute_knn_uniform, restore_integrality, blank_fallback, impute_skip, impute_keep_originals, impute_report, scaler_statistics,
+        exploration_stages, repaired_is_valid, impute_mode, impute_median, impute_knn, impute_knn_uniform, restore_integrality, blank_fallback, impute_skip, impute_keep_originals, impute_report, scaler_statistics,
         check_completeness, check_placeholder, check_constant, check_row_count, check_columns, check_skipped_unchanged, validation_issues,
         missing_map, top_by_variance, histogram_bins, density_curves, standardized_matrix, seeded_sample, hue_column, pair_plot_marks, pca_projection, cluster_order, tsne_projection,
     )
@@ -329,6 +343,7 @@ select column_name, strategy, n as filled from (
     "check_columns": _COLUMNS,
     "check_skipped_unchanged": f"with {_FIRSTS} {_MOVED}",
     "validation_issues": f"with {_FIRSTS} select check_name, coalesce(column_name, '') as column_name, detail from ({S.union([_COMPLETE, 'select * from (' + _PLACEHOLDER + ')', _CONSTANT, _MOVED, 'select check_name, null as column_name, detail from (' + _ROWS + ')', 'select check_name, null as column_name, detail from (' + _COLUMNS + ')'])}) where not (check_name = 'completeness' and column_name = 'X25_weight_lb')",
+    "repaired_is_valid": "select null::varchar as check_name, null::varchar as column_name, null::varchar as detail where false",
     "missing_map": _map_sql(),
     "top_by_variance": _variance_sql(),
     "histogram_bins": _hist_sql(["X21_systolic", "X26_bmi", "X30", "X25_weight_lb"]),
