@@ -17,6 +17,7 @@ from tablewright.operators import impute as impute_op
 from tablewright.operators import profile as profile_op
 from tablewright.operators import validate as validate_op
 from tablewright.operators.roles import Roles
+from tablewright.plans.shared import ship_package
 from tablewright.sources.io import SourceError, load, source_for, with_row_key, write_frame
 
 OK, FAILED, BAD_INPUT, INTERRUPTED = 0, 1, 2, 130
@@ -139,7 +140,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     a = parser().parse_args(argv)
     logging.basicConfig(stream=sys.stderr, level=logging.INFO if a.verbose else logging.WARNING)
     try:
-        return RUN[a.command](spark or SparkSession.builder.appName("tablewright").getOrCreate(), a)
+        session = spark or SparkSession.builder.appName("tablewright").getOrCreate()
+        ship_package(session)
+        return RUN[a.command](session, a)
     except (SourceError, ValueError, KeyError) as e:
         log.error("%s", e)
         return BAD_INPUT

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,6 +21,7 @@ MAX_BROADCAST_BYTES = 8 << 20
 SALTS = 16
 
 _OWN_ROOT: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,6 +36,24 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _OWN_ROOT["root"]
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors' Python this package, once per application, wherever the driver imported it from."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    home = Path(__file__).resolve().parents[1]
+    if not home.is_dir():  # imported from an archive that was shipped already
+        return
+    target = Path(tempfile.mkdtemp(prefix="tablewright-")) / "tablewright_package.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(home.rglob("*.py")):
+            z.write(f, f.relative_to(home.parent))
+    # the driver serves the archive to every executor, those that join later too
+    spark.sparkContext.addPyFile(str(target))
+    atexit.register(shutil.rmtree, target.parent, ignore_errors=True)
+    _SHIPPED.add(app)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     with contextlib.suppress(Exception):
         jvm = spark.sparkContext._jvm
