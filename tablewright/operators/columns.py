@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.functions.parse import name, value_missing
+from tablewright.functions.parse import as_number, label_missing, name, value_missing
 from tablewright.plans.shared import fits_broadcast, written
 
 COUNTS = "load_id long, c int, num double, label string, cnt long"
@@ -48,11 +48,19 @@ def _is_number(kind: T.DataType) -> bool:
     return isinstance(kind, T.NumericType)
 
 
-def delta(df: DataFrame, load: str, columns: list[str], sign: int = 1) -> DataFrame:
+def _read_as_number(c: str, kind: T.DataType) -> Column:
+    """Text as the number it spells, dates and times as seconds since 1970; null where that can't be."""
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), name(c).cast("timestamp_ntz")) / 1e6
+    return as_number(name(c), kind)
+
+
+def delta(df: DataFrame, load: str, columns: list[str], sign: int = 1, as_numbers: tuple[str, ...] = ()) -> DataFrame:
     """Signed value counts of some rows: +1 to add them, -1 to take them back.
 
     Numbers keep their value in `num`; labels, dates and times their text in `label` (as stored); a missing value has
-    neither. `c` is the column's place in `columns`. Rows without a load count under the null load.
+    neither. `c` is the column's place in `columns`. Rows without a load count under the null load. Texts and times of
+    `as_numbers` are read as numbers; a text that spells none keeps its text, so it isn't missing.
     """
     parts = []
     for i, c in enumerate(columns):
@@ -60,6 +68,9 @@ def delta(df: DataFrame, load: str, columns: list[str], sign: int = 1) -> DataFr
         lost = value_missing(name(c), kind)
         num = F.when(~lost, name(c).cast("double")) if _is_number(kind) else F.lit(None).cast("double")
         label = F.lit(None).cast("string") if _is_number(kind) else F.when(~lost, name(c).cast("string"))
+        if c in as_numbers and not _is_number(kind):
+            num = F.when(~lost, _read_as_number(c, kind))
+            label = F.when(num.isNull(), label)
         # -0.0 and 0.0 are one value
         parts.append(F.struct(F.lit(i).alias("c"), (num + F.lit(0.0)).alias("num"), label.alias("label")))
     rows = df.select(name(load).cast("long").alias("load_id"), F.explode(F.array(*parts)).alias("v"))
@@ -198,7 +209,7 @@ def profile(counts: DataFrame, columns: list[str], specs: list[ColumnSpec] = (),
     )
 
 
-def profile_loads(df: DataFrame, load: str, columns: list[str], specs: list[ColumnSpec] = ()) -> DataFrame:
+def profile_loads(df: DataFrame, load: str, columns: list[str], specs: list[ColumnSpec] = (), as_numbers: tuple[str, ...] = ()) -> DataFrame:
     """profile and quartiles of many columns in one pass over the rows.
 
     The rows of a load are brought together once; counting, profile and quartiles then need no further shuffle, which
@@ -211,14 +222,14 @@ def profile_loads(df: DataFrame, load: str, columns: list[str], specs: list[Colu
     tasks = int(min(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), total * len(columns) // CELLS_PER_TASK), MAX_TASKS))
 
     def near(part: DataFrame) -> DataFrame:
-        return profile(delta(part.repartition(tasks, "_load"), "_load", columns), columns, specs, ordered=True)
+        return profile(delta(part.repartition(tasks, "_load"), "_load", columns, as_numbers=as_numbers), columns, specs, ordered=True)
 
     if not hot:
         return near(rows)
     large = written(sizes.where(F.col("count") > HOT_ROWS).select(F.col("_load").alias("_large")), "hot_loads")
     same = F.col("_load").eqNullSafe(F.col("_large"))
     right = F.broadcast(large) if fits_broadcast(large) else large
-    spread = delta(rows.join(right, same, "left_semi"), "_load", columns)
+    spread = delta(rows.join(right, same, "left_semi"), "_load", columns, as_numbers=as_numbers)
     far = profile(spread, columns, specs).join(quartiles(spread), ["load_id", "c"], "left")
     return near(rows.join(right, same, "left_anti")).unionByName(far)
 
@@ -246,13 +257,65 @@ def load_findings(counts: DataFrame, columns: list[str], specs: list[ColumnSpec]
     the null load is left out. Repeated rows of loads count once.
     """
     counts = counts.where("load_id IS NOT NULL")
-    ids = loads.select(F.col("load_id").cast("long").alias("load_id"), "feed_id", F.col("seq_no").cast("long").alias("seq_no")).dropna().distinct()
-    successors = ids.select("load_id", "feed_id", (F.col("seq_no") + 1).alias("seq_no")).join(ids.select(F.col("load_id").alias("next_id"), "feed_id", "seq_no"), ["feed_id", "seq_no"]).select("load_id", "next_id")
+    after = successors(loads)
     profiles = written(profile(counts, columns, specs).join(quartiles(counts), ["load_id", "c"], "left"), "profiles")
+    return _compared(profiles, counts, columns, after, limits)
+
+
+def change_findings(df: DataFrame, load: str, columns: list[str], specs: list[ColumnSpec], loads: DataFrame, as_numbers: tuple[str, ...] = (), limits: Thresholds = Thresholds()) -> DataFrame:
+    """The findings of load_findings for any number of columns of any width, from the rows.
+
+    Numbers, and the texts and times of `as_numbers`, are profiled with the rows of a load brought together, so that no
+    table of nearly distinct values is written; only counts of labels are. A text of `as_numbers` shifts by its median and,
+    as a label, by its words against all numbers together.
+    """
+    rows = df.where(name(load).isNotNull())
+    kinds = {c: df.schema[c].dataType for c in columns}
+    numbers = [c for c in columns if _is_number(kinds[c]) or c in as_numbers]
+    labels = [c for c in columns if c not in numbers]
+    texts = [c for c in numbers if isinstance(kinds[c], T.StringType)]
+    kept = ["load_id", "c", "row_count", "missing", "missing_share", "broken"]
+
+    def placed(part: DataFrame, own: list[str]) -> DataFrame:
+        return part.withColumn("c", F.element_at(F.array(*(F.lit(columns.index(c)) for c in own)), F.col("c") + 1))
+
+    def rules(own: list[str]) -> list[ColumnSpec]:
+        return [s for s in specs if s.column in own]
+
+    counts, parts = None, []
+    if numbers:
+        parts.append(placed(profile_loads(rows, load, numbers, rules(numbers), as_numbers).select(*kept, "q1", "median", "q3"), numbers))
+    if labels or texts:
+        own = [*labels, *texts]
+        # every number is the label 0, which no text that spells none can be
+        raw = [F.when(as_number(name(c), kinds[c]).isNotNull(), F.lit("0")).otherwise(name(c)) if c in texts else name(c).cast("string") for c in own]
+        cells = rows.select(name(load).cast("long").alias("load_id"), F.explode(F.array(*(F.struct(F.lit(i).alias("c"), v.alias("label")) for i, v in enumerate(raw)))).alias("v"))
+        # missing labels are told by the distinct texts: they stay several rows, which profile and label_shift add up
+        spelt = F.col("c").isin([i for i, c in enumerate(own) if isinstance(kinds[c], T.StringType)])
+        label = F.when(~(spelt & label_missing(F.col("label"))), F.col("label"))
+        each = cells.groupBy("load_id", "v.c", "v.label").agg(F.count(F.lit(1)).alias("cnt"))
+        found = written(each.select("load_id", "c", F.lit(None).cast("double").alias("num"), label.alias("label"), "cnt"), "counts")
+        if labels:
+            none = F.lit(None).cast("double")
+            parts.append(placed(profile(found.where(F.col("c") < len(labels)), own, rules(labels)).select(*kept, none.alias("q1"), none.alias("median"), none.alias("q3")), own))
+        counts = placed(found, own)
+    if counts is None:
+        counts = df.sparkSession.createDataFrame([], COUNTS)
+    profiles = written(parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0], "profiles")
+    return _compared(profiles, counts, columns, successors(loads), limits)
+
+
+def successors(loads: DataFrame) -> DataFrame:
+    """(load_id, next_id): each load and the load of its feed whose seq_no is one more. Repeated rows count once."""
+    ids = loads.select(F.col("load_id").cast("long").alias("load_id"), "feed_id", F.col("seq_no").cast("long").alias("seq_no")).dropna().distinct()
+    return ids.select("load_id", "feed_id", (F.col("seq_no") + 1).alias("seq_no")).join(ids.select(F.col("load_id").alias("next_id"), "feed_id", "seq_no"), ["feed_id", "seq_no"]).select("load_id", "next_id")
+
+
+def _compared(profiles: DataFrame, counts: DataFrame, columns: list[str], after: DataFrame, limits: Thresholds) -> DataFrame:
     n = F.col("row_count") - F.col("missing")
     now = profiles.select("load_id", "c", n.alias("n"), "missing_share", "broken", "median")
-    before = profiles.join(successors, "load_id").select(F.col("next_id").alias("load_id"), "c", n.alias("p_n"), F.col("missing_share").alias("p_share"), F.col("median").alias("p_median"), (F.col("q3") - F.col("q1")).alias("p_iqr"))
-    shift = label_shift(counts, profiles.select("load_id", "c", n.alias("n")).where("n > 0"), successors)
+    before = profiles.join(after, "load_id").select(F.col("next_id").alias("load_id"), "c", n.alias("p_n"), F.col("missing_share").alias("p_share"), F.col("median").alias("p_median"), (F.col("q3") - F.col("q1")).alias("p_iqr"))
+    shift = label_shift(counts, profiles.select("load_id", "c", n.alias("n")).where("n > 0"), after)
     both = now.join(before, ["load_id", "c"], "left").join(shift, ["load_id", "c"], "left")
     alive = (F.col("n") > 0) & (F.col("p_n") > 0)
     found = F.array(

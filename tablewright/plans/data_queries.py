@@ -70,6 +70,17 @@ def p3_profile(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+#: Times and numbers kept as text: loads are compared by their medians.
+_AS_NUMBERS = ("appt_ts", "checkin_ts", "X23_temperature", "X24_oxygen_sat")
+
+
+def p3_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """The findings of p3_found for every column: the loads in which a column differs from the load before."""
+    rows = table(spark, sf, "encounters")
+    names = [c for c in rows.columns if c != "load_id"]
+    return C.change_findings(rows, "load_id", names, column_specs(spark, sf), table(spark, sf, "loads"), _AS_NUMBERS)
+
+
 P5_NUMBERS, P5_LABELS = ["X20_heart_rate", "X21_systolic", "X60_sparse"], ["X50_department"]
 
 
@@ -88,7 +99,7 @@ def p5_filled(spark: SparkSession, sf: str) -> DataFrame:
     return filled_encounters(spark, sf).rows
 
 
-QUERIES = {"p1_found": p1_found, "p1_records": p1_records, "p3_found": p3_found, "p3_profile": p3_profile, "p5_found": p5_found, "p5_filled": p5_filled}
+QUERIES = {"p1_found": p1_found, "p1_records": p1_records, "p3_found": p3_found, "p3_profile": p3_profile, "p3_changes": p3_changes, "p5_found": p5_found, "p5_filled": p5_filled}
 
 _TOKENS = "(" + ", ".join(f"'{t}'" for t in MISSING_TOKENS) + ")"
 _FIELD = '(?:"(?:[^"]|"")*"|[^",]*)'

@@ -105,3 +105,28 @@ def test_hot_loads_get_the_same_profile(spark, monkeypatch):
     monkeypatch.setattr(C, "HOT_ROWS", 70)
     got = shown(C.profile_loads(df, "load_id", ["x", "y"]))
     assert got == want and len(got) == 14
+
+
+def test_changes_of_columns_without_rules(spark):
+    """Every kind of column is compared with the load before: numbers, labels, times and numbers kept as text."""
+    from datetime import datetime, timedelta
+
+    start, cells = datetime(2024, 1, 1), []
+    for load in (1, 2, 3, None):
+        for i in range(40):
+            wrong = load == 2
+            cells.append((load, float(i + 30 * wrong), None if wrong and i < 10 else i, "a" if wrong or i % 2 else "b", start + timedelta(hours=i + 900 * wrong), str(36 + i / 10) if not wrong or i < 25 else "warm", "k", i % 7))
+    df = spark.createDataFrame(cells, "load_id long, x double, gap int, y string, at timestamp_ntz, txt string, same string, n int")
+    names = [c for c in df.columns if c != "load_id"]
+    loads = spark.createDataFrame([(1, "F", 1), (2, "F", 2), (3, "F", 3)], "load_id long, feed_id string, seq_no int")
+    got = sorted((r.load_id, r.column_name, r.finding) for r in C.change_findings(df, "load_id", names, [], loads, ("at", "txt")).collect())
+    both = [("at", "distribution"), ("gap", "null_rate"), ("txt", "distribution"), ("x", "distribution"), ("y", "distribution")]
+    assert got == [(load, c, f) for load in (2, 3) for c, f in both]
+
+
+def test_changes_hold_the_findings_of_the_columns_with_rules(spark, sf):
+    from tablewright.plans.data_queries import QUERIES, column_specs
+
+    ruled = [s.column for s in column_specs(spark, sf)]
+    every = [tuple(r) for r in QUERIES["p3_changes"](spark, sf).collect()]
+    assert sorted(r for r in every if r[1] in ruled) == sorted(tuple(r) for r in QUERIES["p3_found"](spark, sf).collect())
