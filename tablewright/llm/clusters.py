@@ -224,22 +224,59 @@ def refined_leaves(vectors: DataFrame, leaves: int, cells: int) -> tuple[np.ndar
     return distinct_leaves(np.concatenate([n[light], m]), np.vstack([centres[light] * n[light, None], sub]))
 
 
-def ward(n: np.ndarray, centres: np.ndarray, clusters: int) -> np.ndarray:
-    """Cluster number of each leaf: join the two whose union costs least until `clusters` are left."""
+def leaf_features(vectors: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(n, means, sums of squared distances from the mean) of the rows that belong to each cell, from a pass over all rows; at
+    most one row per cell reaches the driver. Cells without rows keep their centre."""
+    dims = centres.shape[1]
+    held = vectors.sparkSession.sparkContext.broadcast((Cells(centres), centres))
+    names = ["leaf", "n", "ss", *(f"d{i}" for i in range(dims))]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells, centres = held.value
+        sums = np.zeros((len(centres), dims + 2))
+        for b in batches:
+            if len(b):
+                x = matrix(b.column("v"))
+                leaf, _ = cells.home(x)
+                off = x - centres[leaf]
+                np.add.at(sums, leaf, np.column_stack([np.ones(len(x)), (off**2).sum(1), off]))
+        full = np.flatnonzero(sums[:, 0])
+        yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *(pa.array(sums[full, i]) for i in range(dims + 2))], names=names)
+
+    parts = vectors.select("v").mapInArrow(add, ", ".join(f"{c} {'int' if c == 'leaf' else 'double'}" for c in names))
+    got = parts.groupBy("leaf").agg(*(F.sum(c).alias(c) for c in names[1:])).toArrow()
+    at = got.column("leaf").to_numpy()
+    n, within, means = np.zeros(len(centres)), np.zeros(len(centres)), centres.copy()
+    n[at] = got.column("n").to_numpy()
+    off = np.column_stack([got.column(f"d{i}").to_numpy() for i in range(dims)]) / n[at, None]
+    means[at] += off
+    within[at] = np.maximum(got.column("ss").to_numpy() - n[at] * (off**2).sum(1), 0)
+    return n, means, within
+
+
+def ward(n: np.ndarray, centres: np.ndarray, clusters: int, within: np.ndarray | None = None, limit: float = np.inf) -> np.ndarray:
+    """Cluster number of each leaf: join the two whose union costs least until `clusters` are left, or until every union left
+    would have a root mean square distance from its centre above `limit`. within: each leaf's sum of squared distances."""
     n, c = n.astype(np.float64).copy(), centres.astype(np.float64).copy()
-    label = np.arange(len(n))
+    within = np.zeros(len(n)) if within is None else within.astype(np.float64).copy()
+    label, alive = np.arange(len(n)), np.ones(len(n), bool)
     d2 = np.maximum((c**2).sum(1)[:, None] + (c**2).sum(1)[None] - 2 * c @ c.T, 0)
     cost = d2 * (n[:, None] * n[None]) / (n[:, None] + n[None])
+    cost[within[:, None] + within[None] + cost > limit**2 * (n[:, None] + n[None])] = np.inf
     np.fill_diagonal(cost, np.inf)
     for _ in range(max(0, len(n) - clusters)):
         i, j = sorted(divmod(int(cost.argmin()), len(n)))
+        if not np.isfinite(cost[i, j]):
+            break
+        within[i] += within[j] + cost[i, j]
         c[i] = (n[i] * c[i] + n[j] * c[j]) / (n[i] + n[j])
         n[i] += n[j]
         label[label == j] = i
         cost[j, :] = cost[:, j] = np.inf
-        alive = np.isfinite(cost).any(0)
-        alive[i] = False
-        row = np.where(alive, ((c - c[i]) ** 2).sum(1) * n * n[i] / (n + n[i]), np.inf)
+        alive[j] = False
+        row = ((c - c[i]) ** 2).sum(1) * n * n[i] / (n + n[i])
+        row[~alive | (within + within[i] + row > limit**2 * (n + n[i]))] = np.inf
+        row[i] = np.inf
         cost[i, :] = cost[:, i] = row
     return np.unique(label, return_inverse=True)[1]
 
@@ -260,18 +297,37 @@ class Clustering:
         typical = self.rows.select("cluster", "id", "distance").withColumn("rank", F.row_number().over(Window.partitionBy("cluster").orderBy("distance", "id"))).where(F.col("rank") <= members)
         return typical.join(size, "cluster").select("cluster", "size", "mean_distance", "rank", "id", "distance")
 
+    def divided(self, members: int = 3) -> DataFrame:
+        """described, with one row for every row: rank is null beyond the `members` nearest to the centre. Rows of one id and
+        one distance share a rank."""
+        rows = written(self.rows.select("cluster", "id", "distance"), "divided")
+        near = rows.withColumn("rank", F.row_number().over(Window.partitionBy("cluster").orderBy("distance", "id"))).where(F.col("rank") <= members)
+        near = near.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("distance", "id"))).alias("_near"))
+        groups = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.avg("distance").alias("mean_distance")).join(near, "cluster")
+        # one row per cluster, of which there are no more than leaves
+        place = F.array_position("_near", F.struct("distance", "id")).cast("int")
+        return rows.join(F.broadcast(groups), "cluster").select("cluster", "size", "mean_distance", F.when(place > 0, place).alias("rank"), "id", "distance")
+
 
-def cluster_rows(vectors: DataFrame, clusters: int = CLUSTERS, leaves: int = LEAVES, cells: int = CELLS) -> Clustering | None:
+def cluster_rows(vectors: DataFrame, clusters: int = CLUSTERS, leaves: int = LEAVES, cells: int = CELLS, limit: float | None = None) -> Clustering | None:
     """Divide the rows of (id, v) into at most `clusters` clusters. None if there are no rows.
 
+    With a limit the number of clusters follows from the rows: no leaves are joined to a cluster whose root mean square
+    distance from its centre is above it. There are as many clusters as leaves at most; a leaf that is wider alone stays one.
     Equal vectors share a cluster. The leaves depend on how rows lie in partitions; all rows take part. Rows with equal
     ids are rows of their own.
     """
     n, centres = refined_leaves(vectors, leaves, cells)
     if not len(n):
         return None
-    label = ward(n, centres, clusters)
-    means = np.array([np.average(centres[label == k], axis=0, weights=n[label == k]) for k in range(label.max() + 1)])
+    if limit is None:
+        label, inner = ward(n, centres, clusters), centres
+    else:
+        n, inner, within = leaf_features(vectors, centres)
+        full = n > 0
+        label = np.zeros(len(n), np.int64)
+        label[full] = ward(n[full], inner[full], 1, within[full], limit)
+    means = np.array([np.average(inner[label == k], axis=0, weights=n[label == k]) for k in range(label.max() + 1)])
     held = vectors.sparkSession.sparkContext.broadcast((Cells(centres), label, means))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

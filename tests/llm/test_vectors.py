@@ -120,6 +120,30 @@ def test_every_row_has_its_cluster(spark):
         assert r.id == own[np.lexsort((own, d))[r["rank"] - 1]]
 
 
+def test_the_number_of_clusters_follows_from_the_limit(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 6)) * 40
+    truth = rng.integers(0, 40, 1200)
+    x = centres[truth] + rng.normal(size=(1200, 6)) * 0.2
+    rows = G.cluster_rows(frame(spark, x), limit=2.0).divided(3).collect()
+    assert sorted(r.id for r in rows) == list(range(1200))
+    assert len({(truth[r.id], r.cluster) for r in rows}) == len({r.cluster for r in rows}) == 40
+    for c in {r.cluster for r in rows}:
+        own = [r for r in rows if r.cluster == c]
+        ids = [r.id for r in own]
+        d = np.sqrt(((x[ids] - x[ids].mean(0)) ** 2).sum(1))
+        assert [r.distance for r in own] == pytest.approx(d) and {r["size"] for r in own} == {len(own)} and np.sqrt((d**2).mean()) <= 2.0
+        typical = sorted((r["rank"], r.id) for r in own if r["rank"])
+        assert typical == [(k + 1, ids[i]) for k, i in enumerate(np.lexsort((ids, d))[:3])]
+
+
+def test_p6_clusters_has_every_complete_row(spark, sf):
+    from tablewright.llm import queries as L
+
+    got = sorted(r.vec_id for r in L.p6_clusters(spark, sf).collect())
+    assert got == sorted(r.id for r in L.profile_vectors(spark, sf, L.P6_FIELDS).collect())
+
+
 def components(x, ids, radius, least):
     parent = list(range(len(x)))
 
