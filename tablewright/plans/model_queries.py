@@ -74,11 +74,11 @@ def auc_rank_sum(spark: SparkSession, sf: str) -> DataFrame:
     return M.auc(_predicted(spark, sf).where("o2 IS NOT NULL"), "T", "o2").select(F.round("auc", 6).alias("auc"))
 
 
-def _study(spark: SparkSession, sf: str, target: str, **settings) -> M.Study:
+def _study(spark: SparkSession, sf: str, target: str) -> M.Study:
     raw = table(spark, sf, "encounters").select("row_id", *S.FIELDS)
     roles = classify(raw)
     roles = Roles(tuple(c for c in roles.numeric if c != "row_id"), roles.categorical, roles.identifiers, roles.outcomes)
-    return M.importance_study(raw, "row_id", roles, ImportanceConfig(target, **({"rounds": 8, "depth": 3, "n_permutation_repeats": 2, "max_shap_rows": 200} | settings)))
+    return M.importance_study(raw, "row_id", roles, ImportanceConfig(target))
 
 
 def importance_rankings(spark: SparkSession, sf: str) -> DataFrame:
@@ -86,11 +86,11 @@ def importance_rankings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def importance_gain(spark: SparkSession, sf: str) -> DataFrame:
-    return _study(spark, sf, "Y1", rounds=4, n_permutation_repeats=1, max_shap_rows=20).top(30, "gain").select("feature", "gain")
+    return _study(spark, sf, "Y1").top(30, "gain").select("feature", "gain")
 
 
 def importance_permutation(spark: SparkSession, sf: str) -> DataFrame:
-    return _study(spark, sf, "Y3", rounds=4, n_permutation_repeats=2, max_shap_rows=20).top(30, "permutation").select("feature", "permutation")
+    return _study(spark, sf, "Y3").top(30, "permutation").select("feature", "permutation")
 
 
 def model_evaluation(spark: SparkSession, sf: str) -> DataFrame:
@@ -100,7 +100,7 @@ def model_evaluation(spark: SparkSession, sf: str) -> DataFrame:
 
 def importance_classes(spark: SparkSession, sf: str) -> DataFrame:
     """Three classes: one booster for each."""
-    return _study(spark, sf, "Y5", rounds=3, n_permutation_repeats=1, max_shap_rows=50).rankings
+    return _study(spark, sf, "Y5").rankings
 
 
 QUERIES = {

@@ -123,3 +123,24 @@ def test_tree_explanations_add_up():
         got = np.zeros(3)
         M._tree_shap(tree, np.array(x), got, 1.0)
         assert got == pytest.approx(want)
+
+
+def test_registered_queries_use_the_whole_settings(spark, sf, monkeypatch):
+    """Repeats, explained rows, rounds and depth are the operator's own, in every query that fits a model."""
+    from tablewright.plans import model_queries as Q
+
+    seen = []
+
+    class Seen(Exception):
+        pass
+
+    def study(df, key, roles, config):
+        seen.append(config)
+        raise Seen
+
+    monkeypatch.setattr(Q.M, "importance_study", study)
+    for q in (Q.importance_rankings, Q.importance_gain, Q.importance_permutation, Q.model_evaluation, Q.importance_classes):
+        with pytest.raises(Seen):
+            q(spark, sf)
+    assert seen == [ImportanceConfig(t) for t in ("Y4", "Y1", "Y3", "Y4", "Y5")]
+    assert (seen[0].n_permutation_repeats, seen[0].max_shap_rows) == (10, 2000)
