@@ -143,7 +143,9 @@ def quartiles(counts: DataFrame) -> DataFrame:
     holds = F.lit(False)
     for w, _ in wanted:
         holds = holds | ((F.col(w) >= F.col("before")) & (F.col(w) < F.col("upto")))
-    near = values.join(totals.where(holds).select(*key, "b", "n", "before", *(w for w, _ in wanted)), [*key, "b"])
+    held = totals.where(holds).select(F.col("load_id").alias("_load_id"), F.col("c").alias("_c"), F.col("b").alias("_b"), "n", "before", *(w for w, _ in wanted))
+    # the null load has quartiles as well
+    near = values.join(held, F.col("load_id").eqNullSafe(F.col("_load_id")) & (F.col("c") == F.col("_c")) & (F.col("b") == F.col("_b"))).drop("_load_id", "_c", "_b")
     inside = Window.partitionBy(*key, "b").orderBy("num").rowsBetween(Window.unboundedPreceding, 0)
     near = near.withColumn("end", F.col("before") + F.sum("cnt").over(inside))
     at = [F.max(F.when((F.col(w) >= F.col("end") - F.col("cnt")) & (F.col(w) < F.col("end")), F.col("num"))).alias(w) for w, _ in wanted]
@@ -230,7 +232,8 @@ def profile_loads(df: DataFrame, load: str, columns: list[str], specs: list[Colu
     same = F.col("_load").eqNullSafe(F.col("_large"))
     right = F.broadcast(large) if fits_broadcast(large) else large
     spread = delta(rows.join(right, same, "left_semi"), "_load", columns, as_numbers=as_numbers)
-    far = profile(spread, columns, specs).join(quartiles(spread), ["load_id", "c"], "left")
+    figures = quartiles(spread).withColumnsRenamed({"load_id": "_load_id", "c": "_c"})
+    far = profile(spread, columns, specs).join(figures, F.col("load_id").eqNullSafe(F.col("_load_id")) & (F.col("c") == F.col("_c")), "left").drop("_load_id", "_c")
     return near(rows.join(right, same, "left_anti")).unionByName(far)
 
 

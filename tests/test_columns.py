@@ -130,3 +130,12 @@ def test_changes_hold_the_findings_of_the_columns_with_rules(spark, sf):
     ruled = [s.column for s in column_specs(spark, sf)]
     every = [tuple(r) for r in QUERIES["p3_changes"](spark, sf).collect()]
     assert sorted(r for r in every if r[1] in ruled) == sorted(tuple(r) for r in QUERIES["p3_found"](spark, sf).collect())
+
+
+def test_a_hot_null_load_has_its_quartiles(spark, monkeypatch):
+    df = spark.createDataFrame([*rows(4), *((None, float(i % 50), "a", "") for i in range(100))], SCHEMA)
+    want = shown(C.profile_loads(df, "load_id", ["x", "y"]))
+    monkeypatch.setattr(C, "HOT_ROWS", 70)
+    made = C.profile_loads(df, "load_id", ["x", "y"])
+    null = made.where("load_id IS NULL AND c = 0").first()
+    assert shown(made) == want and (null.row_count, null.q1, null.median, null.q3) == (100, 12.0, 24.5, 37.0)
