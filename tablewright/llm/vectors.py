@@ -318,7 +318,8 @@ def search(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
 
     Queries go out in slices of QUERY_SLICE, which bounds what is broadcast; every task keeps one heap per query of the
     slice and lets a tile's pair pass only if its lower bound beats the heap's worst entry. A query isn't its own
-    neighbour (equal ids are left out). Ties go to the smaller id.
+    neighbour (equal ids are left out). Ties go to the smaller id. Rows or queries that share an id are one neighbour or
+    one query, at the least of their distances.
     """
     spark = queries.sparkSession
     slices = max(1, -(-queries.count() // QUERY_SLICE))
@@ -332,6 +333,7 @@ def search(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
+    found = found.groupBy("id", "other").agg(F.min("distance").alias("distance"))
     nearest = Window.partitionBy("id").orderBy("distance", "other")
     return found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
 
@@ -339,12 +341,12 @@ def search(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
 def _search_slice(held, vectors: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = held.value
-        heaps = [[] for _ in ids]
+        heaps, held_in = [[] for _ in ids], [{} for _ in ids]
         worst = np.full(len(ids), np.inf)
         for batch in batches:
             other, x = batch.column("id").to_numpy(), matrix(batch.column("v"))
             for s in range(0, len(x), TILE):
-                _offer(ids, q, heaps, worst, other[s : s + TILE], x[s : s + TILE], k)
+                _offer(ids, q, heaps, held_in, worst, other[s : s + TILE], x[s : s + TILE], k)
         rows = [(int(i), -o, -d) for i, h in zip(ids, heaps) for d, o in h]
         a, b, d = zip(*rows) if rows else ((), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(d, pa.float64())], names=["id", "other", "distance"])
@@ -352,19 +354,21 @@ def _search_slice(held, vectors: DataFrame, k: int) -> DataFrame:
     return vectors.select("id", "v").mapInArrow(run, "id long, other long, distance double")
 
 
-def _offer(ids: np.ndarray, q: np.ndarray, heaps: list, worst: np.ndarray, other: np.ndarray, x: np.ndarray, k: int) -> None:
-    """Offer a block of rows to the queries' heaps."""
+def _offer(ids: np.ndarray, q: np.ndarray, heaps: list, held_in: list, worst: np.ndarray, other: np.ndarray, x: np.ndarray, k: int) -> None:
+    """Offer a block of rows to the queries' heaps, which hold an id once; held_in: each heap's distance by id."""
     centre, scale = _frame(q, x)
     right, kind = Tile.of(x, centre, scale), _product(x.shape[1])
     columns, most = right.q.T.astype(kind), right.error.max()
+    # so many rows of one id are in the block at most: reach + 1 rows without the query's own hold k ids
+    reach = k * int(np.unique(other, return_counts=True)[1].max())
     for s in range(0, len(q), STRIP):
         part = slice(s, s + STRIP)
         left = Tile.of(q[part], centre, scale)
         d2 = left.norm[:, None].astype(kind) + right.norm[None].astype(kind) - 2 * (left.q.astype(kind) @ columns)
         bound = worst[part].copy()
-        if d2.shape[1] > k:
-            # the k+1 nearest of this block alone bound the answer (one of them may be the query itself)
-            kth = np.sqrt(np.partition(d2, k, axis=1)[:, k].astype(np.float64)) * scale + left.error + most
+        if d2.shape[1] > reach:
+            # the nearest of this block alone bound the answer (some of them may be the query itself)
+            kth = np.sqrt(np.partition(d2, reach, axis=1)[:, reach].astype(np.float64)) * scale + left.error + most
             bound = np.minimum(bound, kth)
         limit = np.where(np.isfinite(bound), ((bound + left.error + most) / scale) ** 2, np.inf)
         i, j = np.nonzero(d2 <= limit[:, None] + 0.5)
@@ -373,10 +377,18 @@ def _offer(ids: np.ndarray, q: np.ndarray, heaps: list, worst: np.ndarray, other
             o = int(other[b])
             if o == ids[a]:
                 continue
-            h = heaps[a]
-            if len(h) < k:
+            h, own = heaps[a], held_in[a]
+            if o in own:
+                if d >= own[o]:
+                    continue
+                h[h.index((-own[o], -o))] = (-d, -o)
+                heapq.heapify(h)
+            elif len(h) < k:
                 heapq.heappush(h, (-d, -o))
             elif (-d, -o) > h[0]:
-                heapq.heapreplace(h, (-d, -o))
+                del own[-heapq.heapreplace(h, (-d, -o))[1]]
+            else:
+                continue
+            own[o] = d
             if len(h) == k:
                 worst[a] = -h[0][0]

@@ -73,6 +73,22 @@ def test_search_is_exact(spark, monkeypatch):
     assert V.search(df.where("false"), df, 5).count() == 0 and V.search(df.where("id = 1"), df.where("id = 1"), 5).count() == 0
 
 
+def test_search_with_repeated_ids(spark, monkeypatch):
+    """Copies of a query don't push its neighbours out, and a repeated neighbour takes one place."""
+    monkeypatch.setattr(V, "TILE", 64)
+    x = np.vstack([blobs(300), np.tile(blobs(300)[:1], (30, 1)), blobs(300)[20:60] + 0.01])
+    ids = [*range(300), *[0] * 30, *range(20, 60)]
+    df = frame(spark, x, ids, parts=2)
+    got = {}
+    for r in sorted(V.search(df.where("id % 20 = 0"), df, 5).collect(), key=lambda r: (r.id, r.rank)):
+        got.setdefault(r.id, []).append(r.other)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    least = np.full((300, 300), np.inf)
+    np.minimum.at(least, (np.array(ids)[:, None], np.array(ids)[None]), d)
+    np.fill_diagonal(least, np.inf)
+    assert got == {i: np.lexsort((np.arange(300), least[i]))[:5].tolist() for i in range(0, 300, 20)}
+
+
 def test_incomplete_rows_are_left_out(spark):
     rows = [(1, [1.0, 2.0]), (2, [1.0]), (3, None), (4, []), (5, [None, 1.0]), (6, [float("nan"), 1.0]), (None, [1.0, 2.0]), (7, [3.0, 4.0]), (7, [3.0, 4.0])]
     df = spark.createDataFrame([(a, b, "clash") for a, b in rows], "id long, r array<double>, v string")
