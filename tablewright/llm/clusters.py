@@ -3,7 +3,7 @@
 Every partition grows a tree whose leaf entries are cluster features (count, linear sum, sum of squares). Leaf entries of
 several partitions are merged, round by round, into trees of the same bounded number of leaves; Ward agglomeration joins
 the last leaves to clusters; one pass assigns every row to its leaf and cluster. Where groups are defined by a distance
-between rows, the same leaves are the cells in which rows meet for the exact check.
+between rows, Ward joins the leaves to blocks of bounded size, and the rows of a block meet for the exact check.
 """
 
 from __future__ import annotations
@@ -17,13 +17,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewright.llm.vectors import Cells, assigned, matrix, over_tiles, spread_centres, tile_pairs, tiled
+from tablewright.llm.vectors import CELL_ROWS, MOST_CELLS, TILE, TILE_KEYS, Cells, assigned, matrix, over_groups, spread_centres, tile_meetings
 from tablewright.plans.shared import sized_join, written
 
 #: Leaf entries of the first tree at most; entries of an inner node; trees merged into one; Ward clusters.
 LEAVES, BRANCH, FAN_IN, CLUSTERS = 512, 32, 8, 24
-#: Leaves in all after heavy ones are refined, about; rows below which a leaf isn't heavy.
-CELLS, LEAST_SHARE = 1024, 64
+#: Leaves that Ward takes at once at most (its matrix of costs is 32 MB); rows below which a leaf isn't refined; rows of a leaf
+#: aimed at where leaves are joined to blocks.
+WARD_LEAVES, LEAST_SHARE, LEAF_ROWS = 2048, 64, 512
 LEAF = "part int, node int, n double, ls array<double>, ss double"
 
 
@@ -206,22 +207,22 @@ def distinct_leaves(n: np.ndarray, ls: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.bincount(home, n, len(kept)), kept
 
 
-def refined_leaves(vectors: DataFrame, leaves: int, cells: int) -> tuple[np.ndarray, np.ndarray]:
-    """(n, centres) of the leaves of a tree, in which each leaf that holds far more than its share of the rows has become a
-    tree of its own: with `cells` leaves in all, far-off rows don't leave the dense ones to a single leaf."""
+def refined_leaves(vectors: DataFrame, leaves: int, cells: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(n, centres, tops) of the leaves of a tree, in which each leaf that holds far more than its share of the rows has become
+    a tree of its own: with `cells` leaves in all, far-off rows don't leave the dense ones to a single leaf. tops: the centres
+    of the first tree's leaves."""
     n, ls, _ = feature_leaves(vectors, {0: leaves})
     if not len(n):
-        return n, ls
-    n, centres = distinct_leaves(n, ls)
+        return n, ls, ls
+    n, tops = distinct_leaves(n, ls)
     share = max(LEAST_SHARE, n.sum() / cells)
     heavy = np.flatnonzero(n > 2 * share)
     if not len(heavy):
-        return n, centres
+        return n, tops, tops
     budgets = {int(i): int(max(2, n[i] / share)) for i in heavy}
-    held = Cells(centres)
-    m, sub, _ = feature_leaves(vectors, budgets, held)
+    m, sub, _ = feature_leaves(vectors, budgets, Cells(tops))
     light = np.setdiff1d(np.arange(len(n)), heavy)
-    return distinct_leaves(np.concatenate([n[light], m]), np.vstack([centres[light] * n[light, None], sub]))
+    return *distinct_leaves(np.concatenate([n[light], m]), np.vstack([tops[light] * n[light, None], sub])), tops
 
 
 def leaf_features(vectors: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -254,18 +255,30 @@ def leaf_features(vectors: DataFrame, centres: np.ndarray) -> tuple[np.ndarray,
     return n, means, within
 
 
-def ward(n: np.ndarray, centres: np.ndarray, clusters: int, within: np.ndarray | None = None, limit: float = np.inf) -> np.ndarray:
+def ward(n: np.ndarray, centres: np.ndarray, clusters: int, within: np.ndarray | None = None, limit: float = np.inf, most: float = np.inf) -> np.ndarray:
     """Cluster number of each leaf: join the two whose union costs least until `clusters` are left, or until every union left
-    would have a root mean square distance from its centre above `limit`. within: each leaf's sum of squared distances."""
+    would have a root mean square distance from its centre above `limit`, or more than `most` rows. within: each leaf's sum of
+    squared distances. Each leaf remembers its cheapest partner, which is sought anew only when that one has changed."""
     n, c = n.astype(np.float64).copy(), centres.astype(np.float64).copy()
     within = np.zeros(len(n)) if within is None else within.astype(np.float64).copy()
     label, alive = np.arange(len(n)), np.ones(len(n), bool)
-    d2 = np.maximum((c**2).sum(1)[:, None] + (c**2).sum(1)[None] - 2 * c @ c.T, 0)
-    cost = d2 * (n[:, None] * n[None]) / (n[:, None] + n[None])
-    cost[within[:, None] + within[None] + cost > limit**2 * (n[:, None] + n[None])] = np.inf
+    cost = np.maximum((c**2).sum(1)[:, None] + (c**2).sum(1)[None] - 2 * c @ c.T, 0)
+    cost *= n[:, None] * n[None] / (n[:, None] + n[None])
+
+    def barred(rows: slice | int, costs: np.ndarray) -> np.ndarray:
+        both = n[rows, None] + n[None] if isinstance(rows, slice) else n[rows] + n
+        spread = within[rows, None] + within[None] if isinstance(rows, slice) else within[rows] + within
+        return (spread + costs > limit**2 * both) | (both > most)
+
+    for s in range(0, len(n), 256):
+        part = cost[s : s + 256]
+        part[barred(slice(s, s + 256), part)] = np.inf
     np.fill_diagonal(cost, np.inf)
+    best = cost.argmin(1) if len(n) else label
+    least = cost[np.arange(len(n)), best]
     for _ in range(max(0, len(n) - clusters)):
-        i, j = sorted(divmod(int(cost.argmin()), len(n)))
+        i = int(least.argmin())
+        i, j = sorted((i, int(best[i])))
         if not np.isfinite(cost[i, j]):
             break
         within[i] += within[j] + cost[i, j]
@@ -273,14 +286,38 @@ def ward(n: np.ndarray, centres: np.ndarray, clusters: int, within: np.ndarray |
         n[i] += n[j]
         label[label == j] = i
         cost[j, :] = cost[:, j] = np.inf
-        alive[j] = False
+        alive[j], least[j] = False, np.inf
         row = ((c - c[i]) ** 2).sum(1) * n * n[i] / (n + n[i])
-        row[~alive | (within + within[i] + row > limit**2 * (n + n[i]))] = np.inf
+        row[~alive | barred(i, row)] = np.inf
         row[i] = np.inf
         cost[i, :] = cost[:, i] = row
+        nearer = row < least
+        best[nearer], least[nearer] = i, row[nearer]
+        for k in np.flatnonzero(alive & ~nearer & ((best == i) | (best == j))).tolist() + [i]:
+            best[k] = cost[k].argmin()
+            least[k] = cost[k, best[k]]
     return np.unique(label, return_inverse=True)[1]
 
 
+def leaf_blocks(vectors: DataFrame, rows: int, leaf_rows: int, block_rows: int) -> tuple[Cells, np.ndarray, np.ndarray] | None:
+    """(cells, block of each leaf, rows of each block): leaves of about `leaf_rows` rows, up to MOST_CELLS of them, joined by Ward
+    to blocks of at most `block_rows` (a leaf that holds more is a block). Where Ward can't take all leaves at once, it joins
+    those of one branch of the first tree. None without rows."""
+    wanted = int(min(max(rows // leaf_rows, 1), MOST_CELLS))
+    n, centres, tops = refined_leaves(vectors, min(LEAVES, wanted), wanted)
+    if not len(n):
+        return None
+    branch = np.zeros(len(n), np.int64) if len(n) <= WARD_LEAVES else Cells(tops).home(centres)[0]
+    block, blocks = np.zeros(len(n), np.int64), 0
+    for b in np.unique(branch):
+        own = np.flatnonzero(branch == b)
+        for s in range(0, len(own), WARD_LEAVES):
+            part = own[s : s + WARD_LEAVES]
+            block[part] = ward(n[part], centres[part], 1, most=block_rows) + blocks
+            blocks = int(block[part].max()) + 1
+    return Cells(centres), block, np.bincount(block, n)
+
+
 @dataclass(frozen=True)
 class Clustering:
     """cells: the leaves; cluster: leaf -> cluster; centres: of the clusters. rows: (id, v, leaf, cluster, distance)."""
@@ -309,7 +346,7 @@ class Clustering:
         return rows.join(F.broadcast(groups), "cluster").select("cluster", "size", "mean_distance", F.when(place > 0, place).alias("rank"), "id", "distance")
 
 
-def cluster_rows(vectors: DataFrame, clusters: int = CLUSTERS, leaves: int = LEAVES, cells: int = CELLS, limit: float | None = None) -> Clustering | None:
+def cluster_rows(vectors: DataFrame, clusters: int = CLUSTERS, leaves: int = LEAVES, cells: int = WARD_LEAVES // 2, limit: float | None = None) -> Clustering | None:
     """Divide the rows of (id, v) into at most `clusters` clusters. None if there are no rows.
 
     With a limit the number of clusters follows from the rows: no leaves are joined to a cluster whose root mean square
@@ -317,7 +354,7 @@ def cluster_rows(vectors: DataFrame, clusters: int = CLUSTERS, leaves: int = LEA
     Equal vectors share a cluster. The leaves depend on how rows lie in partitions; all rows take part. Rows with equal
     ids are rows of their own.
     """
-    n, centres = refined_leaves(vectors, leaves, cells)
+    n, centres, _ = refined_leaves(vectors, leaves, cells)
     if not len(n):
         return None
     if limit is None:
@@ -344,43 +381,59 @@ def cluster_rows(vectors: DataFrame, clusters: int = CLUSTERS, leaves: int = LEA
     return Clustering(Cells(centres), label, means, rows)
 
 
-def linked_groups(clustering: Clustering, radius: float, least: int) -> DataFrame:
-    """(group_id, id) of the groups of rows connected through pairs at most `radius` apart, with at least `least` rows; one
-    row for each row of such a group, group_id is its smallest id.
-
-    Rows meet in the leaves of the clustering, and in those of neighbouring leaves that a row at the border visits; the
-    distances of the pairs that meet are exact. Rows with equal vectors are one node with their number as weight. A tile
-    passes on a spanning forest of its links, never all pairs of a dense group.
-    """
-    rows = clustering.rows.select("id", "v")
-    nodes = written(rows.groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("rows")), "nodes")
-
-    def forest(tile: pa.Table) -> pa.RecordBatch:
-        a, b, _ = tile_pairs(tile, radius)
-        parent: dict[int, int] = {}
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root): the links (a, b) as links of each node to the smallest of its component; roots have no row."""
+    nodes, back = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = back[: len(a)], back[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        new = root.copy()
+        np.minimum.at(new, i, root[j])
+        np.minimum.at(new, j, root[i])
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    moved = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[moved], nodes[root[moved]]
 
-        def root(i: int) -> int:
-            while parent.setdefault(i, i) != i:
-                parent[i] = i = parent[parent[i]]
-            return i
 
-        for i, j in zip(a.tolist(), b.tolist()):
-            i, j = root(i), root(j)
-            if i != j:
-                parent[max(i, j)] = min(i, j)
-        linked = [(i, root(i)) for i in list(parent) if root(i) != i]
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in linked], pa.int64()), pa.array([x[1] for x in linked], pa.int64())], names=["a", "b"])
+def linked_groups(vectors: DataFrame, radius: float, least: int, leaf_rows: int = LEAF_ROWS, block_rows: int = CELL_ROWS) -> DataFrame:
+    """(group_id, id) of the groups of rows of (id, v) connected through pairs at most `radius` apart, with at least `least`
+    rows; one row for each row of such a group, group_id is its smallest id. Empty input gives no rows.
 
+    Rows are assigned to the leaves of a cluster-feature tree and meet in the block to which Ward has joined their leaf; rows
+    at the border of another block visit it, so no pair is lost, and the distances of the pairs that meet are exact. Rows with
+    equal vectors are one node with their number as weight. A local cell passes on one link per node, never all pairs of a
+    dense group.
+    """
+    counted = vectors.groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("rows"))
     # two rows of one id with different vectors are told apart by the node number
-    numbered = written(nodes.select(F.monotonically_increasing_id().alias("node"), "id", "v", "rows"), "numbered")
-    edges = over_tiles(tiled(assigned(numbered.select(F.col("node").alias("id"), "v"), clustering.cells, radius)), "a long, b long", forest)
-    roots = connected(edges)
-    members = numbered.select("node", "id", "v", "rows").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    nodes = written(counted.select(F.monotonically_increasing_id().alias("node"), "id", "v", "rows"), "nodes")
+    points = nodes.select(F.col("node").alias("id"), "v")
+    made = leaf_blocks(points, nodes.count(), leaf_rows, block_rows)
+    if made is None:
+        return vectors.select(F.col("id").alias("group_id"), "id").where("false")
+    cells, block, size = made
+
+    def forest(tile: pa.Table) -> pa.RecordBatch:
+        links = [stars(i, j) for i, j, _ in tile_meetings(tile, radius)]
+        a, b = (np.concatenate(c) for c in zip(*links)) if links else (np.zeros(0, np.int64),) * 2
+        ids = tile.column("id").to_numpy()
+        a, b = stars(ids[a], ids[b])
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    parts = np.maximum(1, np.ceil(size / TILE)).astype(np.int64)
+    roots = connected(over_groups(assigned(points, cells, radius, parts, block), TILE_KEYS, "a long, b long", forest))
+    members = nodes.select("node", "id", "rows").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     sizes = members.groupBy("root").agg(F.sum("rows").alias("size"), F.min("id").alias("group_id")).where(F.col("size") >= least)
-    chosen = written(members.join(sizes, "root").select("v", "id", "rows", "group_id"), "groups")
+    chosen = written(members.join(sizes, "root").select("node", "id", "rows", "group_id"), "groups")
     single = chosen.where("rows = 1").select("group_id", "id")
-    copies = chosen.where("rows > 1").select("v", "group_id")
-    return single.unionByName(sized_join(rows, copies, ["v"], "inner", ["id"]).select("group_id", "id"))
+    several = chosen.where("rows > 1").select("node", "group_id")
+    if several.isEmpty():
+        return single
+    copies = written(nodes.where("rows > 1").select("node", "v").join(several, "node").select("v", "group_id"), "copies")
+    return single.unionByName(sized_join(vectors.select("id", "v"), copies, ["v"], "inner", ["id"]).select("group_id", "id"))
 
 
 def connected(edges: DataFrame, rounds: int = 40) -> DataFrame:

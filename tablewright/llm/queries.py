@@ -66,21 +66,18 @@ def p4_nearest(spark: SparkSession, sf: str) -> DataFrame:
     return near.select(F.col("id").alias("vec_id"), "rank", F.col("other").alias("neighbour"), F.round("distance", 9).alias("distance"))
 
 
-def clustered_profiles(spark: SparkSession, sf: str, limit: float | None = None) -> Clustering | None:
-    return cluster_rows(profile_vectors(spark, sf, P6_FIELDS), limit=limit)
+def clustered_profiles(spark: SparkSession, sf: str) -> Clustering | None:
+    return cluster_rows(profile_vectors(spark, sf, P6_FIELDS), limit=(READINGS * len(P6_FIELDS)) ** 0.5)
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
-    made = clustered_profiles(spark, sf)
-    if made is None:
-        return spark.createDataFrame([], "group_id long, vec_id long")
-    return linked_groups(made, P6_RADIUS, P6_LEAST).select("group_id", F.col("id").alias("vec_id"))
+    return linked_groups(profile_vectors(spark, sf, P6_FIELDS), P6_RADIUS, P6_LEAST).select("group_id", F.col("id").alias("vec_id"))
 
 
 def p6_clusters(spark: SparkSession, sf: str) -> DataFrame:
     """Every complete row with its cluster, the cluster's size and, for the most typical members, their rank. The readings of a
     cluster of several leaves differ from its centre by one spread in the root mean square at most."""
-    made = clustered_profiles(spark, sf, (READINGS * len(P6_FIELDS)) ** 0.5)
+    made = clustered_profiles(spark, sf)
     if made is None:
         return spark.createDataFrame([], "cluster int, size long, mean_distance double, rank int, vec_id long, distance double")
     return made.divided().withColumnRenamed("id", "vec_id")

@@ -38,10 +38,11 @@ def test_int8_bound_loses_no_pair():
         assert got == set(zip(*np.nonzero(d <= 0.9 * scale)))
 
 
-@pytest.mark.parametrize("tile", [3000, 40])
+@pytest.mark.parametrize("tile", [100_000, 40])
 def test_similar_rows_are_the_k_nearest_within_the_radius(spark, monkeypatch, tile):
     monkeypatch.setattr(V, "TILE", tile)
-    monkeypatch.setattr(V, "PER_CENTRE", 20)
+    monkeypatch.setattr(V, "CELL_ROWS", 90)
+    monkeypatch.setattr(V, "NEAR", 20)
     x = blobs(500, copies=60)
     got = {}
     for r in sorted(V.similar_rows(frame(spark, x), 4, 1.2).collect(), key=lambda r: (r.id, r.rank)):
@@ -61,8 +62,8 @@ def test_a_third_of_copies_and_repeated_ids(spark):
 
 
 def test_search_is_exact(spark, monkeypatch):
-    monkeypatch.setattr(V, "QUERY_SLICE", 7)
-    monkeypatch.setattr(V, "TILE", 64)
+    monkeypatch.setattr(V, "CELL_ROWS", 40)
+    monkeypatch.setattr(V, "TILE", 30)
     x = blobs(400, copies=40)
     df = frame(spark, x)
     want = nearest(x, 5)
@@ -75,7 +76,8 @@ def test_search_is_exact(spark, monkeypatch):
 
 def test_search_with_repeated_ids(spark, monkeypatch):
     """Copies of a query don't push its neighbours out, and a repeated neighbour takes one place."""
-    monkeypatch.setattr(V, "TILE", 64)
+    monkeypatch.setattr(V, "CELL_ROWS", 40)
+    monkeypatch.setattr(V, "TILE", 30)
     x = np.vstack([blobs(300), np.tile(blobs(300)[:1], (30, 1)), blobs(300)[20:60] + 0.01])
     ids = [*range(300), *[0] * 30, *range(20, 60)]
     df = frame(spark, x, ids, parts=2)
@@ -178,15 +180,15 @@ def components(x, ids, radius, least):
     return sorted((min(g), i) for g in groups.values() if len(g) >= least for i in g)
 
 
-@pytest.mark.parametrize("tile", [3000, 30])
+@pytest.mark.parametrize("tile", [100_000, 30])
 def test_linked_groups_are_the_components(spark, monkeypatch, tile):
-    monkeypatch.setattr(V, "TILE", tile)
+    monkeypatch.setattr(G, "TILE", tile)
+    monkeypatch.setattr(V, "NEAR", 25)
     x = blobs(400, dims=4, seed=4, copies=50)
     chain = np.column_stack([np.arange(80) * 0.45 - 20, np.full((80, 3), 30.0)])
     x = np.vstack([x, chain])
     ids = random.Random(0).sample(range(10_000), len(x))
-    made = G.cluster_rows(frame(spark, x, ids), leaves=24)
-    got = sorted((r.group_id, r.id) for r in G.linked_groups(made, 0.5, 5).collect())
+    got = sorted((r.group_id, r.id) for r in G.linked_groups(frame(spark, x, ids), 0.5, 5, leaf_rows=15, block_rows=60).collect())
     assert got == components(x, ids, 0.5, 5) and len(got) > 100
 
 
@@ -210,3 +212,83 @@ def test_connected(spark):
                     todo += near[i]
     assert got == want
     assert G.connected(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_groups_of_centres_lose_no_visit(monkeypatch):
+    x = blobs(900, seed=6)
+    x[:5] *= 300
+    plain = V.Cells(x[::9])
+    monkeypatch.setattr(V, "PLAIN", 10)
+    grouped = V.Cells(x[::9])
+    assert plain.tops is None and grouped.tops is not None
+    for radius in (0.3, np.where(np.arange(900) % 50, 1.0, np.inf)):
+        for every in (False, True):
+            a, b = (c.visits(x, radius, every=every) for c in (plain, grouped))
+            assert (a[0] == b[0]).all() and sorted(zip(a[1], a[2])) == sorted(zip(b[1], b[2]))
+    assert np.allclose(plain.home(x)[1], grouped.home(x)[1])
+
+
+def test_local_cells_meet_each_pair_once():
+    x = blobs(1500, dims=3, seed=7)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    resident = np.arange(1500) % 3 > 0
+    want = {(i, j) for i, j in zip(*np.nonzero(d <= 0.4)) if i < j and (resident[i] or resident[j])}
+    got = [(min(i, j), max(i, j)) for a, b, _ in V.meetings(x, resident, None, 0.4) for i, j in zip(a.tolist(), b.tolist())]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_pairs_compared_per_row_do_not_grow(monkeypatch):
+    """Ten and forty times the rows of one cell, at the density that the readings of more stays have: the products stay as wide."""
+    compared = [0]
+    plain = V.within
+
+    def counted(a, b, radius):
+        compared[0] += len(a) * (len(a) if b is None else len(b))
+        return plain(a, b, radius)
+
+    monkeypatch.setattr(V, "within", counted)
+    per_row = {}
+    for n in (2_000, 20_000, 80_000):
+        rng = np.random.default_rng(n)
+        x = np.repeat(rng.normal(size=(n, 3)), 8, 1) * 3 + rng.normal(size=(n, 24)) * 0.3
+        compared[0] = 0
+        for _ in V.meetings(x, np.ones(n, bool), None, 0.35):
+            pass
+        per_row[n] = compared[0] / n
+    assert per_row[20_000] < 1.5 * per_row[2_000] and per_row[80_000] < 1.5 * per_row[20_000], per_row
+
+
+def test_stars():
+    rng = np.random.default_rng(8)
+    a, b = rng.integers(0, 500, 300), rng.integers(0, 500, 300)
+    a, b = np.append(a, np.arange(600, 700)), np.append(b, np.arange(601, 701))
+    node, root = G.stars(a, b)
+    got, near = dict(zip(node.tolist(), root.tolist())), {}
+    for i, j in zip(a.tolist(), b.tolist()):
+        near.setdefault(i, set()).add(j)
+        near.setdefault(j, set()).add(i)
+    seen = {}
+    for i in sorted(near):
+        todo = [i]
+        while todo:
+            k = todo.pop()
+            if k not in seen:
+                seen[k] = i
+                todo += near[k]
+    assert got == {k: r for k, r in seen.items() if k != r}
+
+
+def test_a_component_of_a_third_of_the_rows(spark):
+    ball = np.random.default_rng(9).normal(size=(300, 4)) * 0.05
+    x = np.vstack([ball, blobs(600, dims=4, seed=10) + 40])
+    ids = list(range(len(x)))
+    got = sorted((r.group_id, r.id) for r in G.linked_groups(frame(spark, x, ids), 0.5, 5, leaf_rows=15, block_rows=60).collect())
+    assert got == components(x, ids, 0.5, 5) and sum(g == 0 for g, _ in got) == 300
+
+
+def test_ward_keeps_blocks_below_their_limit():
+    rng = np.random.default_rng(11)
+    n, c = rng.integers(1, 40, 300), rng.normal(size=(300, 5))
+    label = G.ward(n, c, 1, most=100)
+    size = np.bincount(label, n)
+    assert size.max() <= 100 and len(size) < 2 * n.sum() / 50
