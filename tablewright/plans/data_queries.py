@@ -9,7 +9,6 @@ from tablewright.functions.parse import EDGE_SPACE, MISSING_TOKENS, label_missin
 from tablewright.operators import columns as C
 from tablewright.operators.propagate import Edge, Filled, fill_missing
 from tablewright.operators.rejects import Field, LoadedLines, load_lines
-from tablewright.plans.shared import written
 from tablewright.plans.tables import table
 
 _CHECKED = {"X20_heart_rate": (20.0, 300.0), "X23_temperature": (30.0, 45.0), "X24_oxygen_sat": (50.0, 100.0)}
@@ -54,22 +53,37 @@ def column_specs(spark: SparkSession, sf: str) -> list[C.ColumnSpec]:
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     specs = column_specs(spark, sf)
-    names = [s.column for s in specs]
-    counts = written(C.apply_deltas(None, C.delta(table(spark, sf, "encounters"), "load_id", names)), "counts")
-    return C.load_findings(counts, names, specs, table(spark, sf, "loads"))
+    store = C.temporary_store(spark, [s.column for s in specs])
+    counts = store.commit(C.delta(table(spark, sf, "encounters"), "load_id", store.columns))
+    return C.load_findings(counts, store.columns, specs, table(spark, sf, "loads"))
 
 
-def p3_profile(spark: SparkSession, sf: str) -> DataFrame:
-    """The profile of every column of every load."""
-    rows, specs = table(spark, sf, "encounters"), column_specs(spark, sf)
-    names = [c for c in rows.columns if c != "load_id"]
-    out = C.profile_loads(rows, "load_id", names, specs)
-    return out.select(
+def _shown_profile(counts: DataFrame, names: list[str], specs: list[C.ColumnSpec]) -> DataFrame:
+    return C.profile(counts, names, specs).select(
         "load_id", C.column_names(F.col("c"), names).alias("column_name"), "row_count", "missing", F.round("missing_share", 9).alias("missing_share"), "distinct_values",
         "min_number", "max_number", "min_label", "max_label", "broken", F.round("entropy", 6).alias("entropy"), *(F.round(q, 9).alias(q) for q in ("q1", "median", "q3")),
     )
 
 
+def p3_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """The profile of every column of every load."""
+    rows = table(spark, sf, "encounters")
+    store = C.temporary_store(spark, [c for c in rows.columns if c != "load_id"])
+    return _shown_profile(store.commit(C.delta(rows, "load_id", store.columns)), store.columns, column_specs(spark, sf))
+
+
+def p3_after_correction(spark: SparkSession, sf: str) -> DataFrame:
+    """The profile after a correction: all rows have entered the store, then those of an encounter that was sent again leave by a
+    delta of -1, all but the one of the greatest row_id. Only the rows that leave are counted for it."""
+    rows = table(spark, sf, "encounters")
+    store = C.temporary_store(spark, [c for c in rows.columns if c != "load_id"])
+    store.commit(C.delta(rows, "load_id", store.columns))
+    # sendings of one encounter are few
+    last = rows.groupBy("enc_id").agg(F.max("row_id").alias("_last"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("enc_id", "_last")
+    replaced = rows.join(last, "enc_id").where(F.col("row_id") < F.col("_last")).select(*rows.columns)
+    return _shown_profile(store.commit(C.delta(replaced, "load_id", store.columns, sign=-1)), store.columns, column_specs(spark, sf))
+
+
 #: Times and numbers kept as text: loads are compared by their medians.
 _AS_NUMBERS = ("appt_ts", "checkin_ts", "X23_temperature", "X24_oxygen_sat")
 
@@ -99,7 +113,7 @@ def p5_filled(spark: SparkSession, sf: str) -> DataFrame:
     return filled_encounters(spark, sf).rows
 
 
-QUERIES = {"p1_found": p1_found, "p1_records": p1_records, "p3_found": p3_found, "p3_profile": p3_profile, "p3_changes": p3_changes, "p5_found": p5_found, "p5_filled": p5_filled}
+QUERIES = {"p1_found": p1_found, "p1_records": p1_records, "p3_found": p3_found, "p3_profile": p3_profile, "p3_after_correction": p3_after_correction, "p3_changes": p3_changes, "p5_found": p5_found, "p5_filled": p5_filled}
 
 _TOKENS = "(" + ", ".join(f"'{t}'" for t in MISSING_TOKENS) + ")"
 _FIELD = '(?:"(?:[^"]|"")*"|[^",]*)'
@@ -156,7 +170,7 @@ texts as (select line_id, {", ".join(raw)} from good)
 select line_id, {", ".join(typed)}, array_to_string(list_filter([{", ".join(lost)}], lambda x: x is not null), ',') as unparsed_columns from texts"""
 
 
-def _profile_sql() -> str:
+def _profile_sql(rows: str = "encounters") -> str:
     """Every column of encounters but load_id, from its values and not from counts."""
     own = {"row_id": "number", "enc_id": "number", "clinic_id": "label", "appt_ts": "time", "checkin_ts": "time"}
     kinds = own | {c: "label" if _kind(c) == "string" or c in ("X23_temperature", "X24_oxygen_sat") else "int" if _kind(c) != "double" else "number" for c in _NAMES}
@@ -169,7 +183,7 @@ def _profile_sql() -> str:
             lab = f"{c}::varchar"
         else:
             num = f"case when not isnan({c}::double) then {c}::double end"
-        parts.append(f"select load_id, '{c}' as column_name, {num} as num, {lab} as lab from encounters")
+        parts.append(f"select load_id, '{c}' as column_name, {num} as num, {lab} as lab from {rows}")
     return f"""
 with cells as ({" union all ".join(parts)}),
 counts as (select load_id, column_name, num, lab, count(*) as n from cells group by 1, 2, 3, 4),
@@ -225,4 +239,4 @@ def _p5_sql() -> str:
     )
 
 
-SQL = {"p1_found": _p1_sql(), "p1_records": _records_sql(), "p3_profile": _profile_sql(), "p3_found": _p3_sql(), "p5_found": _p5_sql()}
+SQL = {"p1_found": _p1_sql(), "p1_records": _records_sql(), "p3_profile": _profile_sql(), "p3_after_correction": _profile_sql("(from encounters qualify enc_id is null or row_id = max(row_id) over (partition by enc_id))"), "p3_found": _p3_sql(), "p5_found": _p5_sql()}

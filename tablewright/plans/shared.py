@@ -8,8 +8,11 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,16 +64,46 @@ def _remove(spark: SparkSession, path: str) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder, which is emptied when the driver's Python ends."""
+    path = f"{shared_dir(spark)}/tablewright/{uuid.uuid4().hex}/{name}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def written(df: DataFrame, name: str = "step") -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: lineage ends here and survives lost executors.
 
     The folder is removed when the driver's Python ends. Columns keep their order and types.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tablewright/{uuid.uuid4().hex}/{name}"
+    path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def over_groups(rows: DataFrame, keys: tuple[str, ...], schema: str, use: Callable[[pa.Table], pa.RecordBatch]) -> DataFrame:
+    """Run `use` (Arrow table of one key -> record batch) over the groups of integer keys without nulls, which come whole and
+    one after another. A group must be of bounded size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        now = None
+        for batch in batches:
+            code = [batch.column(k).to_numpy() for k in keys]
+            cuts = np.flatnonzero(np.any([np.diff(c, prepend=c[0]) != 0 for c in code], 0)) if len(batch) else []
+            for s, e in zip([0, *cuts], [*cuts, len(batch)]):
+                if e == s:
+                    continue
+                key = tuple(int(c[s]) for c in code)
+                if key != now and held:
+                    yield use(pa.Table.from_batches(held).combine_chunks())
+                    held = []
+                now = key
+                held.append(batch.slice(s, e - s))
+        if held:
+            yield use(pa.Table.from_batches(held).combine_chunks())
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
 def width(df: DataFrame) -> Column:

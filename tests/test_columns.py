@@ -23,7 +23,6 @@ def test_profile_from_counts_equals_the_rows(spark):
     df = spark.createDataFrame(data, SCHEMA)
     counts = C.delta(df, "load_id", ["x", "y"])
     got = {(r.load_id, r.c): r for r in C.profile(counts, ["x", "y"], [C.ColumnSpec("x", 0, 80), C.ColumnSpec("y", allowed=("a", "b"))]).collect()}
-    quart = {r.load_id: r for r in C.quartiles(counts).collect()}
     for load in range(1, 7):
         xs = [r[1] for r in data if r[0] == load]
         seen = [x for x in xs if x is not None and x == x]
@@ -32,7 +31,7 @@ def test_profile_from_counts_equals_the_rows(spark):
         assert (p.min_number, p.max_number, p.broken) == (min(seen), max(seen), sum(not 0 <= x <= 80 for x in seen))
         share = np.unique(np.array(seen) + 0.0, return_counts=True)[1] / len(seen)
         assert p.entropy == pytest.approx(-(share * np.log(share)).sum())
-        assert [quart[load][q] for q in ("q1", "median", "q3")] == pytest.approx(np.quantile(seen, [0.25, 0.5, 0.75]))
+        assert [p[q] for q in ("q1", "median", "q3")] == pytest.approx(np.quantile(seen, [0.25, 0.5, 0.75]))
         ys = [r[2] for r in data if r[0] == load and r[2] in ("a", "b", "c", "d")]
         assert got[load, 1].missing == len(xs) - len(ys) and got[load, 1].broken == sum(y not in ("a", "b") for y in ys)
 
@@ -41,21 +40,44 @@ def test_signed_deltas_undo_a_load(spark, tmp_path):
     a, b = spark.createDataFrame(rows(1), SCHEMA), spark.createDataFrame(rows(2), SCHEMA)
     store = C.CountStore(spark, str(tmp_path / "counts"), ["x", "y"])
     store.commit(C.delta(a, "load_id", ["x", "y"]))
-    before = sorted(map(repr, store.counts().collect()))
+    before = kept(store)
     store.commit(C.delta(b, "load_id", ["x", "y"]))
-    assert sorted(map(repr, store.counts().collect())) != before
+    assert kept(store) != before
     again = C.CountStore(spark, str(tmp_path / "counts"), ["x", "y"])
     again.commit(C.delta(b, "load_id", ["x", "y"], sign=-1))
-    assert again.version() == 3 and sorted(map(repr, again.counts().collect())) == before
+    assert again.version() == 3 and kept(again) == before
     again.commit(C.delta(b, "load_id", ["x", "y"]), version=3)
-    assert sorted(map(repr, again.counts().collect())) == before
+    assert kept(again) == before
 
 
-def findings(spark, data, loads, specs):
-    from tablewright.plans.shared import written
+def kept(store):
+    return sorted(map(repr, C.merged(store.counts()).collect()))
+
+
+def test_segments_are_merged_and_removed(spark, tmp_path, monkeypatch):
+    """One commit per load appends; a load that is corrected leaves and comes back; the state is that of all rows."""
+    monkeypatch.setattr(C, "SEGMENTS", 3)
+    monkeypatch.setattr(C, "SLICE_ROWS", 40)
+    store = C.CountStore(spark, str(tmp_path / "counts"), ["x", "y"])
+    data = [(k % 8, *r[1:]) for k, r in enumerate(rows(3))]
+    parts = [spark.createDataFrame([r for r in data if r[0] == k], SCHEMA) for k in range(8)]
+    for d in parts:
+        store.commit(C.delta(d, "load_id", ["x", "y"]))
+    wrong = spark.createDataFrame([(5, 1e6, "q", "")] * 7, SCHEMA)
+    store.commit(C.delta(wrong, "load_id", ["x", "y"]))
+    store.commit(C.delta(wrong, "load_id", ["x", "y"], sign=-1))
+    assert store.version() == 10 and len(store._live()) < 6 and len(store._segments()) < 11
+    want = C.CountStore(spark, str(tmp_path / "whole"), ["x", "y"])
+    want.commit(C.delta(spark.createDataFrame(data, SCHEMA), "load_id", ["x", "y"]))
+    assert shown(C.profile(store.counts(), ["x", "y"])) == shown(C.profile(want.counts(), ["x", "y"]))
+    for d in parts:
+        store.commit(C.delta(d, "load_id", ["x", "y"], sign=-1))
+    assert C.merged(store.counts()).count() == 0 and C.profile(store.counts(), ["x", "y"]).count() == 0
+
 
+def findings(spark, data, loads, specs):
     names = [s.column for s in specs]
-    counts = written(C.delta(spark.createDataFrame(data, SCHEMA), "load_id", names))
+    counts = C.temporary_store(spark, names).commit(C.delta(spark.createDataFrame(data, SCHEMA), "load_id", names))
     return sorted((r.load_id, r.column_name, r.finding) for r in C.load_findings(counts, names, specs, spark.createDataFrame(loads, "load_id long, feed_id string, seq_no int")).collect())
 
 
@@ -102,7 +124,8 @@ def shown(df):
 def test_hot_loads_get_the_same_profile(spark, monkeypatch):
     df = spark.createDataFrame([*rows(4), (None, 1.0, "a", "")], SCHEMA)
     want = shown(C.profile_loads(df, "load_id", ["x", "y"]))
-    monkeypatch.setattr(C, "HOT_ROWS", 70)
+    monkeypatch.setattr(C, "SLICE_ROWS", 20)
+    monkeypatch.setattr(C, "CHUNK", 7)
     got = shown(C.profile_loads(df, "load_id", ["x", "y"]))
     assert got == want and len(got) == 14
 
@@ -135,7 +158,8 @@ def test_changes_hold_the_findings_of_the_columns_with_rules(spark, sf):
 def test_a_hot_null_load_has_its_quartiles(spark, monkeypatch):
     df = spark.createDataFrame([*rows(4), *((None, float(i % 50), "a", "") for i in range(100))], SCHEMA)
     want = shown(C.profile_loads(df, "load_id", ["x", "y"]))
-    monkeypatch.setattr(C, "HOT_ROWS", 70)
+    monkeypatch.setattr(C, "SLICE_ROWS", 20)
+    monkeypatch.setattr(C, "CHUNK", 7)
     made = C.profile_loads(df, "load_id", ["x", "y"])
     null = made.where("load_id IS NULL AND c = 0").first()
     assert shown(made) == want and (null.row_count, null.q1, null.median, null.q3) == (100, 12.0, 24.5, 37.0)
