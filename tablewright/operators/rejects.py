@@ -1,12 +1,13 @@
 """Loading delimited text lines: typed records on one side, rejected lines with reasons on the other.
 
 Structure (quoting, number of fields) is decided per line by array expressions. Values are decided per distinct value:
-the distinct texts of each checked column are cast once, those that can't stand form a dictionary (column, text, reason),
-and the dictionary is joined back to the lines.
+the distinct texts of each checked column are written, and every one of them is cast once. Those that can't stand form a
+dictionary (column, text, reason) that is joined back to the lines; records take the cast values of the others.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -36,11 +37,15 @@ class Field:
 class LoadedLines:
     """records: the input's other columns, one typed column per field, and `unparsed`, a map of texts no field type could
     hold. rejects: the input's columns, `reason` (quoting, column_count, value) and `detail`. dictionary: column_name,
-    text, reason."""
+    text and reason of the invalid values."""
 
-    records: DataFrame
     rejects: DataFrame
     dictionary: DataFrame
+    _records: Callable[[], DataFrame]
+
+    @property
+    def records(self) -> DataFrame:
+        return self._records()
 
 
 def bad_quoting(line: Column) -> Column:
@@ -80,18 +85,27 @@ def _loose(c: Column) -> Column:
     return F.trim(c, F.lit(" \t\r\n"))
 
 
-def value_reason(text: Column, low: Column, high: Column) -> Column:
-    """Why a bare text can't stand for a checked field; null if it can."""
-    number = F.when(text.rlike(FINITE_NUMBER) & ~text.rlike(r"[\r\n]"), text.try_cast("double"))
+def judged(values: DataFrame, checked: list[Field]) -> DataFrame:
+    """(column_name, text, number, reason) of (column_name, text): each bare text of a checked field as a number, and why it
+    can't stand; no reason if it can, missing tokens included."""
+    text = F.col("text")
+    low, high = F.lit(None).cast("double"), F.lit(None).cast("double")
+    for f in checked:
+        here = F.col("column_name") == f.name
+        low = F.when(here, F.lit(float("-inf") if f.low is None else float(f.low))).otherwise(low)
+        high = F.when(here, F.lit(float("inf") if f.high is None else float(f.high))).otherwise(high)
+    cast = values.withColumn("number", F.when(text.rlike(FINITE_NUMBER) & ~text.rlike(r"[\r\n]"), text.try_cast("double")))
+    number = F.col("number")
     reason = F.when(number.isNull(), "not_a_number").when((number < low) | (number > high), "out_of_range")
-    return F.when(~text.isin(*MISSING_TOKENS), reason)
+    return cast.select("column_name", "text", "number", F.when(~text.isin(*MISSING_TOKENS), reason).alias("reason"))
 
 
-def _typed(text: Column, kind: str) -> Column:
+def _typed(text: Column, kind: str, number: Column | None = None) -> Column:
+    """A present text in its field's type; number: its value where that is known."""
     if kind == "string":
         return text
     bare = _loose(text)
-    number = F.when(bare.rlike(FINITE_NUMBER), bare.try_cast("double"))
+    number = F.when(bare.rlike(FINITE_NUMBER), bare.try_cast("double")) if number is None else number
     if kind == "double":
         return number
     return F.when(number == F.floor(number), F.coalesce(bare.try_cast(kind), number.try_cast(kind)))
@@ -111,49 +125,56 @@ def load_lines(lines: DataFrame, line: str, fields: list[Field]) -> LoadedLines:
     structure = (
         F.when(text.isNull(), "column_count").when(bad_quoting(text), "quoting").when(field_count(text) != len(fields), "column_count")
     )
-    ours = {"reason", "detail", "unparsed", "_reason", "_fields", "_salt"} | {f"_v{i}" for i in range(len(checked))}
+    ours = {"reason", "detail", "unparsed", "_reason", "_fields", "_salt"} | {f"_{x}{i}" for i in range(len(fields)) for x in "vrgt"}
     kept = [c for c in lines.columns if c not in ours]
     parsed = lines.select(*map(name, kept)).withColumn("_reason", structure)
     parsed = parsed.withColumn("_fields", F.when(F.col("_reason").isNull(), fields_of(text)))
     for i, f in enumerate(checked):
         parsed = parsed.withColumn(f"_v{i}", _bare(F.get("_fields", F.lit(order[f.name]))))
 
-    dictionary = written(_dictionary(parsed, checked), "invalid_values")
-    fits = fits_broadcast(dictionary)
-    joined = parsed
-    for i, f in enumerate(checked):
-        part = dictionary.where(F.col("column_name") == f.name).select(F.col("text").alias(f"_v{i}"), F.col("reason").alias(f"_r{i}"))
-        joined = sized_join(joined, part, [f"_v{i}"], "left", [line], fits)
-    faults = F.concat_ws("; ", *(F.concat(F.lit(f.name + ": "), F.col(f"_r{i}")) for i, f in enumerate(checked)))
+    values = written(judged(_distinct_texts(parsed, checked), checked), "values")
+    invalid = written(values.where("reason IS NOT NULL").select("column_name", "text", "reason"), "invalid_values")
+
+    def joined(table: DataFrame, what: str, to: str) -> DataFrame:
+        """The lines with what the table has for the text of each checked field."""
+        out, fits = parsed, fits_broadcast(table)
+        for i, f in enumerate(checked):
+            part = table.where(F.col("column_name") == f.name).select(F.col("text").alias(f"_v{i}"), F.col(what).alias(f"{to}{i}"))
+            out = sized_join(out, part, [f"_v{i}"], "left", [line], fits)
+        return out
+
     any_fault = F.lit(False)
     for i in range(len(checked)):
         any_fault = any_fault | F.col(f"_r{i}").isNotNull()
     reason = F.coalesce("_reason", F.when(any_fault, "value"))
+    faults = F.concat_ws("; ", *(F.concat(F.lit(f.name + ": "), F.col(f"_r{i}")) for i, f in enumerate(checked)))
+    rejects = joined(invalid, "reason", "_r").where(reason.isNotNull()).select(*map(name, kept), reason.alias("reason"), F.when(F.col("_reason").isNull(), faults).alias("detail"))
+
+    return LoadedLines(rejects, invalid, lambda: _records(joined, values, fields, [c for c in kept if c not in order and c != line]))
+
 
-    rejects = joined.where(reason.isNotNull()).select(*map(name, kept), reason.alias("reason"), F.when(F.col("_reason").isNull(), faults).alias("detail"))
-    texts = {f.name: F.get("_fields", F.lit(i)) for f, i in ((f, order[f.name]) for f in fields)}
+def _records(joined: Callable[[DataFrame, str, str], DataFrame], values: DataFrame, fields: list[Field], kept: list[str]) -> DataFrame:
+    checked = [f for f in fields if f.checked]
+    # a text that can't stand has no row among the good values, and a line with one is no record
+    good = values.where("reason IS NULL").select("column_name", "text", F.struct("number").alias("is"))
+    sound = joined(good, "is", "_g").where(F.col("_reason").isNull())
+    for i in range(len(checked)):
+        sound = sound.where(F.col(f"_g{i}").isNotNull())
+    texts = {f.name: F.get("_fields", F.lit(i)) for i, f in enumerate(fields)}
     present = {n: F.when(~_loose(t).isin(*MISSING_TOKENS), t) for n, t in texts.items()}
-    typed = {f.name: _typed(present[f.name], f.kind) for f in fields}
+    known = {f.name: F.col(f"_g{i}.number") for i, f in enumerate(checked)}
+    typed = sound.select("*", *(_typed(present[f.name], f.kind, known.get(f.name)).alias(f"_t{i}") for i, f in enumerate(fields)))
     lost = F.filter(
-        F.array(*(F.struct(F.lit(f.name).alias("key"), F.when(typed[f.name].isNull(), present[f.name]).alias("value")) for f in fields if f.kind != "string")),
+        F.array(*(F.struct(F.lit(f.name).alias("key"), F.when(F.col(f"_t{i}").isNull(), present[f.name]).alias("value")) for i, f in enumerate(fields) if f.kind != "string")),
         lambda x: x["value"].isNotNull(),
     )
-    records = joined.where(reason.isNull()).select(
-        *(name(c) for c in kept if c not in order and c != line), *(typed[f.name].alias(f.name) for f in fields), F.map_from_entries(lost).alias("unparsed")
-    )
-    return LoadedLines(records, rejects, dictionary)
+    return typed.select(*map(name, kept), *(F.col(f"_t{i}").alias(f.name) for i, f in enumerate(fields)), F.map_from_entries(lost).alias("unparsed"))
 
 
-def _dictionary(parsed: DataFrame, checked: list[Field]) -> DataFrame:
-    """(column_name, text, reason) of the distinct invalid texts; distinct is combined before the shuffle, so a text in a
-    third of all lines is one row per task there."""
+def _distinct_texts(parsed: DataFrame, checked: list[Field]) -> DataFrame:
+    """(column_name, text) of the sound lines, each once, as a written table: what is decided about them can't move below the
+    grouping. Texts are combined before the shuffle, so one in a third of all lines is one row per task there."""
     if not checked:
-        return parsed.sparkSession.createDataFrame([], "column_name string, text string, reason string")
+        return parsed.sparkSession.createDataFrame([], "column_name string, text string")
     pairs = F.array(*(F.struct(F.lit(f.name).alias("column_name"), F.col(f"_v{i}").alias("text")) for i, f in enumerate(checked)))
-    distinct = parsed.where("_reason IS NULL").select(F.explode(pairs).alias("p")).select("p.column_name", "p.text").distinct()
-    low, high = F.lit(None).cast("double"), F.lit(None).cast("double")
-    for f in checked:
-        here = F.col("column_name") == f.name
-        low = F.when(here, F.lit(float("-inf") if f.low is None else float(f.low))).otherwise(low)
-        high = F.when(here, F.lit(float("inf") if f.high is None else float(f.high))).otherwise(high)
-    return distinct.withColumn("reason", value_reason(F.col("text"), low, high)).where("reason IS NOT NULL")
+    return written(parsed.where("_reason IS NULL").select(F.explode(pairs).alias("p")).select("p.column_name", "p.text").distinct(), "distinct_texts")

@@ -109,12 +109,26 @@ def test_dictionary_has_each_text_once(spark):
     assert sorted((r.column_name, r.text, r.reason) for r in out.dictionary.collect()) == [("hr", "999", "out_of_range"), ("hr", "oops", "not_a_number")]
 
 
+def test_each_distinct_text_is_cast_once(spark, monkeypatch):
+    """The cast reads a table that has each text of a column once, and stands above nothing but its scan."""
+    import tablewright.operators.rejects as R
+
+    seen, plain = [], R.judged
+    monkeypatch.setattr(R, "judged", lambda values, checked: seen.append((values, plain(values, checked))) or seen[-1][1])
+    _, out = found(spark, [f"1,{60 + i % 7},x" for i in range(500)] + ["1,oops,x"] * 90 + ["1,,x"])
+    values, made = seen[0]
+    assert values.count() == made.count() == 9 and out.records.count() == 501
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Aggregate" not in plan and "distinct_texts" in str(values.inputFiles())
+
+
 def test_large_dictionary_is_joined_by_salted_shuffle(spark, monkeypatch):
     import tablewright.plans.shared as shared
 
     monkeypatch.setattr(shared, "MAX_BROADCAST_ROWS", 0)
-    got, _ = found(spark, LINES)
+    got, out = found(spark, LINES)
     assert got == {i: r for i, line in enumerate(LINES) if (r := brute(line))}
+    assert sorted(r.line_id for r in out.records.collect()) == [i for i, line in enumerate(LINES) if not brute(line)]
 
 
 @pytest.mark.parametrize("name", ["p1_found", "p1_records"])
