@@ -127,8 +127,16 @@ _NAMES = ["load_id", "c", "n", "missing", "nums", "num_cnts", "labels", "label_c
 
 def _counted(group: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(group, value, count) of the distinct values of each group, in this order."""
-    order = np.lexsort((value, group))
-    group, value = group[order], value[order]
+    groups = int(group.max()) + 1 if len(group) else 0
+    if groups * 64 < len(group):  # few groups are sorted one after another, which is faster
+        order = np.argsort(group, kind="stable")
+        group, value = group[order], value[order]
+        cuts = np.searchsorted(group, np.arange(1, groups))
+        for part in np.split(value, cuts):
+            part.sort()
+    else:
+        order = np.lexsort((value, group))
+        group, value = group[order], value[order]
     starts = np.flatnonzero(np.append(True, (group[1:] != group[:-1]) | (value[1:] != value[:-1]))) if len(value) else np.zeros(0, np.int64)
     return group[starts], value[starts], np.diff(np.append(starts, len(value)))
 
@@ -154,21 +162,19 @@ class _Merged:
 
     @classmethod
     def of(cls, rows: pa.Table) -> _Merged:
-        part = {c: rows.column(c).combine_chunks() for c in _NAMES[4:]}
-        v, w = part["nums"].flatten().to_numpy(zero_copy_only=False), part["num_cnts"].flatten().to_numpy(zero_copy_only=False)
-        labels, lw = part["labels"].flatten(), part["label_cnts"].flatten().to_numpy(zero_copy_only=False)
+        v, w, labels, lw = (rows.column(c).combine_chunks().flatten() for c in _NAMES[4:])
+        v, w, lw = (a.to_numpy(zero_copy_only=False) for a in (v, w, lw))
         if len(rows) > 1:
             v, w = cls._united(v, w)
+        if len(w) and not w.all():
+            v, w = v[w != 0], w[w != 0]
+        if len(labels):
             coded = labels.dictionary_encode()
             at, lw = cls._united(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), lw)
-            labels = coded.dictionary.take(pa.array(at))
-        order = pc.array_sort_indices(labels)
-        labels, lw = labels.take(order), lw[order.to_numpy()]
-        if (w == 0).any():
-            v, w = v[w != 0], w[w != 0]
-        if (lw == 0).any():
-            labels, lw = labels.filter(pa.array(lw != 0)), lw[lw != 0]
-        return cls(pc.sum(rows.column("n")).as_py(), pc.sum(rows.column("missing")).as_py(), v, w, labels, lw)
+            labels = coded.dictionary.take(pa.array(at[lw != 0]))
+            order = pc.array_sort_indices(labels)
+            labels, lw = labels.take(order), lw[lw != 0][order.to_numpy()]
+        return cls(int(rows.column("n").to_numpy().sum()), int(rows.column("missing").to_numpy().sum()), v, w, labels, lw)
 
     @staticmethod
     def _united(v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -351,6 +357,7 @@ _FIGURES = (
     "broken long, clogc double, q1 double, median double, q3 double, nums array<double>, num_cnts array<long>, labels array<string>, label_cnts array<long>"
 )
 _FIGURE_KINDS = [pa.int64(), pa.int32(), pa.bool_(), *[pa.int64()] * 4, pa.float64(), pa.float64(), pa.string(), pa.string(), pa.int64(), *[pa.float64()] * 4, pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64())]
+_SHARES = np.array([q for q, _ in QUARTILES])
 _FIGURE_NAMES = [f.split()[0] for f in _FIGURES.split(", ")]
 
 
@@ -360,7 +367,7 @@ def _figures(counts: DataFrame, columns: list[str], specs: list[ColumnSpec] = ()
     rules = {columns.index(s.column): s for s in specs}
     rows, slices = _grouped(counts)
 
-    def use(rows: pa.Table) -> pa.RecordBatch:
+    def use(rows: pa.Table) -> list[tuple]:
         m = _Merged.of(rows)
         load, c = rows.column("load_id")[0].as_py(), rows.column("c")[0].as_py()
         sliced = slices.get(load, 1) > 1
@@ -372,23 +379,24 @@ def _figures(counts: DataFrame, columns: list[str], specs: list[ColumnSpec] = ()
             broken = int(m.w[out].sum())
             if rule.allowed is not None and len(m.labels):
                 broken += int(m.lw[~pc.is_in(m.labels, value_set=pa.array(rule.allowed, pa.string())).to_numpy(zero_copy_only=False)].sum())
-        ends, quarts = np.cumsum(m.w), [None] * 3
+        quarts = (None, None, None)
         if len(m.v) and not sliced:
-            for k, (q, _) in enumerate(QUARTILES):
-                place = (ends[-1] - 1) * q
-                lo, hi = (m.v[np.searchsorted(ends, at, side="right")] for at in (np.floor(place), np.ceil(place)))
-                quarts[k] = float(lo + (hi - lo) * (place - np.floor(place)))
-        few = pc.min_max(m.labels).as_py() if len(m.labels) else {"min": None, "max": None}
-        rows_out = [[
-            load, c, sliced, m.n, m.missing, len(m.v) + len(m.labels), int(m.w.sum()), float(m.v[0]) if len(m.v) else None, float(m.v[-1]) if len(m.v) else None, few["min"], few["max"],
-            broken, float((w * np.log(w)).sum()) if len(w) else 0.0, *quarts, m.v[:CHUNK] if sliced else None, m.w[:CHUNK] if sliced else None, m.labels.to_pylist() if labels else None, m.lw if labels else None,
-        ]]
+            ends = np.cumsum(m.w)
+            at = (ends[-1] - 1) * _SHARES
+            down = np.floor(at)
+            lo, hi = m.v[np.searchsorted(ends, down, side="right")], m.v[np.searchsorted(ends, np.ceil(at), side="right")]
+            quarts = (lo + (hi - lo) * (at - down)).tolist()
+        own = [
+            load, c, sliced, m.n, m.missing, len(m.v) + len(m.labels), int(m.w.sum()), float(m.v[0]) if len(m.v) else None, float(m.v[-1]) if len(m.v) else None,
+            m.labels[0].as_py() if len(m.labels) else None, m.labels[-1].as_py() if len(m.labels) else None, broken, float(w @ np.log(w)) if len(w) else 0.0, *quarts,
+        ]
+        rows_out = [(*own, m.v[:CHUNK] if sliced else None, m.w[:CHUNK] if sliced else None, m.labels.to_pylist() if labels else None, m.lw if labels else None)]
         # further rows of a slice hold nothing but counts
         for s in range(CHUNK, len(m.v) if sliced else 0, CHUNK):
-            rows_out.append([load, c, sliced, 0, 0, 0, 0, None, None, None, None, 0, 0.0, None, None, None, m.v[s : s + CHUNK], m.w[s : s + CHUNK], None, None])
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows_out), _FIGURE_KINDS)], names=_FIGURE_NAMES)
+            rows_out.append((load, c, sliced, 0, 0, 0, 0, None, None, None, None, 0, 0.0, None, None, None, m.v[s : s + CHUNK], m.w[s : s + CHUNK], None, None))
+        return rows_out
 
-    return over_groups(rows, _KEYS, _FIGURES, use), bool(slices)
+    return over_groups(rows, _KEYS, _FIGURES, use, pa.schema(list(zip(_FIGURE_NAMES, _FIGURE_KINDS)))), bool(slices)
 
 
 def _combined(figures: DataFrame, sliced: bool) -> DataFrame:

@@ -111,6 +111,10 @@ def _typed(text: Column, kind: str, number: Column | None = None) -> Column:
     return F.when(number == F.floor(number), F.coalesce(bare.try_cast(kind), number.try_cast(kind)))
 
 
+def _typing(kind: str) -> Callable[[Column], Column]:
+    return lambda x: _typed(x, kind)
+
+
 def load_lines(lines: DataFrame, line: str, fields: list[Field]) -> LoadedLines:
     """Divide the lines into typed records and rejects. Every input row appears on exactly one side, repeated rows too.
 
@@ -125,7 +129,7 @@ def load_lines(lines: DataFrame, line: str, fields: list[Field]) -> LoadedLines:
     structure = (
         F.when(text.isNull(), "column_count").when(bad_quoting(text), "quoting").when(field_count(text) != len(fields), "column_count")
     )
-    ours = {"reason", "detail", "unparsed", "_reason", "_fields", "_salt"} | {f"_{x}{i}" for i in range(len(fields)) for x in "vrgt"}
+    ours = {"reason", "detail", "unparsed", "_reason", "_fields", "_salt", "_present", "_double", "_int", "_long"} | {f"_{x}{i}" for i in range(len(fields)) for x in "vrgt"}
     kept = [c for c in lines.columns if c not in ours]
     parsed = lines.select(*map(name, kept)).withColumn("_reason", structure)
     parsed = parsed.withColumn("_fields", F.when(F.col("_reason").isNull(), fields_of(text)))
@@ -160,15 +164,18 @@ def _records(joined: Callable[[DataFrame, str, str], DataFrame], values: DataFra
     sound = joined(good, "is", "_g").where(F.col("_reason").isNull())
     for i in range(len(checked)):
         sound = sound.where(F.col(f"_g{i}").isNotNull())
-    texts = {f.name: F.get("_fields", F.lit(i)) for i, f in enumerate(fields)}
-    present = {n: F.when(~_loose(t).isin(*MISSING_TOKENS), t) for n, t in texts.items()}
+    # arrays keep the generated code small: one expression for all fields of a kind
+    of = {k: [i for i, f in enumerate(fields) if f.kind == k and not f.checked] for k in {f.kind for f in fields} - {"string"}}
     known = {f.name: F.col(f"_g{i}.number") for i, f in enumerate(checked)}
-    typed = sound.select("*", *(_typed(present[f.name], f.kind, known.get(f.name)).alias(f"_t{i}") for i, f in enumerate(fields)))
-    lost = F.filter(
-        F.array(*(F.struct(F.lit(f.name).alias("key"), F.when(F.col(f"_t{i}").isNull(), present[f.name]).alias("value")) for i, f in enumerate(fields) if f.kind != "string")),
-        lambda x: x["value"].isNotNull(),
-    )
-    return typed.select(*map(name, kept), *(F.col(f"_t{i}").alias(f.name) for i, f in enumerate(fields)), F.map_from_entries(lost).alias("unparsed"))
+    present = sound.withColumn("_present", F.transform("_fields", lambda x: F.when(~_loose(x).isin(*MISSING_TOKENS), x)))
+    typed = present.withColumns({f"_{k}": F.transform(F.array(*(F.get("_present", F.lit(i)) for i in at)), _typing(k)) for k, at in of.items() if at})
+    value = {i: F.get("_present", F.lit(i)) if f.kind == "string" else _typed(F.get("_present", F.lit(i)), f.kind, known[f.name]) if f.checked else F.get(f"_{f.kind}", F.lit(of[f.kind].index(i))) for i, f in enumerate(fields)}
+    typed = typed.select("*", *(v.alias(f"_t{i}") for i, v in value.items()))
+    known_null = F.array(*(F.lit(True) if f.kind == "string" else F.col(f"_t{i}").isNotNull() for i, f in enumerate(fields)))
+    names = F.array(*(F.lit(f.name) for f in fields))
+    lost = F.filter(F.arrays_zip(names.alias("key"), F.col("_present").alias("value"), known_null.alias("held")), lambda x: x["value"].isNotNull() & ~x["held"])
+    unparsed = F.map_from_entries(F.transform(lost, lambda x: F.struct(x["key"], x["value"])))
+    return typed.select(*map(name, kept), *(F.col(f"_t{i}").alias(f.name) for i, f in enumerate(fields)), unparsed.alias("unparsed"))
 
 
 def _distinct_texts(parsed: DataFrame, checked: list[Field]) -> DataFrame:

@@ -9,6 +9,7 @@ from tablewright.functions.parse import EDGE_SPACE, MISSING_TOKENS, label_missin
 from tablewright.operators import columns as C
 from tablewright.operators.propagate import Edge, Filled, fill_missing
 from tablewright.operators.rejects import Field, LoadedLines, load_lines
+from tablewright.plans.shared import sized_join, written
 from tablewright.plans.tables import table
 
 _CHECKED = {"X20_heart_rate": (20.0, 300.0), "X23_temperature": (30.0, 45.0), "X24_oxygen_sat": (50.0, 100.0)}
@@ -78,9 +79,9 @@ def p3_after_correction(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "encounters")
     store = C.temporary_store(spark, [c for c in rows.columns if c != "load_id"])
     store.commit(C.delta(rows, "load_id", store.columns))
-    # sendings of one encounter are few
-    last = rows.groupBy("enc_id").agg(F.max("row_id").alias("_last"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("enc_id", "_last")
-    replaced = rows.join(last, "enc_id").where(F.col("row_id") < F.col("_last")).select(*rows.columns)
+    ids = rows.where("enc_id IS NOT NULL").groupBy("enc_id").agg(F.max("row_id").alias("last"), F.collect_list("row_id").alias("sent"))  # sendings of one encounter are few
+    gone = written(ids.select("last", F.explode("sent").alias("row_id")).where("row_id < last").select("row_id"), "replaced")
+    replaced = sized_join(rows, gone, ["row_id"], "left_semi", ["row_id"])
     return _shown_profile(store.commit(C.delta(replaced, "load_id", store.columns, sign=-1)), store.columns, column_specs(spark, sf))
 
 

@@ -81,11 +81,11 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def over_groups(rows: DataFrame, keys: tuple[str, ...], schema: str, use: Callable[[pa.Table], pa.RecordBatch]) -> DataFrame:
+def over_groups(rows: DataFrame, keys: tuple[str, ...], schema: str, use: Callable[[pa.Table], pa.RecordBatch | list[tuple]], made: pa.Schema | None = None) -> DataFrame:
     """Run `use` (Arrow table of one key -> record batch) over the groups of integer keys without nulls, which come whole and
-    one after another. A group must be of bounded size."""
+    one after another. A group must be of bounded size. With `made`, `use` gives rows, which are put together to batches."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         held: list[pa.RecordBatch] = []
         now = None
         for batch in batches:
@@ -96,12 +96,28 @@ def over_groups(rows: DataFrame, keys: tuple[str, ...], schema: str, use: Callab
                     continue
                 key = tuple(int(c[s]) for c in code)
                 if key != now and held:
-                    yield use(pa.Table.from_batches(held).combine_chunks())
+                    yield pa.Table.from_batches(held)
                     held = []
                 now = key
                 held.append(batch.slice(s, e - s))
         if held:
-            yield use(pa.Table.from_batches(held).combine_chunks())
+            yield pa.Table.from_batches(held)
+
+    def batch_of(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), made)], schema=made)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for group in groups(batches):
+            if made is None:
+                yield use(group)
+                continue
+            out += use(group)
+            if len(out) >= 512:
+                yield batch_of(out)
+                out = []
+        if out:
+            yield batch_of(out)
 
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
