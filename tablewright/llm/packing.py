@@ -1,7 +1,8 @@
 """Filling containers of fixed capacity by hierarchical best fit.
 
-Every partition packs its own items best-fit decreasing and closes the bins that are nearly full. What is left of each
-partition travels on as items to a smaller number of partitions, where it is packed again, until one partition is left.
+Items are spread over partitions by a hash, so that each holds a like mixture of sizes whatever the order of the table.
+Every partition packs its items best-fit decreasing and closes the bins that are nearly full; of the other bins the members
+travel on as items to a smaller number of partitions, where they are packed anew, until one partition is left.
 """
 
 from __future__ import annotations
@@ -14,15 +15,15 @@ from pyspark.sql import functions as F
 
 from tablewright.plans.shared import written
 
-_MEMBER = pa.struct([("u", pa.int64()), ("k", pa.string()), ("piece", pa.int32()), ("size", pa.int32())])
-_SCHEMA = pa.schema([("fill", pa.int32()), ("closed", pa.bool_()), ("members", pa.list_(_MEMBER))])
-BIN = "fill int, closed boolean, members array<struct<u: long, k: string, piece: int, size: int>>"
+_SCHEMA = pa.schema([("u", pa.int64()), ("k", pa.string()), ("piece", pa.int32()), ("size", pa.int32()), ("container", pa.string()), ("fill", pa.int32())])
+PLACED = "u long, k string, piece int, size int, container string, fill int"
 #: A bin this full is closed where it is packed.
 CLOSE_AT = 0.98
-#: Partitions whose open bins meet in one partition of the next round.
-FAN_IN = 8
-#: Items packed together at most, and open bins that a partition sends on at most (the emptiest; fuller ones close).
-CHUNK, CARRY = 200_000, 4_000
+#: Items that a partition packs, about; partitions whose remaining items meet in one of the next round.
+PART_ITEMS, FAN_IN = 50_000, 8
+#: Items of underfull bins that a partition sends on at most, those of the emptiest bins; fuller bins close. A partition of
+#: 50,000 items leaves few underfull bins behind, unless hardly any two items fit together, and then none would gain.
+CARRY = 5_000
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -49,32 +50,26 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
 
 
 def _pack(capacity: int, last: bool):
-    enough = int(capacity * CLOSE_AT)
-
-    def packed(items: list[tuple[int, list]], final: bool) -> list[tuple[int, bool, list]]:
-        out = []
-        for b in best_fit([s for s, _ in items], capacity):
-            fill = sum(items[i][0] for i in b)
-            out.append((fill, final or fill >= enough, [m for i in b for m in items[i][1]]))
-        return out
-
-    def frame(bins: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([b[i] for b in bins], f.type) for i, f in enumerate(_SCHEMA)], schema=_SCHEMA)
+    """Items of one partition with their container, or without one where they travel on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_bins: list = []
-        for batch in batches:
-            open_bins += list(zip(batch.column("fill").to_pylist(), batch.column("members").to_pylist()))
-            if len(open_bins) >= CHUNK:
-                bins = packed(open_bins, False)
-                yield frame([b for b in bins if b[1]])
-                open_bins = sorted(((f, m) for f, closed, m in bins if not closed), key=lambda x: x[0])
-                if len(open_bins) > CARRY:
-                    yield frame([(f, True, m) for f, m in open_bins[CARRY:]])
-                    del open_bins[CARRY:]
-        bins = sorted(packed(open_bins, last), key=lambda b: (b[1], b[0]))
-        n_open = sum(not b[1] for b in bins)
-        yield frame([(f, closed or CARRY <= k < n_open, m) for k, (f, closed, m) in enumerate(bins)])
+        held = [b.select(["u", "k", "piece", "size"]) for b in batches if len(b)]
+        if not held:
+            return
+        items = pa.Table.from_batches(held)
+        u, k, piece, size = (items.column(c).to_pylist() for c in ("u", "k", "piece", "size"))
+        bins = sorted(((sum(size[i] for i in b), b) for b in best_fit(size, capacity)), key=lambda x: x[0])
+        container, fill, carried = [None] * len(u), [0] * len(u), 0
+        for total, b in bins:
+            carried += len(b)
+            if last or total >= capacity * CLOSE_AT or carried > CARRY:
+                head = min(b, key=lambda i: (u[i], piece[i]))
+                name = f"{k[head] or ''}-{piece[head]}#{u[head]}"
+                for i in b:
+                    container[i], fill[i] = name, total
+        for column, kind in ((container, pa.string()), (fill, pa.int32())):
+            items = items.append_column("container" if kind == pa.string() else "fill", pa.array(column, kind))
+        yield from items.cast(_SCHEMA).to_batches(10_000)
 
     return run
 
@@ -85,7 +80,7 @@ def pack_items(items: DataFrame, key: str, size: str, capacity: int) -> DataFram
     An item above the capacity is cut into full pieces (0, 1, ...) that fill a container each, and a rest that is packed
     like an item; no other item is cut. An item of size 0, or without a size, takes no room: piece 0, size 0, no container.
     Repeated rows are items of their own. A container is named after its first member: key, piece
-    and a number that tells repeated rows apart. Which items share a container depends on how rows lie in partitions; every
+    and a number that tells repeated rows apart. Which items share a container depends on how rows are numbered; every
     container holds at most its capacity. Empty input gives no rows.
     """
     kind = items.schema[key].dataType
@@ -96,26 +91,22 @@ def pack_items(items: DataFrame, key: str, size: str, capacity: int) -> DataFram
     whole = F.col("n").cast("int") - F.col("n") % capacity
     cut = rows.where(F.col("n") > capacity)
     full = cut.select("k", "n", "u", F.explode(F.sequence(F.lit(0), (whole / capacity).cast("int") - 1)).alias("piece")).withColumn("size", F.lit(capacity))
-    rest = rows.where(F.col("n") % capacity > 0).select("k", "n", "u", (F.floor(F.col("n") / capacity)).cast("int").alias("piece"), (F.col("n") % capacity).alias("size"))
+    rest = rows.where(F.col("n") % capacity > 0).select("u", "k", F.floor(F.col("n") / capacity).cast("int").alias("piece"), (F.col("n") % capacity).cast("int").alias("size"))
     exact = rows.where(F.col("n") == capacity).select("k", "n", "u", F.lit(0).alias("piece"), F.lit(capacity).alias("size"))
-    label = lambda k, piece, u: F.concat(F.coalesce(k, F.lit("")), F.lit("-"), piece, F.lit("#"), u)
-    alone = full.unionByName(exact).select("k", "n", "piece", "size", label(F.col("k"), F.col("piece"), F.col("u")).alias("container"), F.lit(capacity).alias("fill"))
+    label = F.concat(F.coalesce("k", F.lit("")), F.lit("-"), "piece", F.lit("#"), "u")
+    alone = full.unionByName(exact).select("k", "n", "piece", "size", label.alias("container"), F.lit(capacity).alias("fill"))
 
-    bins = rest.select(F.col("size").cast("int").alias("fill"), F.lit(False).alias("closed"), F.array(F.struct("u", "k", "piece", F.col("size").cast("int").alias("size"))).alias("members"))
-    parts = max(1, bins.rdd.getNumPartitions())
+    parts = max(1, -(-rest.count() // PART_ITEMS))
     closed = []
     while True:
-        bins = written(bins.select("fill", "closed", "members").mapInArrow(_pack(capacity, parts == 1), BIN), "bins")
-        closed.append(bins.where("closed"))
+        placed = written(rest.repartition(parts, "u").mapInArrow(_pack(capacity, parts == 1), PLACED), "placed")
+        closed.append(placed.where("container IS NOT NULL"))
         if parts == 1:
             break
-        parts = -(-parts // FAN_IN)
-        bins = bins.where("NOT closed").repartition(parts)
+        rest, parts = placed.where("container IS NULL").drop("container", "fill"), -(-parts // FAN_IN)
     every = closed[0]
     for c in closed[1:]:
         every = every.unionByName(c)
-    head = F.array_min("members")
-    placed = every.select("fill", label(head["k"], head["piece"], head["u"]).alias("container"), F.explode("members").alias("m")).select("m.k", "m.piece", "m.size", "container", "fill")
-    sized = placed.select("k", "piece", "size", "container", "fill").withColumn("n", F.col("piece") * capacity + F.col("size"))
+    sized = every.select("k", "piece", "size", "container", "fill").withColumn("n", F.col("piece") * capacity + F.col("size"))
     none = rows.where("n = 0").select("k", "n", F.lit(0).alias("piece"), F.lit(0).alias("size"), F.lit(None).cast("string").alias("container"), F.lit(0).alias("fill"))
     return alone.unionByName(sized).unionByName(none).select(F.col("k").cast(kind).alias(key), "piece", F.col("size").cast("int").alias("size"), F.col("n").cast("int").alias("item_size"), "container", "fill")

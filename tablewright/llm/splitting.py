@@ -31,8 +31,8 @@ _SPACES = np.array([c for c in range(0x3001) if chr(c).isspace()], np.uint32)
 CHAR_TOKENS = 4
 
 
-def break_letters(text: str, ids: list[int], lengths: np.ndarray) -> tuple[str, np.ndarray]:
-    """The letter of each token, and the character offset behind it (behind the last whole character, for X)."""
+def break_letters(text: str, ids: list[int], lengths: np.ndarray) -> tuple[str, np.ndarray, np.ndarray]:
+    """The letter of each token, and the offsets behind it in characters and bytes (behind the last whole character, for X)."""
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
     starts = np.append((raw & 0xC0) != 0x80, True)
     ends = np.cumsum(lengths[np.asarray(ids, np.int64)])
@@ -51,32 +51,34 @@ def break_letters(text: str, ids: list[int], lengths: np.ndarray) -> tuple[str,
     whole = starts[ends]
     at = chars[ends]
     letter = np.where(whole, strength[at], 5)
-    return _LETTERS[letter].tobytes().decode(), at
+    return _LETTERS[letter].tobytes().decode(), at, np.flatnonzero(starts)[at]
 
 
 def marks_column(spark, vocabulary: Vocabulary, above: int):
-    """An Arrow UDF from text to (n_tokens, letters, ends); letters and ends are null for texts of at most `above` tokens."""
+    """An Arrow UDF from text to (n_tokens, letters, ends, bytes); the last three are null or empty for texts of at most `above`
+    tokens."""
     held = spark.sparkContext.broadcast(vocabulary)
-    kind = pa.struct([("n_tokens", pa.int32()), ("letters", pa.string()), ("ends", pa.list_(pa.int32()))])
+    kind = pa.struct([("n_tokens", pa.int32()), ("letters", pa.string()), ("ends", pa.list_(pa.int32())), ("bytes", pa.list_(pa.int32()))])
 
     def mark(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         v = held.value
         for batch in batches:
             texts = batch.to_pylist()
             ids = v.encode_batch(texts)
-            rows = [break_letters(t, x, v.lengths) if len(x) > above else (None, ()) for t, x in zip(texts, ids)]
-            lists = [r[1] for r in rows]
+            rows = [break_letters(t, x, v.lengths) if len(x) > above else (None, (), ()) for t, x in zip(texts, ids)]
+            lists = lambda k: pa.ListArray.from_arrays(_offsets([r[k] for r in rows]), np.fromiter(chain.from_iterable(r[k] for r in rows), np.int32))  # noqa: B023, E731
             yield pa.StructArray.from_arrays(
                 [
                     pa.array(list(map(len, ids)), pa.int32()),
                     pa.array([r[0] for r in rows], pa.string()),
-                    pa.ListArray.from_arrays(_offsets(lists), np.fromiter(chain.from_iterable(lists), np.int32)),
+                    lists(1),
+                    lists(2),
                 ],
                 fields=list(kind),
             )
 
     # marked as nondeterministic: a filter on the result must not evaluate it a second time
-    return F.arrow_udf(mark, "struct<n_tokens: int, letters: string, ends: array<int>>").asNondeterministic()
+    return F.arrow_udf(mark, "struct<n_tokens: int, letters: string, ends: array<int>, bytes: array<int>>").asNondeterministic()
 
 
 def cut_pattern(first: int, later: int, least: int) -> str:
@@ -118,12 +120,20 @@ def split_documents(docs: DataFrame, key: str, text: str, vocabulary: Vocabulary
         raise ValueError("the overlap must be well below the limit")
     use = marks_column(docs.sparkSession, vocabulary, limit)
     rows = spread(docs.select(F.col(key), F.col(text).alias("_text"))).select(key, "_text", use("_text").alias("m")).where(F.col("m.letters").isNotNull())
-    stops = rows.select(key, "_text", "m.n_tokens", "m.letters", "m.ends", span_stops(F.col("m.letters"), limit, overlap).alias("stops"))
-    cut = stops.select("*", F.posexplode("stops").alias("piece", "_stop"))
-    cut = cut.withColumn("_start", F.when(F.col("piece") == 0, F.lit(0)).otherwise(span_start(F.col("letters"), F.get("stops", F.col("piece") - 1), overlap)))
-    start = F.when(F.col("_start") == 0, F.lit(0)).otherwise(F.get("ends", F.col("_start") - 1))
-    stop = F.get("ends", F.col("_stop") - 1)
-    return cut.select(
-        key, "piece", F.col("_start").alias("start_token"), F.col("_stop").alias("end_token"), start.alias("start_char"), stop.alias("end_char"),
-        (F.col("_stop") - F.col("_start")).alias("n_tokens"), F.col("n_tokens").alias("doc_tokens"), F.substring("_text", start + 1, stop - start).alias("text"),
-    )
+    stops = rows.select(key, F.col("_text").cast("binary").alias("_raw"), "m.n_tokens", "m.letters", "m.ends", "m.bytes", span_stops(F.col("m.letters"), limit, overlap).alias("stops"))
+    behind = lambda offsets, token: F.when(token == 0, F.lit(0)).otherwise(F.get(offsets, token - 1))
+
+    def piece(stop: Column, i: Column) -> Column:
+        start = F.when(i == 0, F.lit(0)).otherwise(span_start(F.col("letters"), F.get("stops", i - 1), overlap))
+        return F.struct(i.cast("int").alias("piece"), start.alias("start_token"), stop.alias("end_token"))
+
+    def cut(p: Column) -> Column:
+        a, b = p["start_token"], p["end_token"]
+        first = behind(F.col("bytes"), a)
+        # bytes are reached directly, characters would be counted from the start of the text for every piece
+        text = F.substring("_raw", first + 1, behind(F.col("bytes"), b) - first).cast("string")
+        return F.struct(p["piece"], a, b, behind(F.col("ends"), a).alias("start_char"), behind(F.col("ends"), b).alias("end_char"), text.alias("text"))
+
+    # a piece takes along its own span and text, and nothing of the whole text
+    cuts = stops.select(key, "n_tokens", F.transform(F.transform("stops", piece), cut).alias("_pieces")).select(key, F.col("n_tokens").alias("doc_tokens"), F.explode("_pieces").alias("p"))
+    return cuts.select(key, "p.piece", "p.start_token", "p.end_token", "p.start_char", "p.end_char", (F.col("p.end_token") - F.col("p.start_token")).alias("n_tokens"), "doc_tokens", "p.text")

@@ -165,3 +165,41 @@ def test_short_empty_and_null_texts_have_no_pieces(spark, vocabulary):
     assert split_documents(df.where("false"), "doc_id", "text", vocabulary, 32, 4).count() == 0
     with pytest.raises(ValueError):
         split_documents(df, "doc_id", "text", vocabulary, 32, 30)
+
+
+def containers(rows):
+    return len({r.container for r in rows})
+
+
+@pytest.mark.parametrize("ordered", [True, False])
+def test_rows_in_order_of_size_pack_as_well(spark, monkeypatch, ordered):
+    """Pairs that fill a container between them, all large ones before all small ones or in turn."""
+    from tablewright.llm import packing as P
+
+    monkeypatch.setattr(P, "PART_ITEMS", 5_000)
+    sizes = [3_000] * 10_000 + [1_096] * 10_000 if ordered else [3_000, 1_096] * 10_000
+    df = spark.createDataFrame(list(enumerate(sizes)), "id long, n int").repartitionByRange(4, "id")
+    got = pack_items(df, "id", "n", 4_096).collect()
+    assert len(got) == 20_000 and 10_000 <= containers(got) <= 10_100
+
+
+def test_items_that_hardly_fit_together_close_where_they_are(spark, monkeypatch):
+    """With and without a limit of what travels on the number of containers is the same."""
+    from tablewright.llm import packing as P
+
+    rnd = __import__("random").Random(1)
+    df = spark.createDataFrame([(i, rnd.randint(1_500, 2_699)) for i in range(12_000)], "id long, n int")
+    monkeypatch.setattr(P, "PART_ITEMS", 3_000)
+    made = {}
+    for carry in (100, 5_000, 10**9):
+        monkeypatch.setattr(P, "CARRY", carry)
+        made[carry] = containers(pack_items(df, "id", "n", 4_096).collect())
+    assert made[100] < 1.01 * made[10**9] and made[5_000] < 1.005 * made[10**9], made
+
+
+def test_a_text_of_a_million_tokens(spark, vocabulary):
+    text = "one two three four five six seven eight nine ten, and so on and on. " * 60_000
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    rows = sorted(split_documents(df, "doc_id", "text", vocabulary, 1024, 64).collect(), key=lambda r: r.piece)
+    assert rows[0].doc_tokens > 1_000_000 and len(rows) > 1_000 and rows[-1].end_char == len(text)
+    assert all(text[r.start_char : r.end_char] == r.text for r in rows) and all(a.end_token - 67 <= b.start_token <= a.end_token - 64 for a, b in zip(rows, rows[1:]))
