@@ -1,8 +1,9 @@
 """Repairing a table: nearest neighbours for numbers, the most frequent value for labels, and a full account of it.
 
 Fitting is a handful of aggregates; the fitted statistics are literals of a lazy projection, so that a fit on one table can
-be applied to another. The neighbour fill compares rows with gaps against all rows in blocks: masked matrix products give
-the distances over shared columns, and each task keeps k donors per gap.
+be applied to another. The neighbour fill compares rows with gaps against all rows in blocks: a task holds one block of rows
+with gaps and lets the donors pass by; masked matrix products give the distances over shared columns, and the task keeps k
+donors per gap. No row passes through the driver.
 """
 
 from __future__ import annotations
@@ -22,9 +23,10 @@ from tablewright.functions.parse import as_number, is_blank, name, null_if_token
 from tablewright.functions.stats import melt, wide_row
 from tablewright.operators.columns import quartiles
 from tablewright.operators.roles import Roles, classify, coerce
+from tablewright.plans.shared import numbered_in_order, written
 
-#: Rows with gaps that are broadcast at once; rows of a donor block.
-SLICE, BLOCK = 4096, 2048
+#: Rows with gaps that a task holds; donors compared with them at a time.
+SLICE, BLOCK = 4096, 1024
 
 
 def medians(view: DataFrame, columns: list[str]) -> dict[str, float | None]:
@@ -76,33 +78,29 @@ def neighbour_fills(view: DataFrame, columns: list[str], stats: dict[str, Numeri
     """(_key, pos, value): a value for every gap that some donor has a distance to.
 
     Distance: over the shared columns, scaled, times all columns / shared ones, rounded to 9 decimals; ties to the smaller
-    key. weights 'distance': 1/d, or the donors at distance 0 alone if there are any; 'uniform': the mean. Cost grows with
-    rows with gaps times rows, as the method has it; what is held at once is bounded by SLICE and BLOCK.
+    key. weights 'distance': 1/d, or the donors at distance 0 alone if there are any; 'uniform': the mean. Rows without a key
+    neither give nor get. Cost grows with rows with gaps times rows, as the method has it: rows travel once per SLICE rows
+    with gaps; what is held at once is bounded by SLICE and BLOCK.
     """
     usable = [c for c in columns if stats[c].median is not None]
     inside = [c for c in usable if distance_columns is None or c in distance_columns]
-    empty = view.sparkSession.createDataFrame([], "_key long, pos int, value double")
     if not usable:
-        return empty
-    gap = reduce(lambda a, b: a | b, (name(c).isNull() for c in usable))
-    rows = view.select(F.col("_key").cast("long").alias("_key"), *map(name, usable))
-    receivers = rows.where(gap)
-    n_slices = -(-receivers.count() // SLICE)
+        return view.sparkSession.createDataFrame([], "_key long, pos int, value double")
+    packed = F.array(*(F.coalesce(name(c), F.lit(float("nan"))) for c in usable))
+    rows = written(view.where("_key IS NOT NULL").select(F.col("_key").cast("long").alias("_key"), packed.alias("x")), "rows")
+    receivers = rows.where(F.exists("x", F.isnan))
+    blocks = max(1, -(-receivers.count() // SLICE))
+    # few blocks of receivers meet the donors in several groups, so that there is work for every core
+    groups = max(1, -(-2 * view.sparkSession.sparkContext.defaultParallelism // blocks))
+    mix = F.xxhash64("_key")
+    one = lambda of: F.pmod(mix, F.lit(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
+    met = receivers.select(one(blocks).alias("r"), every(groups).alias("g"), F.lit(0).alias("side"), "_key", "x").unionByName(rows.select(every(blocks).alias("r"), one(groups).alias("g"), F.lit(1).alias("side"), "_key", "x"))
     mean = np.array([stats[c].mean for c in usable])
     sd = np.array([stats[c].sd or 1.0 for c in usable])
     use = np.array([c in inside for c in usable])
-
-    def part(table: pa.Table | pa.RecordBatch):
-        x = np.column_stack([np.asarray(table.column(1 + i).to_numpy(zero_copy_only=False) if isinstance(table, pa.RecordBatch) else table.column(1 + i).to_numpy(), np.float64) for i in range(len(usable))])
-        return table.column(0).to_numpy(), x
-
-    found = None
-    for s in range(n_slices):
-        held = view.sparkSession.sparkContext.broadcast(part(receivers.where(F.pmod(F.xxhash64("_key"), F.lit(n_slices)) == s).toArrow()))
-        one = rows.mapInArrow(_donors(held, mean, sd, use, k, part), "_key long, pos int, d double, donor long, value double")
-        found = one if found is None else found.unionByName(one)
-    if found is None:
-        return empty
+    tiles = met.repartition(blocks * groups, "r", "g").sortWithinPartitions("r", "g", "side")
+    found = tiles.mapInArrow(_donors(mean, sd, use, k), "_key long, pos int, d double, donor long, value double")
     nearest = Window.partitionBy("_key", "pos").orderBy("d", "donor")
     chosen = found.withColumn("_rn", F.row_number().over(nearest)).where(F.col("_rn") <= k)
     if weights == "uniform":
@@ -115,18 +113,38 @@ def neighbour_fills(view: DataFrame, columns: list[str], stats: dict[str, Numeri
     return chosen.groupBy("_key", "pos").agg(value.alias("value")).withColumn("pos", places)
 
 
-def _donors(held, mean: np.ndarray, sd: np.ndarray, use: np.ndarray, k: int, part):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, x = held.value
+def _donors(mean: np.ndarray, sd: np.ndarray, use: np.ndarray, k: int):
+    def held(keys: list, rows: list) -> tuple:
+        keys, x = np.concatenate(keys), np.concatenate(rows)
         seen = ~np.isnan(x)
-        z, m = np.where(seen & use, (x - mean) / sd, 0.0), (seen & use).astype(np.float64)
-        best: dict[int, tuple] = {}
-        for batch in batches:
-            for s in range(0, len(batch), BLOCK):
-                _offer(keys, seen, z, m, mean, sd, use, k, best, *part(batch.slice(s, BLOCK)))
+        return keys, seen, np.where(seen & use, (x - mean) / sd, 0.0), (seen & use).astype(np.float64)
+
+    def flushed(best: dict[int, tuple], keys: np.ndarray) -> pa.RecordBatch:
         out = [(keys[i], np.full(len(i), c, np.int32), d, donor, v) for c, (i, d, donor, v) in best.items()]
-        cols = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, t) for t in (np.int64, np.int32, np.float64, np.int64, np.float64)]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["_key", "pos", "d", "donor", "value"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["_key", "pos", "d", "donor", "value"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Tiles come one after another, the rows with gaps of each before its donors."""
+        now, keys, rows, left, best = None, [], [], None, {}
+        for batch in batches:
+            codes = [batch.column(c).to_numpy() for c in ("r", "g", "side")]
+            cuts = np.flatnonzero(np.any([np.diff(c, prepend=c[0] - 1) != 0 for c in codes], 0))
+            key, x = batch.column("_key").to_numpy(), np.asarray(batch.column("x").flatten()).reshape(len(batch), -1)
+            for s, e in zip(cuts, [*cuts[1:], len(batch)]):
+                tile = int(codes[0][s]), int(codes[1][s])
+                if tile != now:
+                    if best:
+                        yield flushed(best, left[0])
+                    now, keys, rows, left, best = tile, [], [], None, {}
+                if codes[2][s] == 0:
+                    keys.append(key[s:e])
+                    rows.append(x[s:e])
+                elif keys:
+                    left = left or held(keys, rows)
+                    for b in range(s, e, BLOCK):
+                        _offer(*left, mean, sd, use, k, best, key[b : min(b + BLOCK, e)], x[b : min(b + BLOCK, e)])
+        if best:
+            yield flushed(best, left[0])
 
     return run
 
@@ -196,18 +214,21 @@ class Imputer:
         return cls(key, roles, config, scaler_stats(numeric_view(clean, key, numeric), numeric), modes(clean, labels))
 
     def transform(self, df: DataFrame, donors: DataFrame | None = None) -> Imputed:
-        """Fill df. The key must identify a row; a key that repeats gets one fill for all its rows. Observed values come
+        """Fill df. The key, of any type that has an order, must identify a row; a key that repeats gets one fill for all its
+        rows, and a row without a key the mean. No more than all other rows are neighbours, and the report says how many
+        were. Observed values come
         back as they are; rows and their number never change; skipped columns are untouched. Empty input stays empty."""
         config = self.config
         clean = coerce(df, self.roles, config.skip_columns)
         numeric, labels = list(self.numbers), list(self.labels)
-        view = numeric_view(clean, self.key, numeric)
+        numbered = self._numbered(df)
+        view = numeric_view(clean.withColumn("_key", name(self.key).cast("long")) if numbered is None else clean.join(numbered, self.key), "_key", numeric)
         k = min(config.n_neighbors, max(1, view.count() - 1))
         inside = list(config.distance_columns) if config.distance_columns is not None else None
         fills = neighbour_fills(view, numeric, self.numbers, k, config.weights, inside)
         wide = fills.groupBy("_key").agg(*(F.max(F.when(F.col("pos") == i, F.col("value"))).alias(f"_f{i}") for i in range(len(numeric)))) if numeric else None
         source = df.select(*(name(c) for c in df.columns), *(c.alias(f"_c{i}") for i, c in enumerate(_coerced(df, self.roles, config.skip_columns))))
-        source = source.withColumn("_key", name(self.key).cast("long"))
+        source = source.withColumn("_key", name(self.key).cast("long")) if numbered is None else source.join(numbered, self.key, "left")
         if wide is not None:
             source = source.join(wide, "_key", "left")
         out, marks = [], []
@@ -215,7 +236,7 @@ class Imputer:
         for c in df.columns:
             seen = F.col(f"_c{place[c]}")
             if c in self.numbers:
-                value, mark = self._number(c, seen, numeric.index(c))
+                value, mark = self._number(c, seen, numeric.index(c), k)
             elif c in self.labels:
                 value, mark = self._label(c, seen, df.schema[c].dataType)
             else:
@@ -229,14 +250,20 @@ class Imputer:
         report = source.select(F.explode(F.filter(pairs, lambda p: p["strategy"].isNotNull())).alias("p")).groupBy("p.column_name", "p.strategy").agg(F.count(F.lit(1)).alias("filled"))
         return Imputed(source.select(*out), report)
 
-    def _number(self, c: str, seen: Column, i: int) -> tuple[Column, Column]:
+    def _numbered(self, df: DataFrame) -> DataFrame | None:
+        """(key, _key): numbers in the order of the keys, for keys that aren't whole numbers."""
+        if isinstance(df.schema[self.key].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+            return None
+        return numbered_in_order(df.select(name(self.key)).where(name(self.key).isNotNull()).distinct(), self.key, "_key")
+
+    def _number(self, c: str, seen: Column, i: int, k: int) -> tuple[Column, Column]:
         s = self.numbers[c]
         near, mean, median = F.col(f"_f{i}"), F.lit(s.observed_mean).cast("double"), F.lit(0.0 if s.median is None else s.median)
         guess = F.coalesce(near, mean, median)
         if s.whole:
             guess = F.bround(guess, 0)
         value = F.coalesce(seen.cast("double"), guess)
-        mark = F.when(seen.isNull(), F.when(near.isNotNull() | mean.isNotNull(), F.lit(f"knn(k={self.config.n_neighbors})")).otherwise(F.lit("median-fallback")))
+        mark = F.when(seen.isNull(), F.when(near.isNotNull() | mean.isNotNull(), F.lit(f"knn(k={k})")).otherwise(F.lit("median-fallback")))
         return (value.cast("long") if s.whole else value), mark
 
     def _label(self, c: str, seen: Column, kind: T.DataType) -> tuple[Column, Column]:

@@ -49,6 +49,26 @@ def impute_knn_uniform(spark: SparkSession, sf: str) -> DataFrame:
     return _imputed(spark, sf, weights="uniform").frame.select("c_custkey", _r("bal"), F.col("nat").cast("double").alias("nat"), _r("bal2"))
 
 
+def impute_text_key(spark: SparkSession, sf: str) -> DataFrame:
+    """The same rows under a text as their key."""
+    keyed = messy(spark, sf).withColumn("label", F.concat(F.lit("C"), F.lpad(F.col("c_custkey").cast("string"), 12, "0")))
+    roles = Roles(MESSY_ROLES.numeric, (*MESSY_ROLES.categorical, "label"), ("c_custkey", "label"))
+    made = impute(keyed, "label", ImputationConfig(n_neighbors=K, skip_columns=("untouched", "label")), roles).frame
+    return made.select("c_custkey", _r("bal"), F.col("nat").cast("double").alias("nat"), _r("bal2"))
+
+
+def impute_capped(spark: SparkSession, sf: str) -> DataFrame:
+    """More neighbours are asked for than there are rows; the report says how many there were."""
+    rows = table(spark, sf, "region").select("r_regionkey", F.when(F.col("r_regionkey") != 2, F.col("r_regionkey") * 1.5).alias("v"))
+    return impute(rows, "r_regionkey", ImputationConfig(n_neighbors=50), Roles(("r_regionkey", "v"), ())).report
+
+
+def impute_encounters(spark: SparkSession, sf: str) -> DataFrame:
+    """All encounters with the default settings: 20 neighbours for every gap of a number, the mode for labels."""
+    raw = table(spark, sf, "encounters").select("row_id", *S.FIELDS)
+    return impute(raw, "row_id", ImputationConfig(), Roles(tuple(c for c in S.NUMERIC if c != "PAT_ID"), tuple(S.LABELS), ("row_id", "PAT_ID"))).frame
+
+
 def impute_skip(spark: SparkSession, sf: str) -> DataFrame:
     return _imputed(spark, sf, skip_columns=("untouched", "segment")).frame.select("c_custkey", "segment", "untouched")
 
@@ -213,7 +233,7 @@ def repaired_is_valid(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        exploration_stages, repaired_is_valid, impute_mode, impute_median, impute_knn, impute_knn_uniform, restore_integrality, blank_fallback, impute_skip, impute_keep_originals, impute_report, scaler_statistics,
+        exploration_stages, repaired_is_valid, impute_mode, impute_median, impute_knn, impute_knn_uniform, impute_text_key, impute_capped, impute_encounters, restore_integrality, blank_fallback, impute_skip, impute_keep_originals, impute_report, scaler_statistics,
         check_completeness, check_placeholder, check_constant, check_row_count, check_columns, check_skipped_unchanged, validation_issues,
         missing_map, top_by_variance, histogram_bins, density_curves, standardized_matrix, seeded_sample, hue_column, pair_plot_marks, pca_projection, cluster_order, tsne_projection,
     )
@@ -325,6 +345,8 @@ SQL = {
     "impute_mode": _modes_sql(),
     "impute_median": _median_fill_sql(),
     "impute_knn": _knn_sql("distance"),
+    "impute_text_key": _knn_sql("distance"),
+    "impute_capped": "select 'v' as column_name, 'knn(k=' || (count(*) - 1) || ')' as strategy, count(*) filter (r_regionkey = 2) as filled from region",
     "impute_knn_uniform": _knn_sql("uniform"),
     "restore_integrality": f"select column_name, whole from ({_stats_sql()})",
     "blank_fallback": _fallback_sql(),

@@ -52,7 +52,7 @@ ROLES = Roles(("a", "b", "c", "d"), ())
 
 
 @pytest.mark.parametrize("weights", ["distance", "uniform"])
-@pytest.mark.parametrize("block", [(4096, 2048), (9, 16)])
+@pytest.mark.parametrize("block", [(4096, 1024), (9, 16)])
 def test_neighbours_match_brute_force(spark, monkeypatch, weights, block):
     monkeypatch.setattr(I, "SLICE", block[0])
     monkeypatch.setattr(I, "BLOCK", block[1])
@@ -199,3 +199,24 @@ def test_classified_frame_repairs_to_a_valid_one(spark):
     df = frame(spark, gappy()).withColumn("l", F.when(F.col("k") % 5 > 0, F.when(F.col("k") % 2 == 0, "even").otherwise("odd")))
     made = I.impute(df, "k", ImputationConfig(3), classify(df))
     assert V.validate(made.frame, df).passed
+
+
+@pytest.mark.parametrize("kind", ["string", "decimal(30,2)"])
+def test_keys_of_any_type(spark, kind):
+    x = gappy()
+    df = frame(spark, x).withColumn("id", F.concat(F.lit("1"), F.lpad(F.col("k").cast("string"), 24, "0")).cast(kind)).drop("k")
+    want = brute(x, 4, "distance")
+    got = I.impute(df.repartition(3), "id", ImputationConfig(4), ROLES).frame.orderBy("id").collect()
+    for i, r in enumerate(got):
+        assert [r.a, r.b] == pytest.approx(want[i, :2].tolist())
+
+
+def test_rows_without_a_key_get_the_mean(spark):
+    df = spark.createDataFrame([(None, None, 1.0), (1, 4.0, 1.0), (2, 6.0, 2.0)], "k long, a double, b double")
+    made = I.impute(df, "k", ImputationConfig(1), Roles(("a", "b"), ()))
+    assert made.frame.where("k IS NULL").first().a == 5.0 and made.frame.count() == 3
+
+
+def test_capped_neighbours_are_reported(spark):
+    df = spark.createDataFrame([(1, None, 1.0), (2, 4.0, 1.0), (3, 6.0, 2.0)], "k long, a double, b double")
+    assert [tuple(r) for r in I.impute(df, "k", ImputationConfig(20), Roles(("a", "b"), ())).report.collect()] == [("a", "knn(k=2)", 1)]
