@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+# The thresholds here and the defaults of the settings below.
 NUMERIC_THRESHOLD = 0.9
 DOMINANCE_THRESHOLD = 0.90
 SKEW_THRESHOLD = 1.0

@@ -49,7 +49,7 @@ class NumericFrame:
 
 
 def numeric_frame(df: DataFrame, roles: Roles, key: str | None = None) -> NumericFrame:
-    columns = roles.numeric_features()
+    columns = roles.pick("numeric")
     keep = [name(key).alias("_key")] if key else []
     view = df.select(*keep, *(as_number(name(c), df.schema[c].dataType).alias(c) for c in columns))
     med = medians(view, columns) if columns else {}

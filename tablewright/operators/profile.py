@@ -26,7 +26,7 @@ def columns_with_missing(coerced: DataFrame) -> DataFrame:
 
 def skewness(coerced: DataFrame, roles: Roles) -> DataFrame:
     """(column_name, skewness) of the numeric features, greatest magnitude first; columns of under three values have none."""
-    columns = roles.numeric_features()
+    columns = roles.pick("numeric")
     if not columns:
         return coerced.sparkSession.createDataFrame([], "column_name string, skewness double")
     out = unpivot_row(coerced, columns, {"skewness": lambda c: adjusted_skewness(name(c).cast("double"))})

@@ -307,7 +307,7 @@ def importance_study(df: DataFrame, key: str, roles: Roles, config: ImportanceCo
     if target not in df.columns:
         raise ValueError(f"no column {target!r}; outcomes are {', '.join(roles.outcomes) or 'none'}")
     rows = drop_missing_target(df, target)
-    features = roles.features((target,))
+    features = roles.pick(without=(target,))
     features = [c for c in features if c != key]
     task = infer_task(rows, target, config.max_classification_classes)
     y = prepare_target(rows, target, task)

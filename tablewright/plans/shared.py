@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import contextlib
 import shutil
 import tempfile
 import uuid
@@ -57,24 +56,20 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    with contextlib.suppress(Exception):
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new place in the shared folder, which is emptied when the driver's Python ends."""
-    path = f"{shared_dir(spark)}/tablewright/{uuid.uuid4().hex}/{name}"
-    atexit.register(_remove, spark, path)
-    return path
+    """A new place in the shared folder. The JVM removes it when it ends, after spark.stop() as well."""
+    folder = f"{shared_dir(spark)}/tablewright/{uuid.uuid4().hex}"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    return f"{folder}/{name}"
 
 
 def written(df: DataFrame, name: str = "step") -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: lineage ends here and survives lost executors.
 
-    The folder is removed when the driver's Python ends. Columns keep their order and types.
+    The folder is removed when the driver ends. Columns keep their order and types.
     """
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)

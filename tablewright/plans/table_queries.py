@@ -45,7 +45,7 @@ def classify_columns(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def role_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame(list(classify(encounters(spark, sf)).describe().items()), "role string, n long")
+    return spark.createDataFrame(list(classify(encounters(spark, sf)).counts().items()), "role string, n long")
 
 
 def coerce_numeric(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,5 +1,16 @@
-"""A made-up sample of the encounter table. Every value is a function of row number, column and seed, so that any
-partitioning gives the same table."""
+"""A made-up sample with the columns of the encounter table. Every value is a function of row number, column and seed, so that
+any partitioning gives the same table.
+
+What the sample is for decides its values:
+
+* importance: a hidden severity drives the outcomes Y1-Y4, the treatment T and, as X_signal, can be seen; flags and most other
+  columns have nothing to do with it. Y5 is drawn for itself.
+* scales: a vital lies around the middle of the range that is usual for adults, which spans four deviations. The ranges have
+  very different sizes, so that distances need scaling.
+* correlation: X31 repeats X30 with a twentieth of its variance added. X40_skewed is the cube of an exponential.
+* labels: shares fall with the place of a label, as one over the place; X56_reminder is dominated by its first.
+* types: a share of two numeric columns holds text.
+"""
 
 from __future__ import annotations
 
@@ -8,9 +19,21 @@ from math import pi
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Columns without gaps, and the shares of gaps elsewhere.
+# The shares of gaps, of gaps in X60_sparse, of text in number columns, and of the dominant reminder.
+GAP, SPARSE_GAP, TEXT, DOMINANT = 0.03, 0.73, 0.01, 0.94
+#: Columns without gaps.
 COMPLETE = ("PAT_ID", "Y1", "Y2", "Y3", "Y4", "Y5", "T", "X_signal")
-GAP, SPARSE_GAP, STRAY = 0.03, 0.73, 0.01
+#: Usual range of adults, and decimals.
+USUAL = {
+    "X20_heart_rate": (60, 100, 0), "X21_systolic": (90, 140, 0), "X22_diastolic": (60, 90, 0), "X23_temperature": (36.1, 37.5, 2), "X24_oxygen_sat": (94, 100, 0),
+    "X25_weight_lb": (110, 250, 1), "X26_bmi": (18, 36, 1), "X27_cost": (5_000, 45_000, 0),
+}
+LABELS = {
+    "X50_department": ("GEN", "SURG", "PSY", "OBGYN"), "X51_visit_type": ("follow-up", "new_patient", "urgent_care"), "X52_referral": ("PCP", "self", "specialist", "employer"),
+    "X53_weekday": ("Mon", "Tue", "Wed", "Thu", "Fri"), "X54_season": ("Spring", "Summer", "Autumn", "Winter"), "X55_weather": ("sunny", "rain", "cloudy"),
+    "X56_reminder": ("email", "text", "phone"), "X57_payment": ("insurance", "card", "cash"), "X58_language": ("EN", "ES"),
+}
+WORDS = {"X23_temperature": "not taken", "X24_oxygen_sat": "see note"}
 
 
 class _Draws:
@@ -22,49 +45,46 @@ class _Draws:
         h = F.pmod(F.xxhash64(F.col("id"), F.lit(tag), F.lit(self.seed)), F.lit(1 << 40))
         return (h.cast("double") + 0.5) / float(1 << 40)
 
-    def normal(self, tag: str, mean: float = 0.0, sd: float = 1.0) -> Column:
-        z = F.sqrt(-2 * F.ln(self.uniform(tag + "/a"))) * F.cos(2 * pi * self.uniform(tag + "/b"))
-        return F.lit(mean) + F.lit(sd) * z
+    def normal(self, tag: str) -> Column:
+        return F.sqrt(-2 * F.ln(self.uniform(tag + "/a"))) * F.cos(2 * pi * self.uniform(tag + "/b"))
 
-    def exponential(self, tag: str) -> Column:
-        return -F.ln(self.uniform(tag))
+    def ranged(self, tag: str, low: float, high: float) -> Column:
+        return (low + high) / 2 + self.normal(tag) * ((high - low) / 4)
 
-    def pick(self, tag: str, shares: dict[str, float]) -> Column:
-        u, upto, out = self.uniform(tag), 0.0, None
-        for value, share in shares.items():
-            upto += share
-            out = F.when(u < upto, value) if out is None else out.when(u < upto, value)
-        return out.otherwise(list(shares)[-1])
+    def label(self, tag: str, values: tuple[str, ...], first: float | None = None) -> Column:
+        """Shares fall as one over the place; first: the share of the first label, the others divide the rest."""
+        weights = [1 / k for k in range(1, len(values) + 1)]
+        if first is not None:
+            weights[0] = first / (1 - first) * sum(weights[1:])
+        upto = [sum(weights[: k + 1]) / sum(weights) for k in range(len(weights))]
+        return F.element_at(F.array(*map(F.lit, values)), 1 + sum(((self.uniform(tag) >= share).cast("int") for share in upto[:-1]), F.lit(0)))
 
 
 def generate(spark: SparkSession, rows: int, seed: int = 42) -> DataFrame:
+    """`rows` rows of the 43 columns."""
     d = _Draws(seed)
-    signal = d.normal("signal")
-    y1 = F.lit(0.45) + 0.15 * signal + d.normal("y1", 0, 0.08)
+    severity = d.normal("severity")
+
+    def driven(tag: str, weight: float) -> Column:
+        """Unit variance, of which the severity makes up the square of the weight."""
+        return severity * weight + d.normal(tag) * (1 - weight**2) ** 0.5
+
+    x30 = d.ranged("X30", 50, 150)
     made: dict[str, Column] = {
         "PAT_ID": F.col("id") + 1,
-        "Y1": F.round(y1, 4), "Y2": F.round(1 - y1 + d.normal("y2", 0, 0.1), 4), "Y3": F.round(0.4 + 0.2 * signal + d.normal("y3", 0, 0.1), 4),
-        "Y4": F.round(F.greatest(5 + 3 * signal + d.normal("y4", 0, 0.8), F.lit(0.0)), 3),
-        "Y5": F.when(d.uniform("y5") < 0.4, 0).when(d.uniform("y5") < 0.75, 1).otherwise(2), "T": (d.uniform("t") < 0.4).cast("int"), "X_signal": F.round(signal, 5),
-    }
-    made |= {f"X{i}": (d.uniform(f"x{i}") < 0.35 + 0.03 * i).cast("int") for i in range(1, 13)}
-    for c, mean, sd, digits in (("X20_heart_rate", 78, 12, 0), ("X21_systolic", 122, 16, 0), ("X22_diastolic", 79, 10, 0), ("X23_temperature", 36.8, 0.4, 2), ("X24_oxygen_sat", 96, 2, 0), ("X25_weight_lb", 172, 38, 1), ("X26_bmi", 27, 5, 1), ("X27_cost", 24000, 9000, 0)):
-        made[c] = F.round(d.normal(c, mean, sd), digits)
-    x30 = d.normal("x30", 100, 15)
-    made |= {"X30": F.round(x30, 1), "X31": F.round(x30 + d.normal("x31", 0, 3), 1), "X40_skewed": F.round(8 * d.exponential("x40") * d.exponential("x40"), 2)}
-    labels = {
-        "X50_department": {"GEN": 0.55, "SURG": 0.25, "PSY": 0.15, "OBGYN": 0.05}, "X51_visit_type": {"follow-up": 0.6, "new_patient": 0.25, "urgent_care": 0.15},
-        "X52_referral": {"PCP": 0.5, "self": 0.3, "specialist": 0.15, "employer": 0.05}, "X53_weekday": {"Mon": 0.22, "Tue": 0.2, "Wed": 0.2, "Thu": 0.2, "Fri": 0.18},
-        "X54_season": {"Spring": 0.25, "Summer": 0.25, "Autumn": 0.25, "Winter": 0.25}, "X55_weather": {"sunny": 0.45, "rain": 0.3, "cloudy": 0.25},
-        "X56_reminder": {"email": 0.94, "text": 0.04, "phone": 0.02}, "X57_payment": {"insurance": 0.7, "card": 0.2, "cash": 0.1}, "X58_language": {"EN": 0.85, "ES": 0.15},
+        "Y1": F.round(1 / (1 + F.exp(-driven("Y1", 0.95))), 4), "Y2": F.round(0.5 + driven("Y2", -0.95) / 4, 4), "Y3": F.round(0.5 + driven("Y3", 0.9) / 4, 4), "Y4": F.round(F.greatest(6 + 3 * driven("Y4", 0.95), F.lit(0.0)), 3),
+        "Y5": F.floor(3 * d.uniform("Y5")).cast("int"), "T": (driven("T", 0.9) > 0).cast("int"), "X_signal": F.round(severity, 5),
+        **{f"X{i}": (d.uniform(f"X{i}") < i / 13).cast("int") for i in range(1, 13)},
+        **{c: F.round(d.ranged(c, low, high), digits) for c, (low, high, digits) in USUAL.items()},
+        "X30": F.round(x30, 1), "X31": F.round(x30 + d.normal("X31") * 25 * 0.05**0.5, 1), "X40_skewed": F.round(F.pow(-F.ln(d.uniform("X40_skewed")), 3), 2),
+        **{c: d.label(c, values, DOMINANT if c == "X56_reminder" else None) for c, values in LABELS.items()},
+        # an hour of the day, a number that hardly varies for its size, and one that is seldom there
+        "chk_hour": F.round(8 + 9 * d.uniform("chk_hour"), 2), "x13": F.round(10_000 + d.normal("x13"), 2), "X60_sparse": F.round(100 * d.uniform("X60_sparse"), 1),
     }
-    made |= {c: d.pick(c, shares) for c, shares in labels.items()}
-    made |= {"chk_hour": F.round(6 + 12 * d.uniform("hour"), 2), "x13": F.round(d.normal("x13", 23600, 90), 1), "X60_sparse": F.round(d.normal("x60", 50, 12), 1)}
-    stray = {"X23_temperature": "not taken", "X24_oxygen_sat": "see note"}
     out = []
     for c, value in made.items():
-        if c in stray:
-            value = F.when(d.uniform(c + "/stray") < STRAY, stray[c]).otherwise(value.cast("string"))
+        if c in WORDS:
+            value = F.when(d.uniform(c + "/word") < TEXT, WORDS[c]).otherwise(value.cast("string"))
         if c not in COMPLETE:
             value = F.when(d.uniform(c + "/gap") >= (SPARSE_GAP if c == "X60_sparse" else GAP), value)
         out.append(value.alias(c))

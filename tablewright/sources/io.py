@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import importlib.util
-import os
 from abc import ABC, abstractmethod
 from dataclasses import dataclass
 from pathlib import PurePosixPath
@@ -23,8 +22,6 @@ class SourceError(Exception):
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    if "://" not in path and not spark.conf.get("spark.hadoop.fs.defaultFS", "file:///").startswith("hdfs"):
-        return os.path.exists(path)
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
@@ -49,13 +46,26 @@ class Source(ABC):
 
 @dataclass(frozen=True)
 class CsvSource(Source):
-    """Text with a header. Quoted line breaks and doubled quotes are read; spellings of missing values become null."""
+    """Text with a header. Quoted line breaks and doubled quotes are read; spellings of missing values become null.
+
+    Files are split over tasks unless values have line breaks. multi_line: whether they do; None: a pass over the lines finds
+    out, since then some line has an odd number of double quotes.
+    """
 
     separator: str = ","
     encoding: str = "utf-8"
+    multi_line: bool | None = None
+
+    def _breaks(self, spark: SparkSession) -> bool:
+        if self.multi_line is not None:
+            return self.multi_line
+        if self.encoding.lower().startswith(("utf-16", "utf-32", "utf16", "utf32")):
+            return True
+        quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"')))
+        return not spark.read.text(self.path).where(quotes % 2 == 1).limit(1).isEmpty()
 
     def _load(self, spark: SparkSession, as_text: bool) -> DataFrame:
-        df = spark.read.csv(self.path, header=True, sep=self.separator, encoding=self.encoding, inferSchema=not as_text, multiLine=True, escape='"', enforceSchema=False)
+        df = spark.read.csv(self.path, header=True, sep=self.separator, encoding=self.encoding, inferSchema=not as_text, multiLine=self._breaks(spark), escape='"', enforceSchema=False)
         return df.select(*(null_if_token(name(c), CSV_MISSING_TOKENS).alias(c) if isinstance(df.schema[c].dataType, T.StringType) else name(c) for c in df.columns))
 
 

@@ -45,10 +45,10 @@ def test_threshold_is_inclusive(spark):
 def test_every_column_has_one_role(spark):
     df = spark.createDataFrame([(1, 0.5, None, "x", None)], "PAT_ID long, Y2 double, hollow double, word string, `a.b` string")
     roles = classify(df)
-    assert sorted(roles.all_columns) == sorted(df.columns) and not set(roles.numeric) & set(roles.categorical)
+    assert sorted(roles.pick(tagged=True)) == sorted(df.columns) and not set(roles.numeric) & set(roles.categorical)
     assert roles.identifiers == ("PAT_ID",) and roles.outcomes == ("Y2",) and "hollow" in roles.categorical
-    assert roles.features() == ["hollow", "word", "a.b"] and roles.numeric_features() == [] and roles.features(("word",)) == ["hollow", "a.b"]
-    assert roles.describe() == {"numeric": 2, "categorical": 3, "identifiers": 1, "outcomes": 1}
+    assert roles.pick() == ["hollow", "word", "a.b"] and roles.pick("numeric") == [] and roles.pick(without=("word",)) == ["hollow", "a.b"]
+    assert roles.counts() == {"numeric": 2, "categorical": 3, "identifiers": 1, "outcomes": 1}
 
 
 def test_names_with_dots_and_differing_by_case(spark):

@@ -124,3 +124,21 @@ def test_windowed_gaps(spark, tmp_path):
     stream = spark.readStream.schema("at timestamp, x double").parquet(str(tmp_path / "in"))
     windowed_gaps(stream, "at", ["x"]).writeStream.outputMode("complete").format("memory").queryName("gaps_test").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
     assert sorted((r.rows, r.missing) for r in spark.table("gaps_test").collect()) == [(10, 3), (10, 3), (10, 4)]
+
+
+def test_csv_without_line_breaks_in_values_is_split(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("k,v\n" + "".join(f'{i},"x, {i}"\n' for i in range(20_000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        df = CsvSource(str(tmp_path / "a.csv")).read(spark)
+        assert df.rdd.getNumPartitions() > 2 and df.count() == 20_000 and df.agg(F.sum("k")).first()[0] == 19_999 * 10_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    (tmp_path / "b.csv").write_text(TEXT)
+    assert CsvSource(str(tmp_path / "b.csv"))._breaks(spark) and not CsvSource(str(tmp_path / "b.csv"), multi_line=False)._breaks(spark)
+
+
+def test_treatment_and_outcomes_follow_the_signal(spark):
+    r = generate(spark, 2000).agg(*(F.corr(c, "X_signal").alias(c) for c in ("Y1", "Y2", "Y3", "T", "X5", "Y5"))).first()
+    assert r.Y1 > 0.8 and r.Y2 < -0.8 and r.Y3 > 0.8 and r["T"] > 0.6 and abs(r.X5) < 0.1 and abs(r.Y5) < 0.1
