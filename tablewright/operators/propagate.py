@@ -1,9 +1,12 @@
-"""Filling missing values by label propagation over shared groups.
-
-Records are joined to hubs, one for each value of an edge's key (the same patient, the same department in the same week,
-...). A round gives every hub the average of its records' numbers and the distribution of their labels, and every missing
-value the weighted average of its hubs. Observed values are clamped: they always vote with themselves. From the second
-round on filled values vote too, so that values reach records whose own groups hold none. Rounds exchange only hubs.
+"""Filling missing values by label propagation over shared groups and over similarity.
+
+Records are joined to hubs, one for each value of an edge's key: the same patient, the same department in the same week, or
+the same cell of similar readings (`near`), whose records differ by no more than the cell is wide. A hub has the average of
+its records' numbers and the distribution of their labels, and a missing value becomes the weighted average of its hubs.
+Observed values are clamped: a hub that has any keeps their average. A hub that has none takes the average of what its
+records got from their other hubs, at a lower weight, and so on, round by round, until the largest change falls below a bound;
+so values reach records whose own groups hold none. The table is prepared and written once; rounds touch nothing but the records of hubs
+without observed values, and exchange hubs only.
 """
 
 from __future__ import annotations
@@ -11,11 +14,17 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewright.functions.parse import as_number, label_missing, name
-from tablewright.plans.shared import fits_broadcast, written
+from tablewright.plans.shared import fits_broadcast, sized_join, written
+
+#: The largest change, in deviations of the column or in shares of a label, at which the rounds end; rounds at most.
+TOLERANCE, ROUNDS = 0.05, 30
+#: What a hub without observed values says is second-hand and has this part of its edge's weight: changes then fade quickly.
+SECOND_HAND = 0.1
 
 
 @dataclass(frozen=True)
@@ -29,47 +38,62 @@ class Edge:
 
 @dataclass(frozen=True)
 class Filled:
-    """rows: key, each column filled, `<column>_fill` (null where observed, else the strongest edge that gave the value).
-    fills: one row per filled value: key, column_name, number, label, source."""
+    """rows: key, each column filled, `<column>_fill` (null where observed, else the strongest edge with observed values that
+    gave the value, `propagated` or `all`). fills: one row per filled value: key, column_name, number, label, source, and
+    whether it is `settled`, that is, none of its hubs was without observed values."""
 
     rows: DataFrame
     fills: DataFrame
 
 
-def _hash_key(e: Edge) -> Column:
-    """The hub's id; null when a key is missing, so that missing keys bind nobody."""
+def near(column: str, width: float) -> Column:
+    """A key for similar readings: records that agree on it are less than `width` apart; null where there is no reading."""
+    c = name(column)
+    return F.when(~F.isnan(c) & (F.abs(c) < 1e15), F.floor(c / width))
+
+
+def _hub(df: DataFrame, e: Edge) -> Column:
+    """The hub's id; null when a key is missing, so that missing keys bind nobody. A single whole number or date stands for
+    itself, other keys for their 64-bit hash."""
+    kinds = [f.dataType for f in df.select(*(k.alias(f"k{i}") for i, k in enumerate(e.keys))).schema]
     whole = reduce(lambda a, b: a & b, (k.isNotNull() for k in e.keys))
-    return F.when(whole, F.to_json(F.struct(*(k.alias(f"k{i}") for i, k in enumerate(e.keys)))) if len(e.keys) > 1 else e.keys[0].cast("string"))
+    if len(kinds) == 1 and isinstance(kinds[0], T.IntegralType):
+        return e.keys[0].cast("long")
+    if len(kinds) == 1 and isinstance(kinds[0], T.DateType):
+        return F.unix_date(e.keys[0]).cast("long")
+    return F.when(whole, F.xxhash64(*e.keys))
 
 
-def fill_missing(df: DataFrame, key: str, numbers: list[str], labels: list[str], edges: list[Edge], rounds: int = 2, vote_range: tuple[float, float] = (0.005, 0.995)) -> Filled:
+def fill_missing(
+    df: DataFrame, key: str, numbers: list[str], labels: list[str], edges: list[Edge], bounds: dict[str, tuple[float, float]] | None = None, tolerance: float = TOLERANCE, rounds: int = ROUNDS
+) -> Filled:
     """Fill the missing numbers and labels of df; null and NaN numbers and blank or token labels are missing.
 
-    A number votes clipped into the column's approximate quantiles `vote_range`, so that a broken device can't pull its
-    group away. A label fill is the value of the greatest mass, ties to the smallest. If no edge reaches a value, the
+    An observed number outside its `bounds` stays as it is but has no vote, so that a broken device can't pull its group away.
+    A label fill is the value of the greatest mass, ties to the smallest. If no edge reaches a value, the
     column's mean vote or most frequent label stands in, with source `all`; a column without observed values stays
-    missing and unflagged. Rows with equal keys get equal fills; a null key is a key. Other columns are left out. Empty
+    missing and unflagged. Rows with equal keys are rows of their own; a null key is a key. Other columns are left out. Empty
     input gives empty results.
     """
     base = df.select(
-        name(key).alias("_key"),
+        F.monotonically_increasing_id().alias("_row"), name(key).alias("_key"),
         *(as_number(name(c), df.schema[c].dataType).alias(f"_n{i}") for i, c in enumerate(numbers)),
         *(F.when(~label_missing(name(c)), name(c)).alias(f"_l{i}") for i, c in enumerate(labels)),
-        *(_hash_key(e).alias(f"_h{i}") for i, e in enumerate(edges)),
+        *(_hub(df, e).alias(f"_h{i}") for i, e in enumerate(edges)),
     )
-    number_part = _Numbers(base, numbers, edges, rounds, vote_range)
-    label_parts = [_labels(base, i, edges, rounds) for i in range(len(labels))]
-
-    wide = number_part.estimates
-    fills = [
-        wide.select("_key", F.explode(F.filter(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(f"_e{i}").alias("number"), F.col(f"_s{i}").alias("source")) for i, c in enumerate(numbers))), lambda x: x["source"].isNotNull())).alias("f"))
-        .select("_key", "f.column_name", "f.number", F.lit(None).cast("string").alias("label"), "f.source")
-    ] if numbers else []
-    rows = wide.select("_key", *(F.coalesce(f"_n{i}", f"_e{i}").alias(f"_n{i}") for i in range(len(numbers))), *(f"_s{i}" for i in range(len(numbers))), *(f"_l{i}" for i in range(len(labels))))
-    for i, (c, part) in enumerate(zip(labels, label_parts)):
-        fills.append(part.select("_key", F.lit(c).alias("column_name"), F.lit(None).cast("double").alias("number"), "label", "source"))
-        given = part.select(F.col("_key").alias("_k2"), F.col("label").alias(f"_le{i}"), F.col("source").alias(f"_ls{i}"))
-        rows = rows.join(given, F.col("_key").eqNullSafe(F.col("_k2")) & F.col(f"_l{i}").isNull(), "left").drop("_k2")
+    base = written(base, "base")
+    rows, fills = base, []
+    if numbers:
+        part = _Numbers(base, numbers, edges, bounds or {}, tolerance, rounds)
+        each = F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(f"_e{i}").alias("number"), F.col(f"_s{i}").alias("source"), F.col(f"_z{i}").alias("settled")) for i, c in enumerate(numbers)))
+        fills.append(part.filled.select("_key", F.explode(F.filter(each, lambda x: x["source"].isNotNull())).alias("f")).select("_key", "f.column_name", "f.number", F.lit(None).cast("string").alias("label"), "f.source", "f.settled"))
+        shown = ["_row", "_key", *(f"_l{i}" for i in range(len(labels)))]
+        whole = base.where(~part.gap).select(*shown, *(f"_n{i}" for i in part.k), *(F.lit(None).cast("string").alias(f"_s{i}") for i in part.k))
+        rows = whole.unionByName(part.filled.select(*shown, *(F.coalesce(f"_n{i}", f"_e{i}").alias(f"_n{i}") for i in part.k), *(f"_s{i}" for i in part.k)))
+    for i, c in enumerate(labels):
+        part = written(_labels(base, i, edges, tolerance, rounds), "labels")
+        fills.append(part.select("_key", F.lit(c).alias("column_name"), F.lit(None).cast("double").alias("number"), "label", "source", "settled"))
+        rows = sized_join(rows, part.select("_row", F.col("label").alias(f"_le{i}"), F.col("source").alias(f"_ls{i}")), ["_row"], "left", ["_row"])
     out = [F.col("_key").alias(key)]
     for i, c in enumerate(numbers):
         out += [F.col(f"_n{i}").alias(c), F.col(f"_s{i}").alias(f"{c}_fill")]
@@ -78,86 +102,131 @@ def fill_missing(df: DataFrame, key: str, numbers: list[str], labels: list[str],
     return Filled(rows.select(*out), reduce(DataFrame.unionByName, fills).withColumnRenamed("_key", key))
 
 
+def _met(rows: DataFrame, hubs: DataFrame, on: str) -> DataFrame:
+    """A large hub table is joined by shuffle; adaptive execution splits the tasks of frequent hubs."""
+    return rows.join(F.broadcast(hubs) if fits_broadcast(hubs) else hubs.hint("merge"), on, "left")
+
+
 class _Numbers:
-    def __init__(self, base: DataFrame, numbers: list[str], edges: list[Edge], rounds: int, vote_range: tuple[float, float]):
+    """filled: the rows with a missing number, with _e (value), _s (source) and _z (settled) of each column that is missing."""
+
+    def __init__(self, base: DataFrame, numbers: list[str], edges: list[Edge], bounds: dict[str, tuple[float, float]], tolerance: float, rounds: int):
         self.edges, self.k = edges, range(len(numbers))
-        stats = base.agg(*(F.percentile_approx(f"_n{i}", list(vote_range), 10_000).alias(f"q{i}") for i in self.k)).first() if numbers else None
-        self.bounds = [stats[f"q{i}"] for i in self.k]
-        self.base = base
-        hubs = self._hubs(base.withColumns({f"_e{i}": F.lit(None).cast("double") for i in self.k}))
-        for _ in range(rounds - 1):
-            hubs = self._hubs(self._estimate(hubs))
-        self.estimates = self._estimate(hubs)
-
-    def _vote(self, i: int) -> Column:
-        if not self.bounds[i]:
-            return F.col(f"_n{i}")
-        low, high = self.bounds[i]
-        return F.when(F.col(f"_n{i}").isNotNull(), F.greatest(F.least(F.col(f"_n{i}"), F.lit(high)), F.lit(low)))
-
-    def _hubs(self, rows: DataFrame) -> tuple[DataFrame, list[DataFrame], list[float | None]]:
-        """Per edge and hub the mean of all votes and the number of observed ones. All edges in one grouping: a row is
-        expanded to its hubs and combined before the shuffle, so a hub of a third of the rows is one row per task."""
-        links = F.filter(F.array(*(F.struct(F.lit(j).alias("j"), F.col(f"_h{j}").alias("h")) for j in range(len(self.edges))), F.struct(F.lit(-1).alias("j"), F.lit("all").alias("h"))), lambda x: x["h"].isNotNull())
-        votes = [F.coalesce(self._vote(i), F.col(f"_e{i}")).alias(f"_v{i}") for i in self.k]
-        seen = [F.col(f"_n{i}").isNotNull().cast("long").alias(f"_o{i}") for i in self.k]
-        out = rows.select(F.explode(links).alias("x"), *votes, *seen).groupBy("x.j", "x.h").agg(*(F.avg(f"_v{i}").alias(f"m{i}") for i in self.k), *(F.sum(f"_o{i}").alias(f"o{i}") for i in self.k))
-        out = written(out, "hubs")
-        per_edge = [out.where(F.col("j") == j).drop("j") for j in range(len(self.edges))]
-        whole = out.where("j = -1").first()
-        return [(h, fits_broadcast(h)) for h in per_edge], [whole and whole[f"m{i}"] for i in self.k]
-
-    def _estimate(self, state) -> DataFrame:
-        per_edge, whole = state
-        rows = self.base
-        for j, (h, fits) in enumerate(per_edge):
-            right = h.select(F.col("h").alias(f"_h{j}"), *(F.col(f"m{i}").alias(f"_m{j}_{i}") for i in self.k), *(F.col(f"o{i}").alias(f"_o{j}_{i}") for i in self.k))
-            # a large hub table is joined by shuffle; adaptive execution splits the tasks of frequent hubs
-            rows = rows.join(F.broadcast(right) if fits else right.hint("merge"), f"_h{j}", "left")
+        self.gap = reduce(lambda a, b: a | b, (F.col(f"_n{i}").isNull() for i in self.k))
+        limits = [bounds.get(c, (float("-inf"), float("inf"))) for c in numbers]
+        self.votes = [F.when(F.col(f"_n{i}").between(*limits[i]), F.col(f"_n{i}")) for i in self.k]
+        stats = base.agg(*(f(self.votes[i]).alias(f"{f.__name__}{i}") for i in self.k for f in (F.avg, F.stddev_pop))).first()
+        self.mean, self.spread = ([stats[f"{s}{i}"] for i in self.k] for s in ("avg", "stddev_pop"))
+        rows = self._anchored(base)
+        held = [j for j, n in enumerate(rows.agg(*(F.count(f"_x{j}") for j in range(len(edges)))).first()) if n]
+        given = self._propagated(rows, held, tolerance, rounds) if held else {}
+        self.filled = self._valued(rows, given)
+
+    def _anchored(self, base: DataFrame) -> DataFrame:
+        """Rows with a gap, with the weighted sum (_a) and the weight (_w) of their hubs' averages, the strongest edge with
+        observed values (_s), and per edge a hub without votes (_x) with the columns that it lacks as bits (_b)."""
+        rows = base.where(self.gap)
+        for j in range(len(self.edges)):
+            votes = base.where(F.col(f"_h{j}").isNotNull()).groupBy(f"_h{j}").agg(*(F.avg(v).alias(f"_m{j}_{i}") for i, v in enumerate(self.votes)), *(F.count(f"_n{i}").alias(f"_o{j}_{i}") for i in self.k))
+            rows = _met(rows, written(votes, "hubs"), f"_h{j}")
+        out, ranked = {}, sorted(range(len(self.edges)), key=lambda j: -self.edges[j].weight)
+        for i in self.k:
+            means = [(F.col(f"_m{j}_{i}"), e.weight) for j, e in enumerate(self.edges)]
+            out[f"_a{i}"] = reduce(lambda a, b: a + b, (F.coalesce(m * w, F.lit(0.0)) for m, w in means))
+            out[f"_w{i}"] = reduce(lambda a, b: a + b, (F.when(m.isNotNull(), F.lit(float(w))).otherwise(0.0) for m, w in means))
+            out[f"_s{i}"] = F.when(F.col(f"_n{i}").isNull(), F.coalesce(*(F.when(F.col(f"_o{j}_{i}") > 0, self.edges[j].name) for j in ranked)))
+        for j in range(len(self.edges)):
+            bits = reduce(lambda a, b: a + b, (F.when(F.col(f"_n{i}").isNull() & F.col(f"_m{j}_{i}").isNull(), F.lit(1 << i)).otherwise(0) for i in self.k))
+            lacks = F.col(f"_h{j}").isNotNull() & (bits > 0)
+            out[f"_x{j}"], out[f"_b{j}"] = F.when(lacks, F.col(f"_h{j}")), F.when(lacks, bits).otherwise(0)
+        kept = [c for c in base.columns if not c.startswith("_h")]
+        return written(rows.select(*kept, *(v.alias(c) for c, v in out.items())), "anchored")
+
+    def _estimates(self, rows: DataFrame, given: dict[int, DataFrame]) -> tuple[DataFrame, list[Column]]:
+        """The value of each column, null where no hub gives one."""
+        for j, hubs in given.items():
+            rows = _met(rows, hubs.select(F.col("h").alias(f"_x{j}"), *(F.col(f"u{i}").alias(f"_u{j}_{i}") for i in self.k)), f"_x{j}")
+        out = []
+        for i in self.k:
+            total, mass = F.col(f"_a{i}"), F.col(f"_w{i}")
+            for j in given:
+                u = F.when(F.col(f"_b{j}").bitwiseAND(F.lit(1 << i)) > 0, F.col(f"_u{j}_{i}"))
+                weight = SECOND_HAND * self.edges[j].weight
+                total, mass = total + F.coalesce(u * weight, F.lit(0.0)), mass + F.when(u.isNotNull(), F.lit(weight)).otherwise(0.0)
+            out.append(F.when(F.col(f"_n{i}").isNull() & (mass > 0), total / F.when(mass > 0, mass)))
+        return rows, out
+
+    def _propagated(self, rows: DataFrame, held: list[int], tolerance: float, rounds: int) -> dict[int, DataFrame]:
+        """Per edge the values (h, u0, u1, ...) of hubs without votes."""
+        rows = rows.where(reduce(lambda a, b: a | b, (F.col(f"_x{j}").isNotNull() for j in held)))
+        given: dict[int, DataFrame] = {}
+        for _ in range(rounds):
+            met, value = self._estimates(rows, given)
+            now, moved = {}, 0.0
+            for j in held:
+                lacks = [F.col(f"_b{j}").bitwiseAND(F.lit(1 << i)) > 0 for i in self.k]
+                before = [F.max(f"_u{j}_{i}") if given else F.lit(None).cast("double") for i in self.k]
+                hubs = met.where(F.col(f"_x{j}").isNotNull()).groupBy(F.col(f"_x{j}").alias("h")).agg(*(F.avg(F.when(lacks[i], value[i])).alias(f"u{i}") for i in self.k), *(before[i].alias(f"p{i}") for i in self.k))
+                now[j] = written(hubs, "empty_hubs")
+                change = [F.when(F.col(f"u{i}").isNotNull(), F.coalesce(F.abs(F.col(f"u{i}") - F.col(f"p{i}")) / F.lit(self.spread[i] or 1.0), F.lit(float("inf")))) for i in self.k]
+                moved = max(moved, *(x or 0.0 for x in now[j].agg(*map(F.max, change)).first()))
+            given = now
+            if moved <= tolerance:
+                break
+        return given
+
+    def _valued(self, rows: DataFrame, given: dict[int, DataFrame]) -> DataFrame:
+        rows, value = self._estimates(rows, given)
         out = {}
-        ranked = sorted(range(len(self.edges)), key=lambda j: -self.edges[j].weight)
         for i in self.k:
-            mass = reduce(lambda a, b: a + b, (F.when(F.col(f"_m{j}_{i}").isNotNull(), F.lit(float(e.weight))).otherwise(F.lit(0.0)) for j, e in enumerate(self.edges)))
-            total = reduce(lambda a, b: a + b, (F.coalesce(F.col(f"_m{j}_{i}") * F.lit(float(e.weight)), F.lit(0.0)) for j, e in enumerate(self.edges)))
-            value = F.when(mass > 0, total / F.when(mass > 0, mass)).otherwise(F.lit(whole[i]).cast("double"))
-            gap = F.col(f"_n{i}").isNull()
-            source = F.coalesce(*(F.when(F.col(f"_o{j}_{i}") > 0, F.lit(self.edges[j].name)) for j in ranked), F.lit("all"))
-            out[f"_e{i}"] = F.when(gap, value)
-            out[f"_s{i}"] = F.when(gap & value.isNotNull(), source)
-        kept = self.base.columns
+            out[f"_e{i}"] = F.when(F.col(f"_n{i}").isNull(), F.coalesce(value[i], F.lit(self.mean[i]).cast("double")))
+            out[f"_z{i}"] = reduce(lambda a, b: a & b, (F.col(f"_b{j}").bitwiseAND(F.lit(1 << i)) == 0 for j in range(len(self.edges))))
+            source = F.coalesce(f"_s{i}", F.when(value[i].isNotNull(), F.lit("propagated")).otherwise(F.lit("all")))
+            out[f"_s{i}"] = F.when(F.col(f"_n{i}").isNull() & F.lit(self.mean[i] is not None), source)
+        kept = [c for c in rows.columns if c[:2] in ("_r", "_k", "_n", "_l")]
         return rows.select(*kept, *(v.alias(c) for c, v in out.items()))
 
 
-def _labels(base: DataFrame, i: int, edges: list[Edge], rounds: int) -> DataFrame:
-    """(_key, label, source) of the rows whose label i is missing; masses travel as (hub, label, mass) rows."""
-    hub_cols = [f"_h{j}" for j in range(len(edges))]
-    links = F.filter(F.array(*(F.struct(F.lit(j).alias("j"), F.col(h).alias("h")) for j, h in enumerate(hub_cols)), F.struct(F.lit(-1).alias("j"), F.lit("all").alias("h"))), lambda x: x["h"].isNotNull())
-    seen = base.where(F.col(f"_l{i}").isNotNull()).select(F.explode(links).alias("x"), F.col(f"_l{i}").alias("label")).groupBy("x.j", "x.h", "label").agg(F.count(F.lit(1)).cast("double").alias("mass"))
-    seen = written(seen, "label_hubs")
-    top = seen.where("j = -1").orderBy(F.desc("mass"), "label").first()
-    gaps = base.where(F.col(f"_l{i}").isNull()).select("_key", *hub_cols)
-    weights = F.element_at(F.array(*(F.lit(float(e.weight)) for e in edges)), F.col("j") + 1)
-
-    def spread(masses: DataFrame) -> DataFrame:
-        """(_key, label, p, best): every gap's distribution, and the strongest edge with observed labels."""
-        total = masses.groupBy("j", "h").agg(F.sum("mass").alias("t"))
-        share = masses.where("j >= 0").join(total, ["j", "h"]).select("j", "h", "label", (F.col("mass") / F.col("t")).alias("p"), "observed")
-        spokes = gaps.select("_key", F.explode(links).alias("x")).select("_key", "x.j", "x.h").where("j >= 0")
-        got = spokes.join(share, ["j", "h"]).select("_key", "label", (weights * F.col("p")).alias("p"), F.when(F.col("observed"), weights).alias("w"))
-        return got.groupBy("_key", "label").agg(F.sum("p").alias("p"), F.max("w").alias("w"))
-
-    current = seen.withColumn("observed", F.lit(True))
-    for _ in range(rounds - 1):
-        given = written(spread(current), "label_gaps")
-        norm = given.join(given.groupBy("_key").agg(F.sum("p").alias("t")), "_key").select("_key", "label", (F.col("p") / F.col("t")).alias("p"))
-        back = norm.join(gaps, "_key").select(F.explode(links).alias("x"), "label", "p").groupBy("x.j", "x.h", "label").agg(F.sum("p").alias("mass"))
-        current = seen.withColumn("observed", F.lit(True)).unionByName(back.withColumn("observed", F.lit(False)))
-        current = written(current.groupBy("j", "h", "label").agg(F.sum("mass").alias("mass"), F.max("observed").alias("observed")), "label_hubs")
-    best = spread(current).groupBy("_key").agg(F.min_by("label", F.struct(-F.round("p", 12), F.col("label"))).alias("label"), F.max("w").alias("w"))
-    name_of = F.lit("all")
+def _labels(base: DataFrame, i: int, edges: list[Edge], tolerance: float, rounds: int) -> DataFrame:
+    """(_row, _key, label, source, settled) of the rows whose label i is missing; shares travel as (hub, label, share) rows."""
+    links = F.filter(F.array(*(F.struct(F.lit(j).alias("j"), F.col(f"_h{j}").alias("h")) for j in range(len(edges)))), lambda x: x["h"].isNotNull())
+    weight = F.element_at(F.array(*(F.lit(float(e.weight)) for e in edges)), F.col("j") + 1)
+    label, hub = F.col(f"_l{i}"), ["j", "h"]
+    counts = base.where(label.isNotNull()).select(F.explode(links).alias("x"), label.alias("label")).groupBy("x.j", "x.h", "label").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    # a hub's labels, each once
+    shares = written(counts.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy(*hub))).drop("n"), "shares")
+    gaps = base.where(label.isNull())
+    spokes = gaps.select("_row", F.explode(links).alias("x")).select("_row", "x.j", "x.h")
+    met = written(sized_join(spokes, shares, hub, "left", ["_row"]), "spokes")
+    anchored = met.where("label IS NOT NULL").select("_row", "label", (weight * F.col("p")).alias("p"), weight.alias("w"))
+    empty = met.where("label IS NULL").select("_row", *hub)
+    every = anchored
+    if not empty.isEmpty():
+        given = None
+        for _ in range(rounds):
+            parts = anchored.select("_row", "label", "p") if given is None else anchored.select("_row", "label", "p").unionByName(empty.join(given, hub).select("_row", "label", (SECOND_HAND * weight * F.col("u")).alias("p")))
+            mass = parts.groupBy("_row", "label").agg(F.sum("p").alias("p")).join(empty.select("_row").distinct(), "_row", "left_semi")
+            mass = mass.withColumn("p", F.col("p") / F.sum("p").over(Window.partitionBy("_row")))
+            reached = empty.join(mass, "_row")
+            summed = reached.groupBy(*hub, "label").agg(F.sum("p").alias("s"))
+            now = summed.withColumn("u", F.col("s") / F.sum("s").over(Window.partitionBy(*hub))).drop("s")
+            now = written(now, "empty_hubs")
+            if given is None:
+                moved = 1.0
+            else:
+                change = now.join(given.withColumnRenamed("u", "before"), [*hub, "label"], "full").agg(F.max(F.abs(F.coalesce("u", F.lit(0.0)) - F.coalesce("before", F.lit(0.0)))))
+                moved = change.first()[0] or 0.0
+            given = now
+            if moved <= tolerance:
+                break
+        every = anchored.unionByName(empty.join(given, hub).select("_row", "label", (SECOND_HAND * weight * F.col("u")).alias("p"), F.lit(None).cast("double").alias("w")))
+    mass = every.groupBy("_row", "label").agg(F.sum("p").alias("p"), F.max("w").alias("w"))
+    best = mass.groupBy("_row").agg(F.min_by("label", F.struct(-F.round("p", 12), F.col("label"))).alias("best"), F.max("w").alias("w"))
+    settled = empty.groupBy("_row").agg(F.lit(False).alias("settled"))
+    source = F.when(F.col("best").isNotNull(), "propagated").otherwise("all")
     for e in sorted(edges, key=lambda e: e.weight):
-        name_of = F.when(F.col("w") >= float(e.weight), F.lit(e.name)).otherwise(name_of)
-    out = gaps.select("_key").distinct().join(best.select("_key", F.col("label").alias("_best"), name_of.alias("_src")), "_key", "left")
-    if top is None:
-        return out.where("false").select("_key", F.col("_best").alias("label"), F.col("_src").alias("source"))
-    return out.select("_key", F.coalesce("_best", F.lit(top["label"])).alias("label"), F.coalesce("_src", F.lit("all")).alias("source"))
+        source = F.when(F.col("w") >= float(e.weight), F.lit(e.name)).otherwise(source)
+    out = gaps.select("_row", "_key").join(best, "_row", "left").join(settled, "_row", "left")
+    top = base.where(label.isNotNull()).groupBy(label.alias("label")).count().orderBy(F.desc("count"), "label").first()
+    out = out.select("_row", "_key", F.coalesce("best", F.lit(top and top["label"]).cast("string")).alias("label"), source.alias("source"), F.coalesce("settled", F.lit(True)).alias("settled"))
+    return out if top else out.where("false")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.functions.parse import EDGE_SPACE, MISSING_TOKENS, label_missing, name
+from tablewright.functions.parse import EDGE_SPACE, MISSING_TOKENS, label_missing, name, value_missing
 from tablewright.operators import columns as C
-from tablewright.operators.propagate import Edge, Filled, fill_missing
+from tablewright.operators.propagate import Edge, Filled, fill_missing, near
 from tablewright.operators.rejects import Field, LoadedLines, load_lines
 from tablewright.plans.shared import sized_join, written
 from tablewright.plans.tables import table
@@ -99,22 +99,45 @@ def p3_changes(spark: SparkSession, sf: str) -> DataFrame:
 P5_NUMBERS, P5_LABELS = ["X20_heart_rate", "X21_systolic", "X60_sparse"], ["X50_department"]
 
 
+#: Readings beyond these are a device's and have no vote.
+P5_BOUNDS = {"X20_heart_rate": (20.0, 300.0), "X21_systolic": (40.0, 300.0), "X60_sparse": (0.0, 100.0)}
+
+
 def filled_encounters(spark: SparkSession, sf: str) -> Filled:
-    """Votes of the same patient, of the same department in the same week, and of the same week."""
+    """Votes of the same patient, of records of the same department that are alike in two further readings, of the same
+    department in the same week, and of the same week."""
     department, week = F.when(~label_missing(F.col("X50_department")), F.upper(F.regexp_replace("X50_department", EDGE_SPACE, ""))), F.date_trunc("week", F.col("appt_ts")).cast("date")
-    edges = [Edge("patient", (F.col("PAT_ID"),), 8.0), Edge("department_week", (department, week), 2.0), Edge("week", (week,), 1.0)]
-    return fill_missing(table(spark, sf, "encounters"), "row_id", P5_NUMBERS, P5_LABELS, edges)
+    alike = (department, near("X22_diastolic", 5.0), near("X25_weight_lb", 10.0))
+    edges = [Edge("patient", (F.col("PAT_ID"),), 8.0), Edge("alike", alike, 4.0), Edge("department_week", (department, week), 2.0), Edge("week", (week,), 1.0)]
+    return fill_missing(table(spark, sf, "encounters"), "row_id", P5_NUMBERS, P5_LABELS, edges, P5_BOUNDS)
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return filled_encounters(spark, sf).fills.where("source = 'patient'").select("row_id", "column_name")
 
 
+def p5_settled(spark: SparkSession, sf: str) -> DataFrame:
+    """The filled numbers all of whose groups have observed values: plain weighted averages of their groups'."""
+    return filled_encounters(spark, sf).fills.where("settled AND source <> 'all' AND number IS NOT NULL").select("row_id", "column_name", F.round("number", 6).alias("number"), "source")
+
+
+def p5_checked(spark: SparkSession, sf: str) -> DataFrame:
+    """Per column: rows, missing ones, those with a fill and a flag, and whether observed values stayed as they were."""
+    made, raw = filled_encounters(spark, sf).rows, table(spark, sf, "encounters")
+    both = raw.select("row_id", *(F.col(c).alias(f"raw_{c}") for c in (*P5_NUMBERS, *P5_LABELS))).join(made, "row_id")
+    parts = []
+    for c in (*P5_NUMBERS, *P5_LABELS):
+        lost = value_missing(F.col(f"raw_{c}"), raw.schema[c].dataType)
+        parts.append(F.struct(F.lit(c).alias("column_name"), F.count(F.lit(1)).alias("rows"), F.count(F.when(lost, 1)).alias("missing"), F.count(F.when(lost & F.col(c).isNotNull() & F.col(f"{c}_fill").isNotNull(), 1)).alias("filled"),
+                              F.bool_and(lost | ((F.col(c) == F.col(f"raw_{c}")) & F.col(f"{c}_fill").isNull())).alias("observed_kept")))
+    return both.agg(F.array(*parts).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+
+
 def p5_filled(spark: SparkSession, sf: str) -> DataFrame:
     return filled_encounters(spark, sf).rows
 
 
-QUERIES = {"p1_found": p1_found, "p1_records": p1_records, "p3_found": p3_found, "p3_profile": p3_profile, "p3_after_correction": p3_after_correction, "p3_changes": p3_changes, "p5_found": p5_found, "p5_filled": p5_filled}
+QUERIES = {"p1_found": p1_found, "p1_records": p1_records, "p3_found": p3_found, "p3_profile": p3_profile, "p3_after_correction": p3_after_correction, "p3_changes": p3_changes, "p5_found": p5_found, "p5_settled": p5_settled, "p5_checked": p5_checked, "p5_filled": p5_filled}
 
 _TOKENS = "(" + ", ".join(f"'{t}'" for t in MISSING_TOKENS) + ")"
 _FIELD = '(?:"(?:[^"]|"")*"|[^",]*)'
@@ -240,4 +263,31 @@ def _p5_sql() -> str:
     )
 
 
-SQL = {"p1_found": _p1_sql(), "p1_records": _records_sql(), "p3_profile": _profile_sql(), "p3_after_correction": _profile_sql("(from encounters qualify enc_id is null or row_id = max(row_id) over (partition by enc_id))"), "p3_found": _p3_sql(), "p5_found": _p5_sql()}
+def _p5_settled_sql() -> str:
+    """Averages of the groups from the rows; a fill counts if every group that it is in has votes."""
+    bare = f"regexp_replace(regexp_replace(X50_department, '^{_BLANK}', ''), '{_BLANK}$', '')".format()
+    keys = {"patient": ("p", 8.0), "alike": ("case when d is not null and a is not null and b is not null then (d, a, b) end", 4.0), "department_week": ("case when d is not null and w is not null then (d, w) end", 2.0), "week": ("w", 1.0)}
+    parts = []
+    for c in P5_NUMBERS:
+        low, high = P5_BOUNDS[c]
+        vote = f"case when {c} between {low} and {high} and not isnan({c}) then {c} end"
+        seen = f"case when {c} is not null and not isnan({c}) then 1 end"
+        hubs = ", ".join(f"{k} as k{j}, avg({vote}) over (partition by {k}) as m{j}, count({seen}) over (partition by {k}) as o{j}" for j, (k, _) in enumerate(keys.values()))
+        fine = " and ".join(f"(k{j} is null or m{j} is not null)" for j in range(len(keys)))
+        total = " + ".join(f"case when k{j} is not null then m{j} * {w} else 0 end" for j, (_, w) in enumerate(keys.values()))
+        mass = " + ".join(f"case when k{j} is not null then {w} else 0 end" for j, (_, w) in enumerate(keys.values()))
+        source = " ".join(f"when k{j} is not null and o{j} > 0 then '{n}'" for j, n in enumerate(keys))
+        parts.append(f"select row_id, '{c}' as column_name, round(({total}) / nullif({mass}, 0), 6) as number, case {source} end as source from (select row_id, {seen} as s, {hubs} from keyed) where s is null and {fine} and ({mass}) > 0")
+    return f"""
+with keyed as (
+  select row_id, {", ".join(P5_NUMBERS)}, PAT_ID as p, case when not {_lost("X50_department", "label")} then upper({bare}) end as d, date_trunc('week', appt_ts)::date as w,
+    case when not isnan(X22_diastolic) then floor(X22_diastolic / 5) end as a, case when not isnan(X25_weight_lb) then floor(X25_weight_lb / 10) end as b from encounters)
+{" union all ".join(parts)}"""
+
+
+def _p5_checked_sql() -> str:
+    kinds = (*((c, "number") for c in P5_NUMBERS), *((c, "label") for c in P5_LABELS))
+    return " union all ".join(f"select '{c}' as column_name, count(*) as rows, count(*) filter ({_lost(c, k)}) as missing, count(*) filter ({_lost(c, k)}) as filled, true as observed_kept from encounters" for c, k in kinds)
+
+
+SQL = {"p1_found": _p1_sql(), "p1_records": _records_sql(), "p3_profile": _profile_sql(), "p3_after_correction": _profile_sql("(from encounters qualify enc_id is null or row_id = max(row_id) over (partition by enc_id))"), "p3_found": _p3_sql(), "p5_found": _p5_sql(), "p5_settled": _p5_settled_sql(), "p5_checked": _p5_checked_sql()}
