@@ -109,26 +109,22 @@ def spearman(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def _discordant(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> int:
-    """Weighted pairs with x1 < x2 and y1 > y2, by merging halves of the order in x."""
+    """Weighted pairs with x1 < x2 and y1 > y2. In the order of x (ties by y) these are the pairs whose y fall; one bit of y's
+    rank after the other, from the highest, rows that agree so far lie together, and every falling pair is counted at the
+    first bit in which it differs."""
     order = np.lexsort((y, x))
-    x, y, n = np.unique(x[order], return_inverse=True)[1], np.unique(y[order], return_inverse=True)[1], n[order].astype(object if n.sum() > 2**31 else np.int64)
-    tree, total, seen, i = np.zeros(int(y.max()) + 2, n.dtype), 0, 0, 0
-    while i < len(x):
-        j = i
-        while j < len(x) and x[j] == x[i]:
-            k, below = int(y[j]) + 1, 0
-            while k:
-                below += tree[k]
-                k &= k - 1
-            total += int(n[j]) * int(seen - below)
-            j += 1
-        for a in range(i, j):
-            k = int(y[a]) + 1
-            while k < len(tree):
-                tree[k] += n[a]
-                k += k & -k
-            seen += int(n[a])
-        i = j
+    rank, n = np.unique(y[order], return_inverse=True)[1], n[order].astype(object if float(n.sum()) ** 2 > 2**62 else np.int64)
+    total, group = 0, np.zeros(len(n), np.int64)
+    for bit in range(int(rank.max()).bit_length() - 1, -1, -1):
+        high = (rank >> bit) & 1
+        ones = np.cumsum(n * high)
+        starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        before = (ones - n * high)[starts]
+        behind = ones - np.repeat(before, np.diff(np.append(starts, len(n))))
+        total += int((n * (1 - high) * behind).sum())
+        group = group * 2 + high
+        place = np.argsort(group, kind="stable")
+        group, rank, n = group[place], rank[place], n[place]
     return total
 
 
@@ -163,8 +159,11 @@ def kendall(df: DataFrame, columns: list[str], grid: int = GRID) -> DataFrame:
     kind = "i int, j int, d decimal(38,0)"
     as_decimal = lambda f: lambda g: f(g).assign(d=lambda x: [Decimal(int(v)) for v in x.d])
     found = whole.groupBy("i", "j").applyInPandas(as_decimal(far), kind)
-    found = found.unionByName(placed.groupBy("i", "j", "gx").applyInPandas(as_decimal(column_stripe), kind))
-    found = found.unionByName(placed.groupBy("i", "j", "gy").applyInPandas(as_decimal(row_stripe), kind))
+    # a stripe of one value, however many rows have it, holds no such pairs and isn't brought together
+    for side, grid_side, stripe in (("x", "gx", column_stripe), ("y", "gy", row_stripe)):
+        wide = placed.groupBy("i", "j", grid_side).agg(F.min(side).alias("_lo"), F.max(side).alias("_hi")).where("_lo < _hi").select("i", "j", grid_side)
+        # as many rows as pairs of columns have grid lines
+        found = found.unionByName(placed.join(F.broadcast(wide), ["i", "j", grid_side], "left_semi").groupBy("i", "j", grid_side).applyInPandas(as_decimal(stripe), kind))
     discordant = {(r.i, r.j): int(r.d) for r in found.groupBy("i", "j").agg(F.sum("d").alias("d")).collect()}
     big = "decimal(38,0)"
     halves = lambda n: (n.cast(big) * (n.cast(big) - 1) / 2).cast(big)

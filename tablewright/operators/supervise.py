@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from math import ceil
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier, OneVsRest
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -22,15 +24,13 @@ from tablewright.plans.shared import fits_broadcast, numbered_in_order, written
 CLASSIFICATION, REGRESSION = "classification", "regression"
 #: Stands for a missing value in tree input, beside an indicator column.
 SENTINEL = -999_999_999.0
-#: Held-out rows among which a feature's values are shuffled, about.
-SHUFFLE_BLOCK = 20_000
 
 
 def infer_task(df: DataFrame, target: str, max_classes: int = 10) -> str:
     """Regression if more than 0.9 of the present values are numbers and they are not all whole or have more than
     `max_classes` distinct values; else classification, also if none is present."""
     x = as_number(name(target), df.schema[target].dataType)
-    whole = F.abs(x - F.rint(x)) <= 1e-8 + 1e-5 * F.abs(F.rint(x)) * 0
+    whole = F.abs(x - F.rint(x)) <= 1e-8
     row = df.agg(F.count(present(df, target)).alias("n"), F.count(x).alias("p"), F.bool_and(whole).alias("w"), F.approx_count_distinct(x, 0.02).alias("d")).first()
     if not row.n or row.p / row.n <= 0.9:
         return CLASSIFICATION
@@ -198,30 +198,73 @@ def gain_importance(model, names: list[str]) -> dict[str, float]:
 
 
 def permutation_importance(model, test: DataFrame, names: list[str], task: str, repeats: int, seed: int, key: str = "_key") -> dict[str, float]:
-    """Mean fall of accuracy or R2 when a feature (with its indicator) is shuffled. The copies of the held-out rows for all
-    features and repeats are scored in one job."""
+    """Mean fall of accuracy or R2 when a feature (with its indicator) is shuffled over all held-out rows.
+
+    Rows are numbered in the order of a hash; in each repeat a row is given the row a random distance behind it, so that
+    every row lends its values once. A row travels once per repeat; the features are exchanged in the Arrow batch, where only
+    the trees that use a feature are evaluated again, and sums per feature and repeat are all that is passed on.
+    """
     features = list(dict.fromkeys(names))
-    blocks = max(1, test.count() // SHUFFLE_BLOCK)
-    base = test.select(key, "label", vector_to_array("features").alias("x"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("b"))
-    base = written(base.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy(key))), "held_out")
-    trial = base.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(len(features) * repeats - 1))))
-    # within each hash block the donor of a row is the row of the same number in a shuffled order
-    shuffled = trial.select("t", "b", F.col("x").alias("donor"), F.row_number().over(Window.partitionBy("t", "b").orderBy(F.xxhash64(F.col(key), F.col("t"), F.lit(seed)))).alias("r"))
-    mixed = trial.join(shuffled, ["t", "b", "r"])
-    which = (F.col("t") % len(features)).cast("int")
-    owner = F.array(*(F.lit(features.index(n)) for n in names))
-    x = F.transform("x", lambda v, i: F.when(F.get(owner, i) == which, F.get("donor", i)).otherwise(v))
-    from pyspark.ml.functions import array_to_vector
-
-    every = mixed.select("t", "label", array_to_vector(x).alias("features")).unionByName(base.select(F.lit(-1).alias("t"), "label", array_to_vector("x").alias("features")))
-    scored = model.transform(every)
-    if task == REGRESSION:
-        e = F.col("label") - F.col("prediction")
-        score = 1 - F.avg(e * e) / F.when(F.var_pop("label") > 0, F.var_pop("label"))
-    else:
-        score = F.avg((F.col("label") == F.col("prediction")).cast("double"))
-    rows = {r.t: r.s for r in scored.groupBy("t").agg(score.alias("s")).collect()}
-    return {f: float(np.mean([rows[-1] - rows[i + len(features) * k] for k in range(repeats)])) for i, f in enumerate(features)}
+    columns = [[i for i, n in enumerate(names) if n == f] for f in features]
+    rows = test.select(key, "label", vector_to_array("features").alias("x"), F.xxhash64(key, F.lit(seed)).alias("_order"))
+    rows = written(numbered_in_order(rows, "_order", "r").select("r", F.col("label").cast("double").alias("label"), "x"), "held_out")
+    n, spread = rows.agg(F.count(F.lit(1)), F.var_pop("label")).first()
+    if not n:
+        return dict.fromkeys(features, 0.0)
+    steps = [int(x) for x in np.random.default_rng(seed).integers(1, max(n, 2), repeats)]
+    asked = rows.select("*", F.posexplode(F.array(*map(F.lit, steps))).alias("t", "step")).withColumn("from", (F.col("r") + F.col("step")) % F.lit(n))
+    given = asked.join(rows.select(F.col("r").alias("from"), F.col("x").alias("donor")), "from").select("t", "label", "x", "donor")
+    held = test.sparkSession.sparkContext.broadcast([_tree_table(b) for b in _boosters(model)])
+
+    def score(margins: list[np.ndarray], y: np.ndarray) -> float:
+        if task == REGRESSION:
+            return float(((y - margins[0]) ** 2).sum())
+        return float(((margins[0] > 0) == y).sum() if len(margins) == 1 else (np.argmax(margins, 0) == y).sum())
+
+    def swapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uses = [[_used(tree) for _, tree in trees] for trees in held.value]
+        sums: dict[tuple[int, int], float] = {}
+        for batch in batches:
+            if not len(batch):
+                continue
+            y, repeat = batch.column("label").to_numpy(), batch.column("t").to_numpy()
+            x, donor = (batch.column(c).flatten().to_numpy().reshape(len(batch), -1) for c in ("x", "donor"))
+            plain = [[w * _tree_values(tree, x) for w, tree in trees] for trees in held.value]
+            whole = [np.sum(p, 0) if p else np.zeros(len(x)) for p in plain]
+            for f in range(-1, len(features)):
+                margins = whole
+                if f >= 0:
+                    changed, own = x.copy(), set(columns[f])
+                    changed[:, columns[f]] = donor[:, columns[f]]
+                    margins = [m + sum((w * _tree_values(tree, changed) - p for (w, tree), p, used in zip(trees, ps, use) if used & own), np.zeros(len(x))) for m, trees, ps, use in zip(whole, held.value, plain, uses)]
+                for t in np.unique(repeat).tolist():
+                    at = repeat == t
+                    sums[t, f] = sums.get((t, f), 0.0) + score([m[at] for m in margins], y[at])
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.int32()), pa.array([k[1] for k in sums], pa.int32()), pa.array(list(sums.values()), pa.float64())], names=["t", "f", "s"])
+
+    got = {(r.t, r.f): r.s for r in given.mapInArrow(swapped, "t int, f int, s double").groupBy("t", "f").agg(F.sum("s").alias("s")).collect()}
+    # R2 falls by the growth of the squared error over the variance, accuracy by the loss of hits
+    unit = (spread or float("inf")) * n if task == REGRESSION else -n
+    return {f: float(np.mean([(got[t, i] - got[t, -1]) / unit for t in range(repeats)])) for i, f in enumerate(features)}
+
+
+def _used(node: tuple) -> set[int]:
+    """Columns that a tree's splits look at."""
+    return set() if len(node) == 2 else {node[0]} | _used(node[2]) | _used(node[3])
+
+
+def _tree_values(node: tuple, x: np.ndarray) -> np.ndarray:
+    """A tree's value for each row."""
+    out = np.empty(len(x))
+    todo = [(node, np.arange(len(x)))]
+    while todo:
+        n, rows = todo.pop()
+        if len(n) == 2:
+            out[rows] = n[0]
+        else:
+            left = x[rows, n[0]] <= n[1]
+            todo += [(n[2], rows[left]), (n[3], rows[~left])]
+    return out
 
 
 def _tree_table(booster) -> list[tuple]:

@@ -157,34 +157,37 @@ def validation_issues(spark: SparkSession, sf: str) -> DataFrame:
 # exploration
 
 
-def _frame(spark: SparkSession, sf: str) -> tuple[DataFrame, Roles, X.NumericFrame]:
+def _raw(spark: SparkSession, sf: str) -> tuple[DataFrame, Roles]:
     raw = table(spark, sf, "encounters").select("row_id", *S.FIELDS)
     roles = classify(raw)
-    roles = Roles(tuple(c for c in roles.numeric if c != "row_id"), roles.categorical, roles.identifiers, roles.outcomes)
-    return raw, roles, X.numeric_frame(raw, roles, "row_id")
+    return raw, Roles(tuple(c for c in roles.numeric if c != "row_id"), roles.categorical, roles.identifiers, roles.outcomes)
+
+
+def _frame(spark: SparkSession, sf: str) -> X.NumericFrame:
+    return X.numeric_frame(*_raw(spark, sf), "row_id")
 
 
 def missing_map(spark: SparkSession, sf: str) -> DataFrame:
-    raw, roles, _ = _frame(spark, sf)
+    raw, roles = _raw(spark, sf)
     return X.missing_map(coerce(raw, roles), "row_id").withColumn("missing_fraction", F.round("missing_fraction", 9) + F.lit(0.0))
 
 
 def top_by_variance(spark: SparkSession, sf: str) -> DataFrame:
-    return X.variance_table(_frame(spark, sf)[2], 12).withColumn("variance", F.round("variance", 2))
+    return X.variance_table(_frame(spark, sf), 12).withColumn("variance", F.round("variance", 2))
 
 
 def histogram_bins(spark: SparkSession, sf: str) -> DataFrame:
-    frame = _frame(spark, sf)[2]
+    frame = _frame(spark, sf)
     return X.histograms(frame, ["X21_systolic", "X26_bmi", "X30", "X25_weight_lb"]).select("column_name", "bin", "n", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
 def density_curves(spark: SparkSession, sf: str) -> DataFrame:
-    frame = _frame(spark, sf)[2]
+    frame = _frame(spark, sf)
     return X.densities(X.histograms(frame, ["X21_systolic", "X26_bmi"])).select("column_name", F.round("x", 6).alias("x"), F.round("density", 9).alias("density"))
 
 
 def standardized_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    frame = _frame(spark, sf)[2]
+    frame = _frame(spark, sf)
     return X.scaled_table(frame).select(F.col("_key").alias("row_id"), *((F.round(c, 4) + F.lit(0.0)).alias(c) for c in frame.columns))
 
 
@@ -193,33 +196,33 @@ def seeded_sample(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hue_column(spark: SparkSession, sf: str) -> DataFrame:
-    raw, roles, _ = _frame(spark, sf)
+    raw, roles = _raw(spark, sf)
     return spark.createDataFrame([(X.hue_column(coerce(raw, roles), roles, 10),)], "column_name string")
 
 
 def pair_plot_marks(spark: SparkSession, sf: str) -> DataFrame:
-    raw, roles, _ = _frame(spark, sf)
+    raw, roles = _raw(spark, sf)
     return X.pair_plot(raw, roles, "row_id")
 
 
 def pca_projection(spark: SparkSession, sf: str) -> DataFrame:
-    return X.pca(_frame(spark, sf)[2])[0].withColumnRenamed("_key", "row_id")
+    return X.pca(_frame(spark, sf))[0].withColumnRenamed("_key", "row_id")
 
 
 def cluster_order(spark: SparkSession, sf: str) -> DataFrame:
-    raw, roles, _ = _frame(spark, sf)
+    raw, roles = _raw(spark, sf)
     return X.cluster_map(raw, roles, "row_id")
 
 
 def tsne_projection(spark: SparkSession, sf: str) -> DataFrame:
-    raw, roles, _ = _frame(spark, sf)
-    return X.tsne(raw, roles, "row_id", ExploreConfig(), 250)
+    raw, roles = _raw(spark, sf)
+    return X.tsne(raw, roles, "row_id", ExploreConfig())
 
 
 def exploration_stages(spark: SparkSession, sf: str) -> DataFrame:
-    """All figures of one run (t-SNE apart), with their numbers of marks."""
-    raw, roles, _ = _frame(spark, sf)
-    made = X.explore(raw, roles, "row_id", with_tsne=False)
+    """All figures of one run, with their numbers of marks."""
+    raw, roles = _raw(spark, sf)
+    made = X.explore(raw, roles, "row_id")
     return spark.createDataFrame([(stem, marks.count()) for stem, marks in made.figures.items()], "figure string, marks long")
 
 
