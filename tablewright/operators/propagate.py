@@ -102,8 +102,9 @@ def fill_missing(
     return Filled(rows.select(*out), reduce(DataFrame.unionByName, fills).withColumnRenamed("_key", key))
 
 
-def _met(rows: DataFrame, hubs: DataFrame, on: str) -> DataFrame:
-    """A large hub table is joined by shuffle; adaptive execution splits the tasks of frequent hubs."""
+def _met(rows: DataFrame, hubs: DataFrame, on: str | list[str]) -> DataFrame:
+    """Rows with what their hubs have. A large hub table is joined by shuffle; adaptive execution splits the tasks of frequent
+    hubs, of which the table has one row (or one per label), so that no copies of it are needed."""
     return rows.join(F.broadcast(hubs) if fits_broadcast(hubs) else hubs.hint("merge"), on, "left")
 
 
@@ -197,7 +198,7 @@ def _labels(base: DataFrame, i: int, edges: list[Edge], tolerance: float, rounds
     shares = written(counts.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy(*hub))).drop("n"), "shares")
     gaps = base.where(label.isNull())
     spokes = gaps.select("_row", F.explode(links).alias("x")).select("_row", "x.j", "x.h")
-    met = written(sized_join(spokes, shares, hub, "left", ["_row"]), "spokes")
+    met = written(_met(spokes, shares, hub), "spokes")
     anchored = met.where("label IS NOT NULL").select("_row", "label", (weight * F.col("p")).alias("p"), weight.alias("w"))
     empty = met.where("label IS NULL").select("_row", *hub)
     every = anchored
