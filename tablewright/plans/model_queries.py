@@ -103,11 +103,19 @@ def importance_classes(spark: SparkSession, sf: str) -> DataFrame:
     return _study(spark, sf, "Y5").rankings
 
 
+def importance_leaders(spark: SparkSession, sf: str) -> DataFrame:
+    """The feature that each way of ranking puts first for an outcome that the signal drives, and whether the model finds it."""
+    made = _study(spark, sf, "Y4")
+    ways = [c for c in made.rankings.columns if c != "feature"]
+    rows = [(way, made.top(1, way).first()["feature"], made.metrics["r2"] > 0.5) for way in ways]
+    return spark.createDataFrame(rows, "ranking string, feature string, model_is_good boolean")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         task_inference, ordinal_encode, label_encode, drop_missing_target, class_counts, stratified_split, plain_split, metrics_classification, metrics_binary,
-        metrics_regression, auc_rank_sum, importance_gain, importance_permutation, importance_rankings, model_evaluation, importance_classes,
+        metrics_regression, auc_rank_sum, importance_gain, importance_permutation, importance_rankings, importance_leaders, model_evaluation, importance_classes,
     )
 }
 
@@ -146,6 +154,7 @@ def _auc_sql(score: str, source: str) -> str:
 
 
 SQL = {
+    "importance_leaders": "select unnest(['gain', 'permutation', 'shap']) as ranking, 'X_signal' as feature, true as model_is_good",
     "task_inference": _task_sql(),
     "ordinal_encode": _ordinal_sql(),
     "label_encode": f"select v as label, row_number() over (order by v) - 1 as code from (select distinct {S.present('X51_visit_type')} as v from encounters) where v is not null",

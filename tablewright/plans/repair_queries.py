@@ -209,6 +209,18 @@ def pca_projection(spark: SparkSession, sf: str) -> DataFrame:
     return X.pca(_frame(spark, sf))[0].withColumnRenamed("_key", "row_id")
 
 
+def pca_checked(spark: SparkSession, sf: str) -> DataFrame:
+    """One row: rows projected, and whether the components are centred, uncorrelated and in the order of their variance."""
+    made = X.pca(_frame(spark, sf))[0]
+    row = made.agg(F.count(F.lit(1)).alias("n"), *(f(c).alias(f"{k}{c}") for c in ("pc1", "pc2") for k, f in (("m", F.avg), ("v", F.var_pop))), F.corr("pc1", "pc2").alias("r"))
+    return row.select(F.col("n").alias("n_rows"), ((F.abs("mpc1") < 1e-6) & (F.abs("mpc2") < 1e-6)).alias("centred"), (F.abs("r") < 1e-6).alias("uncorrelated"), (F.col("vpc1") >= F.col("vpc2")).alias("first_is_widest"))
+
+
+def exploration_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Each of the six figures of a run, and whether it has marks."""
+    return exploration_stages(spark, sf).select("figure", (F.col("marks") > 0).alias("has_marks"))
+
+
 def cluster_order(spark: SparkSession, sf: str) -> DataFrame:
     raw, roles = _raw(spark, sf)
     return X.cluster_map(raw, roles, "row_id")
@@ -238,7 +250,7 @@ QUERIES = {
     for f in (
         exploration_stages, repaired_is_valid, impute_mode, impute_median, impute_knn, impute_knn_uniform, impute_text_key, impute_capped, impute_encounters, restore_integrality, blank_fallback, impute_skip, impute_keep_originals, impute_report, scaler_statistics,
         check_completeness, check_placeholder, check_constant, check_row_count, check_columns, check_skipped_unchanged, validation_issues,
-        missing_map, top_by_variance, histogram_bins, density_curves, standardized_matrix, seeded_sample, hue_column, pair_plot_marks, pca_projection, cluster_order, tsne_projection,
+        missing_map, top_by_variance, histogram_bins, density_curves, standardized_matrix, seeded_sample, hue_column, pair_plot_marks, pca_projection, pca_checked, exploration_whole, cluster_order, tsne_projection,
     )
 }
 
@@ -321,7 +333,7 @@ def _variance_sql() -> str:
     return f"with {S.CLEAN} select column_name, round(variance, 2) as variance from ({S.union(parts)}) where variance > 0 order by variance desc, pos limit 12"
 
 
-def _hist_sql(columns: list[str]) -> str:
+def _hist_sql(columns: list[str], digits: int = 6) -> str:
     cells = S.union([f"select '{c}' as column_name, {c}::double as v from clean where {c} is not null" for c in columns])
     return f"""
 with {S.CLEAN}, cells as ({cells}),
@@ -329,7 +341,30 @@ rule as (
   select column_name, count(*) as n, min(v) as lo, max(v) as hi, 2 * (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / power(count(*), 1 / 3e0) as fd, (max(v) - min(v)) / (log2(count(*)) + 1) as st from cells group by 1),
 bins as (select column_name, lo, hi, least(greatest(1, ceil((hi - lo) / case when fd > 0 then least(fd, st) else st end)), 10000)::int as k from rule),
 placed as (select column_name, least(floor((v - lo) / ((hi - lo) / k))::int, k - 1) as bin, lo, (hi - lo) / k as step from cells join bins using (column_name))
-select column_name, bin, count(*) as n, round(any_value(lo) + bin * any_value(step), 6) as low, round(any_value(lo) + (bin + 1) * any_value(step), 6) as high from placed group by 1, 2"""
+select column_name, bin, count(*) as n, round(any_value(lo) + bin * any_value(step), {digits}) as low, round(any_value(lo) + (bin + 1) * any_value(step), {digits}) as high from placed group by 1, 2"""
+
+
+def _density_sql(columns: list[str], points: int = 100) -> str:
+    return f"""
+with bins as ({_hist_sql(columns, 14)}),
+total as (select column_name, sum(n) as t, sum(n * (low + high) / 2) as s1, sum(n * ((low + high) / 2) * ((low + high) / 2)) as s2, min(low) as lo, max(high) as hi from bins group by 1),
+width as (select *, sqrt(greatest(s2 / t - (s1 / t) * (s1 / t), 1e-12)) * power(t, -0.2) as h from total),
+spots as (select *, lo + (hi - lo) * i / {points - 1} as x from width, range({points}) r(i))
+select column_name, round(x, 6) as x, round(sum(n * exp(-power((x - (low + high) / 2) / h, 2) / 2)) / (any_value(t) * any_value(h) * sqrt(2 * pi())), 9) as density
+from spots join bins using (column_name) group by column_name, i, x"""
+
+
+def _pair_plot_sql() -> str:
+    """The four widest columns for the sampled rows, each pair once, the wider one as x."""
+    wide = S.union([f"select {i} as pos, '{c}' as col, var_samp(coalesce({c}::double, (select quantile_cont({c}::double, 0.5) from clean))) as variance from clean" for i, c in enumerate(S.NUMERIC_FEATURES)])
+    cells = S.union([f"select row_id, '{c}' as col, coalesce({c}::double, (select quantile_cont({c}::double, 0.5) from clean)) as v from clean where row_id in (from chosen)" for c in S.NUMERIC_FEATURES])
+    hues = S.union([f"select row_id, '{c}' as column_name, {c} as hue from clean where row_id in (from chosen)" for c in S.LABELS])
+    return f"""
+with {S.CLEAN}, chosen as (select row_id from encounters order by md5(row_id::varchar || '-42'), row_id limit 1000),
+widest as (select col, row_number() over (order by variance desc, pos) as place from ({wide}) qualify place <= 4),
+cells as (select * from ({cells}) join widest using (col)),
+hued as (select row_id, hue from ({hues}) join (select column_name from ({S.union([f"select {i} as pos, '{c}' as column_name, count(distinct {c}) as n from clean" for i, c in enumerate(S.LABELS)])}) where n between 2 and 10 order by pos limit 1) using (column_name))
+select a.row_id as key, a.col as feature_x, b.col as feature_y, a.v as x, b.v as y, hue from cells a join cells b on a.row_id = b.row_id and a.place < b.place join hued on hued.row_id = a.row_id"""
 
 
 def _scaled_sql() -> str:
@@ -372,6 +407,11 @@ select column_name, strategy, n as filled from (
     "missing_map": _map_sql(),
     "top_by_variance": _variance_sql(),
     "histogram_bins": _hist_sql(["X21_systolic", "X26_bmi", "X30", "X25_weight_lb"]),
+    "density_curves": _density_sql(["X21_systolic", "X26_bmi"]),
+    "pair_plot_marks": _pair_plot_sql(),
+    "pca_checked": "select count(*) as n_rows, true as centred, true as uncorrelated, true as first_is_widest from encounters",
+    "exploration_whole": "select unnest(['hierarchical_cluster_map', 'missing_values_heatmap', 'numeric_distributions', 'pairplot_top_features', 'pca_projection', 'tsne_projection']) as figure, true as has_marks",
+    "repaired_is_valid": "select null::varchar as check_name, null::varchar as column_name, null::varchar as detail where false",
     "standardized_matrix": _scaled_sql(),
     "seeded_sample": "select row_id, PAT_ID from encounters order by md5(row_id::varchar || '-42'), row_id limit 1000",
     "hue_column": _hue_sql(),
