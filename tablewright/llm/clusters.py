@@ -17,8 +17,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewright.llm.vectors import CELL_ROWS, MOST_CELLS, TILE, TILE_KEYS, Cells, assigned, matrix, over_groups, spread_centres, tile_meetings
-from tablewright.plans.shared import sized_join, written
+from tablewright.llm.vectors import CELL_ROWS, MOST_CELLS, TILE, TILE_KEYS, Cells, assigned, matrix, spread_centres, tile_meetings
+from tablewright.plans.shared import over_groups, sized_join, written
 
 #: Leaf entries of the first tree at most; entries of an inner node; trees merged into one; Ward clusters.
 LEAVES, BRANCH, FAN_IN, CLUSTERS = 512, 32, 8, 24

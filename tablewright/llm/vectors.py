@@ -11,7 +11,7 @@ distance, and only pairs whose bound lets them pass are computed in float and ke
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewright.plans.shared import sized_join, written
+from tablewright.plans.shared import over_groups, sized_join, written
 
 #: Rows of a cell aimed at; cells at most (their centres are broadcast: 24 readings are 3 MB; beyond, cells hold more rows);
 #: rows of a local cell aimed at.
@@ -333,31 +333,6 @@ def tile_meetings(tile: pa.Table, radius: float) -> Iterator[tuple[np.ndarray, n
     return meetings(matrix(tile.column("v")), tile.column("resident").to_numpy(zero_copy_only=False), None if whole else tile.column("part").to_numpy(), radius)
 
 
-def over_groups(rows: DataFrame, keys: tuple[str, ...], schema: str, use: Callable[[pa.Table], pa.RecordBatch]) -> DataFrame:
-    """Run `use` (Arrow table of one key -> record batch) over the groups of integer keys, which come whole and one after
-    another."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        now = None
-        for batch in batches:
-            code = [batch.column(k).to_numpy() for k in keys]
-            cuts = np.flatnonzero(np.any([np.diff(c, prepend=c[0]) != 0 for c in code], 0)) if len(batch) else []
-            for s, e in zip([0, *cuts], [*cuts, len(batch)]):
-                if e == s:
-                    continue
-                key = tuple(int(c[s]) for c in code)
-                if key != now and held:
-                    yield use(pa.Table.from_batches(held).combine_chunks())
-                    held = []
-                now = key
-                held.append(batch.slice(s, e - s))
-        if held:
-            yield use(pa.Table.from_batches(held).combine_chunks())
-
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
-
-
 def similar_rows(vectors: DataFrame, k: int, radius: float) -> DataFrame:
     """(id, other, distance, rank): for every row of (id, v) its k nearest other rows within the radius, exactly.
 
