@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from html import escape
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.config import PlotConfig
@@ -70,6 +70,14 @@ def heatmap_marks(pairs: DataFrame, columns: list[str]) -> DataFrame:
     return pairs.select(F.when(first, F.col("feature_2")).otherwise(F.col("feature_1")).alias("row_feature"), F.when(first, F.col("feature_1")).otherwise(F.col("feature_2")).alias("column_feature"), "correlation", text.alias("text"), F.lit(len(columns) <= 40).alias("named"))
 
 
+def _put(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small text wherever Hadoop's file systems reach."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+    out.write(bytearray(text, "utf-8"))
+    out.close()
+
+
 @dataclass
 class FigureSink:
     """Writes a figure's marks as Parquet, and a drawing where one is asked for, into a folder."""
@@ -83,6 +91,5 @@ class FigureSink:
         self.written.append(stem)
         if draw is not None:
             svg = draw(marks.limit(SVG_MARKS).collect(), apply_style(self.config), stem.replace("_", " "))
-            with open(f"{self.folder}/{stem}.svg", "w", encoding="utf-8") as f:
-                f.write(svg)
+            _put(marks.sparkSession, f"{self.folder}/{stem}.svg", svg)
         return path

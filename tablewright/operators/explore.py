@@ -30,6 +30,13 @@ def missing_map(coerced: DataFrame, key: str, bands: int = 50) -> DataFrame:
     return sums.select("band", "n_rows", F.explode(cells).alias("c")).select("band", "c.column_name", "n_rows", "c.missing_fraction")
 
 
+def missing_cells(coerced: DataFrame, key: str) -> DataFrame:
+    """(key, column_name) of every missing cell: the null mask itself, for those who want more than the bands of missing_map."""
+    columns = [c for c in coerced.columns if c != key]
+    lost = F.array_compact(F.array(*(F.when(name(c).isNull(), F.lit(c)) for c in columns)))
+    return coerced.select(name(key).alias(key), F.explode(lost).alias("column_name"))
+
+
 @dataclass(frozen=True)
 class NumericFrame:
     """Numeric features as doubles, their medians, and those that vary after the median fill."""
@@ -69,7 +76,7 @@ def bin_edges(n: int, low: float, high: float, iqr: float) -> int:
     if n == 0 or high == low:
         return 1
     width = min([w for w in (2 * iqr / n ** (1 / 3), (high - low) / (np.log2(n) + 1)) if w > 0])
-    return int(min(max(1, np.ceil((high - low) / width)), 10_000))
+    return int(max(1, np.ceil((high - low) / width)))
 
 
 def histograms(frame: NumericFrame, columns: list[str]) -> DataFrame:
@@ -78,15 +85,15 @@ def histograms(frame: NumericFrame, columns: list[str]) -> DataFrame:
 
     spark = frame.view.sparkSession
     if not columns:
-        return spark.createDataFrame([], "column_name string, bin int, low double, high double, n long")
+        return spark.createDataFrame([], "column_name string, bin long, low double, high double, n long")
     row = wide_row(frame.view, {f"{k}{i}": a(name(c)) for i, c in enumerate(columns) for k, a in (("n", F.count), ("l", F.min), ("h", F.max))})
     cells = melt(frame.view, columns, [name(c) for c in columns], "double").where("value IS NOT NULL")
     counts = cells.groupBy("pos", "value").agg(F.count(F.lit(1)).alias("cnt"))
     q = {r.c: r for r in quartiles(counts.select(F.lit(0).cast("long").alias("load_id"), F.col("pos").alias("c"), (F.col("value") + 0.0).alias("num"), "cnt")).collect()}
     rules = [(i, c, float(row[f"l{i}"]), float(row[f"h{i}"]), bin_edges(row[f"n{i}"], row[f"l{i}"], row[f"h{i}"], q[i].q3 - q[i].q1)) for i, c in enumerate(columns) if row[f"n{i}"]]
-    at = spark.createDataFrame(rules, "pos int, column_name string, lo double, hi double, bins int")
+    at = spark.createDataFrame(rules, "pos int, column_name string, lo double, hi double, bins long")
     step = (F.col("hi") - F.col("lo")) / F.col("bins")
-    place = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("value") - F.col("lo")) / F.when(step > 0, step)).cast("int"), F.col("bins") - 1)).otherwise(0)
+    place = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("value") - F.col("lo")) / F.when(step > 0, step)).cast("long"), F.col("bins") - 1)).otherwise(0)
     joined = counts.join(F.broadcast(at), "pos")  # one row per plotted column
     return joined.select("column_name", place.alias("bin"), "lo", step.alias("step"), "cnt").groupBy("column_name", "bin", "lo", "step").agg(F.sum("cnt").alias("n")).select(
         "column_name", "bin", (F.col("lo") + F.col("bin") * F.col("step")).alias("low"), (F.col("lo") + (F.col("bin") + 1) * F.col("step")).alias("high"), "n"

@@ -8,6 +8,7 @@ donors per gap. No row passes through the driver.
 
 from __future__ import annotations
 
+from abc import ABC, abstractmethod
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -185,6 +186,10 @@ class Imputed:
     frame: DataFrame
     report: DataFrame
 
+    def same_rows(self, source: DataFrame) -> bool:
+        """Whether there are as many rows as in the source, from a count of each."""
+        return self.frame.count() == source.count()
+
     def total_filled(self) -> int:
         return self.report.agg(F.coalesce(F.sum("filled"), F.lit(0))).first()[0]
 
@@ -195,8 +200,20 @@ class Imputed:
         return "\n".join(lines + ([f"and {len(rows) - top} more"] if len(rows) > top else []))
 
 
+class Filler(ABC):
+    """What `impute` needs of a way to fill a table: something that is fitted on one table and applied to it or another. A
+    subclass gives `fit` and `transform`; the rows and columns that `transform` gives back are checked."""
+
+    @classmethod
+    @abstractmethod
+    def fit(cls, df: DataFrame, key: str, config: ImputationConfig = ImputationConfig(), roles: Roles | None = None) -> Filler: ...
+
+    @abstractmethod
+    def transform(self, df: DataFrame) -> Imputed: ...
+
+
 @dataclass(frozen=True)
-class Imputer:
+class Imputer(Filler):
     """Statistics of a fit, applied with `transform`."""
 
     key: str
@@ -291,5 +308,9 @@ def _coerced(df: DataFrame, roles: Roles, skip: tuple[str, ...]) -> list[Column]
     return out
 
 
-def impute(df: DataFrame, key: str, config: ImputationConfig = ImputationConfig(), roles: Roles | None = None) -> Imputed:
-    return Imputer.fit(df, key, config, roles).transform(df)
+def impute(df: DataFrame, key: str, config: ImputationConfig = ImputationConfig(), roles: Roles | None = None, way: type[Filler] = Imputer) -> Imputed:
+    """Fill df by a way of filling. Columns that are lost or come in another order raise ValueError; `Imputed.same_rows` counts."""
+    made = way.fit(df, key, config, roles).transform(df)
+    if made.frame.columns[: len(df.columns)] != df.columns:
+        raise ValueError(f"columns were lost or moved: {', '.join(df.columns)} became {', '.join(made.frame.columns)}")
+    return made

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from math import ceil
 
@@ -344,8 +344,20 @@ def shap_importance(model, test: DataFrame, names: list[str], max_rows: int, see
     return out
 
 
-def importance_study(df: DataFrame, key: str, roles: Roles, config: ImportanceConfig) -> Study:
-    """Encode, split, fit, evaluate, rank. Unknown targets and targets without values raise ValueError."""
+#: Classes at most: each is a booster of its own, and their book is held by the driver.
+MOST_CLASSES = 10_000
+#: A way of ranking: (model, held-out rows, column names of the vectors, task, settings) -> importance of each feature.
+Ranking = Callable[[object, DataFrame, list[str], str, ImportanceConfig], dict[str, float]]
+RANKINGS: dict[str, Ranking] = {
+    "gain": lambda model, test, names, task, c: gain_importance(model, names),
+    "permutation": lambda model, test, names, task, c: permutation_importance(model, test, names, task, c.n_permutation_repeats, c.random_state),
+    "shap": lambda model, test, names, task, c: shap_importance(model, test, names, c.max_shap_rows, c.random_state),
+}
+
+
+def importance_study(df: DataFrame, key: str, roles: Roles, config: ImportanceConfig, rankings: dict[str, Ranking] | None = None) -> Study:
+    """Encode, split, fit, evaluate, rank. Unknown targets, targets without values and more than MOST_CLASSES classes raise
+    ValueError. rankings: the ways to rank by, RANKINGS if none are given; one that fails is noted and the others go on."""
     target = config.target_column
     if target not in df.columns:
         raise ValueError(f"no column {target!r}; outcomes are {', '.join(roles.outcomes) or 'none'}")
@@ -359,9 +371,9 @@ def importance_study(df: DataFrame, key: str, roles: Roles, config: ImportanceCo
     base = ordinal_encode(base, labels) if labels else base
     classes: list = []
     if task == CLASSIFICATION:
-        book = codes(base, "_y").limit(10_001).collect()
-        if len(book) > 10_000:
-            raise ValueError("more than 10,000 classes")
+        book = codes(base, "_y").limit(MOST_CLASSES + 1).collect()
+        if len(book) > MOST_CLASSES:
+            raise ValueError(f"more than {MOST_CLASSES} classes")
         classes = [r.value for r in sorted(book, key=lambda r: r.code)]
         pairs = df.sparkSession.createDataFrame([(v, float(i)) for i, v in enumerate(classes)], f"_y {base.schema['_y'].dataType.simpleString()}, label double") if classes else None
         base = base.join(F.broadcast(pairs), "_y") if pairs is not None else base.withColumn("label", F.lit(0.0))
@@ -376,15 +388,10 @@ def importance_study(df: DataFrame, key: str, roles: Roles, config: ImportanceCo
     predicted = written(model.transform(test).select("_key", "label", "prediction", *((vector_to_array("probability")[1].alias("score"),) if task == CLASSIFICATION and len(classes) == 2 else ())), "predictions")
     table = regression_metrics(predicted, "label", "prediction") if task == REGRESSION else classification_metrics(predicted, "label", "prediction", "score" if "score" in predicted.columns else None)
     metrics = {r.metric: r.value for r in table.collect()}
-    ways = {
-        "gain": lambda: gain_importance(model, names),
-        "permutation": lambda: permutation_importance(model, test, names, task, config.n_permutation_repeats, config.random_state),
-        "shap": lambda: shap_importance(model, test, names, config.max_shap_rows, config.random_state),
-    }
     got, failures = {}, {}
-    for way, rank in ways.items():
+    for way, rank in (rankings or RANKINGS).items():
         try:
-            got[way] = rank()
+            got[way] = rank(model, test, names, task, config)
         except Exception as e:  # noqa: BLE001
             failures[way] = f"{type(e).__name__}: {e}"
     ranked = [(f, *(float(got[w][f]) for w in got)) for f in features]

@@ -172,6 +172,11 @@ def missing_map(spark: SparkSession, sf: str) -> DataFrame:
     return X.missing_map(coerce(raw, roles), "row_id").withColumn("missing_fraction", F.round("missing_fraction", 9) + F.lit(0.0))
 
 
+def missing_cells(spark: SparkSession, sf: str) -> DataFrame:
+    raw, roles = _raw(spark, sf)
+    return X.missing_cells(coerce(raw, roles), "row_id")
+
+
 def top_by_variance(spark: SparkSession, sf: str) -> DataFrame:
     return X.variance_table(_frame(spark, sf), 12).withColumn("variance", F.round("variance", 2))
 
@@ -250,7 +255,7 @@ QUERIES = {
     for f in (
         exploration_stages, repaired_is_valid, impute_mode, impute_median, impute_knn, impute_knn_uniform, impute_text_key, impute_capped, impute_encounters, restore_integrality, blank_fallback, impute_skip, impute_keep_originals, impute_report, scaler_statistics,
         check_completeness, check_placeholder, check_constant, check_row_count, check_columns, check_skipped_unchanged, validation_issues,
-        missing_map, top_by_variance, histogram_bins, density_curves, standardized_matrix, seeded_sample, hue_column, pair_plot_marks, pca_projection, pca_checked, exploration_whole, cluster_order, tsne_projection,
+        missing_map, missing_cells, top_by_variance, histogram_bins, density_curves, standardized_matrix, seeded_sample, hue_column, pair_plot_marks, pca_projection, pca_checked, exploration_whole, cluster_order, tsne_projection,
     )
 }
 
@@ -339,8 +344,8 @@ def _hist_sql(columns: list[str], digits: int = 6) -> str:
 with {S.CLEAN}, cells as ({cells}),
 rule as (
   select column_name, count(*) as n, min(v) as lo, max(v) as hi, 2 * (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / power(count(*), 1 / 3e0) as fd, (max(v) - min(v)) / (log2(count(*)) + 1) as st from cells group by 1),
-bins as (select column_name, lo, hi, least(greatest(1, ceil((hi - lo) / case when fd > 0 then least(fd, st) else st end)), 10000)::int as k from rule),
-placed as (select column_name, least(floor((v - lo) / ((hi - lo) / k))::int, k - 1) as bin, lo, (hi - lo) / k as step from cells join bins using (column_name))
+bins as (select column_name, lo, hi, greatest(1, ceil((hi - lo) / case when fd > 0 then least(fd, st) else st end))::bigint as k from rule),
+placed as (select column_name, least(floor((v - lo) / ((hi - lo) / k))::bigint, k - 1) as bin, lo, (hi - lo) / k as step from cells join bins using (column_name))
 select column_name, bin, count(*) as n, round(any_value(lo) + bin * any_value(step), {digits}) as low, round(any_value(lo) + (bin + 1) * any_value(step), {digits}) as high from placed group by 1, 2"""
 
 
@@ -407,6 +412,7 @@ select column_name, strategy, n as filled from (
     "missing_map": _map_sql(),
     "top_by_variance": _variance_sql(),
     "histogram_bins": _hist_sql(["X21_systolic", "X26_bmi", "X30", "X25_weight_lb"]),
+    "missing_cells": f"with {S.CLEAN} {S.union([f"select row_id, '{c}' as column_name from clean where {c} is null" for c in S.FIELDS])}",
     "density_curves": _density_sql(["X21_systolic", "X26_bmi"]),
     "pair_plot_marks": _pair_plot_sql(),
     "pca_checked": "select count(*) as n_rows, true as centred, true as uncorrelated, true as first_is_widest from encounters",

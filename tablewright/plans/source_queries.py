@@ -97,7 +97,24 @@ def stream_gaps(spark: SparkSession, sf: str) -> DataFrame:
     return spark.table(view).select(F.col("window_start").cast("date").cast("string").alias("day"), "column_name", "rows", "missing")
 
 
+def commands(spark: SparkSession, sf: str) -> DataFrame:
+    """The exit codes of the commands, each over a table with gaps, and of two that must fail."""
+    from tablewright import cli
+    from tablewright.plans.repair_queries import messy
+
+    source = write_frame(messy(spark, sf).drop("untouched").withColumn("T", (F.col("bal") > 5000).cast("int")), _place(spark, ".parquet"))
+    out = _place(spark, "").removesuffix("/table")
+    runs = {
+        "profile": ["profile", "--save"], "correlate": ["correlate"], "impute": ["impute", "--output", f"{out}/filled.parquet", "--neighbors", "3"], "eda": ["eda", "--skip-tsne"],
+        "importance": ["importance", "--target", "T", "--permutation-repeats", "1"], "validate with gaps": ["validate"], "importance without a target": ["importance", "--target", "none"],
+    }
+    made = [(what, cli.main([*line, "--input", source, "--output-dir", out], spark)) for what, line in runs.items()]
+    made.append(("validate", cli.main(["validate", "--input", f"{out}/filled.parquet"], spark)))
+    return spark.createDataFrame(made, "command string, code int")
+
+
 QUERIES = {
+    "commands": commands,
     "csv_source": _round_trip(".csv"), "parquet_source": _round_trip(".parquet"), "orc_source": _round_trip(".orc"), "json_source": _round_trip(".json"),
     "csv_text": csv_text, "tsv_source": tsv_source, "load_with_roles": load_with_roles, "row_keys": row_keys, "generated_sample": generated_sample,
     "heatmap_marks": heatmap_marks, "stream_profile": stream_profile, "stream_gaps": stream_gaps,
@@ -122,6 +139,7 @@ from cells c join column_specs s using (column_name) group by 1, 2"""
 
 
 SQL = {
+    "commands": "select unnest(['profile', 'correlate', 'impute', 'eda', 'importance', 'validate', 'validate with gaps', 'importance without a target']) as command, unnest([0, 0, 0, 0, 0, 0, 1, 2]) as code",
     **dict.fromkeys(("csv_source", "parquet_source", "orc_source", "json_source"), _CLINICS),
     "csv_text": "select row_id, " + ", ".join(f"case when {c} not in {S.TOKENS} and {c} not in {_CSV_LOST} then {c} end as {c}" for c in ("X51_visit_type", "X57_payment")) + " from encounters",
     "tsv_source": "select n_nationkey::bigint as n_nationkey, n_name, n_regionkey::bigint as n_regionkey from nation",

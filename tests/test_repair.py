@@ -220,3 +220,23 @@ def test_rows_without_a_key_get_the_mean(spark):
 def test_capped_neighbours_are_reported(spark):
     df = spark.createDataFrame([(1, None, 1.0), (2, 4.0, 1.0), (3, 6.0, 2.0)], "k long, a double, b double")
     assert [tuple(r) for r in I.impute(df, "k", ImputationConfig(20), Roles(("a", "b"), ())).report.collect()] == [("a", "knn(k=2)", 1)]
+
+
+def test_other_ways_of_filling(spark):
+    class Zeros(I.Filler):
+        @classmethod
+        def fit(cls, df, key, config=None, roles=None):
+            return cls()
+
+        def transform(self, df):
+            return I.Imputed(df.fillna(0.0), df.sparkSession.createDataFrame([], "column_name string, strategy string, filled long"))
+
+    class Loser(Zeros):
+        def transform(self, df):
+            return I.Imputed(df.drop("a"), None)
+
+    df = frame(spark, gappy())
+    made = I.impute(df, "k", way=Zeros)
+    assert made.same_rows(df) and made.frame.where("a IS NULL").count() == 0
+    with pytest.raises(ValueError, match="lost or moved"):
+        I.impute(df, "k", way=Loser)

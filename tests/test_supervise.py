@@ -144,3 +144,17 @@ def test_registered_queries_use_the_whole_settings(spark, sf, monkeypatch):
             q(spark, sf)
     assert seen == [ImportanceConfig(t) for t in ("Y4", "Y1", "Y3", "Y4", "Y5")]
     assert (seen[0].n_permutation_repeats, seen[0].max_shap_rows) == (10, 2000)
+
+
+def test_other_ways_of_ranking_and_permutation_over_all_rows(spark):
+    rows = [(i, float(i % 17), float((i * 7) % 13), int(i % 17 > 8)) for i in range(300)]
+    df = spark.createDataFrame(rows, "k long, signal double, noise double, y int")
+    from tablewright.config import ImportanceConfig
+    from tablewright.operators import supervise as M
+    from tablewright.operators.roles import Roles
+
+    ways = {"permutation": M.RANKINGS["permutation"], "length": lambda model, test, names, task, c: {n: float(len(n)) for n in names}, "broken": lambda *a: 1 / 0}
+    made = M.importance_study(df, "k", Roles(("k", "signal", "noise", "y"), (), ("k",), ("y",)), ImportanceConfig("y", n_permutation_repeats=3, rounds=4), ways)
+    got = {r.feature: r for r in made.rankings.collect()}
+    assert got["signal"].length == 6.0 and got["signal"].permutation > 0.2 and abs(got["noise"].permutation) < 0.05
+    assert list(made.failures) == ["broken"] and made.metrics["accuracy"] > 0.95
