@@ -161,18 +161,16 @@ class _Numbers:
         """Per edge the values (h, u0, u1, ...) of hubs without votes."""
         rows = rows.where(reduce(lambda a, b: a | b, (F.col(f"_x{j}").isNotNull() for j in held)))
         given: dict[int, DataFrame] = {}
+        bit = lambda i: F.col("x.b").bitwiseAND(F.lit(1 << i)) > 0
         for _ in range(rounds):
             met, value = self._estimates(rows, given)
-            now, moved = {}, 0.0
-            for j in held:
-                lacks = [F.col(f"_b{j}").bitwiseAND(F.lit(1 << i)) > 0 for i in self.k]
-                before = [F.max(f"_u{j}_{i}") if given else F.lit(None).cast("double") for i in self.k]
-                hubs = met.where(F.col(f"_x{j}").isNotNull()).groupBy(F.col(f"_x{j}").alias("h")).agg(*(F.avg(F.when(lacks[i], value[i])).alias(f"u{i}") for i in self.k), *(before[i].alias(f"p{i}") for i in self.k))
-                now[j] = written(hubs, "empty_hubs")
-                change = [F.when(F.col(f"u{i}").isNotNull(), F.coalesce(F.abs(F.col(f"u{i}") - F.col(f"p{i}")) / F.lit(self.spread[i] or 1.0), F.lit(float("inf")))) for i in self.k]
-                moved = max(moved, *(x or 0.0 for x in now[j].agg(*map(F.max, change)).first()))
-            given = now
-            if moved <= tolerance:
+            before = lambda j, i: F.col(f"_u{j}_{i}") if given else F.lit(None).cast("double")  # noqa: B023, E731
+            links = F.array(*(F.struct(F.lit(j).alias("j"), F.col(f"_x{j}").alias("h"), F.col(f"_b{j}").alias("b"), *(before(j, i).alias(f"p{i}") for i in self.k)) for j in held))
+            each = met.select(*(v.alias(f"v{i}") for i, v in enumerate(value)), F.explode(F.filter(links, lambda x: x["h"].isNotNull())).alias("x"))
+            now = written(each.groupBy("x.j", "x.h").agg(*(F.avg(F.when(bit(i), F.col(f"v{i}"))).alias(f"u{i}") for i in self.k), *(F.max(f"x.p{i}").alias(f"p{i}") for i in self.k)), "empty_hubs")
+            given = {j: now.where(F.col("j") == j) for j in held}
+            change = (F.when(F.col(f"u{i}").isNotNull(), F.coalesce(F.abs(F.col(f"u{i}") - F.col(f"p{i}")) / F.lit(self.spread[i] or 1.0), F.lit(float("inf")))) for i in self.k)
+            if max(x or 0.0 for x in now.agg(*map(F.max, change)).first()) <= tolerance:
                 break
         return given
 

@@ -9,7 +9,8 @@ from tablewright.functions.parse import EDGE_SPACE, MISSING_TOKENS, label_missin
 from tablewright.operators import columns as C
 from tablewright.operators.propagate import Edge, Filled, fill_missing, near
 from tablewright.operators.rejects import Field, LoadedLines, load_lines
-from tablewright.plans.shared import sized_join, written
+from tablewright.plans import sqltext
+from tablewright.plans.shared import sized_join, spread, written
 from tablewright.plans.tables import table
 
 _CHECKED = {"X20_heart_rate": (20.0, 300.0), "X23_temperature": (30.0, 45.0), "X24_oxygen_sat": (50.0, 100.0)}
@@ -33,7 +34,7 @@ def encounter_fields() -> list[Field]:
 
 
 def loaded_lines(spark: SparkSession, sf: str) -> LoadedLines:
-    return load_lines(table(spark, sf, "raw_lines"), "line", encounter_fields())
+    return load_lines(spread(table(spark, sf, "raw_lines")), "line", encounter_fields())
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -55,7 +56,7 @@ def column_specs(spark: SparkSession, sf: str) -> list[C.ColumnSpec]:
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     specs = column_specs(spark, sf)
     store = C.temporary_store(spark, [s.column for s in specs])
-    counts = store.commit(C.delta(table(spark, sf, "encounters"), "load_id", store.columns))
+    counts = store.commit(C.delta(spread(table(spark, sf, "encounters"), "load_id"), "load_id", store.columns))
     return C.load_findings(counts, store.columns, specs, table(spark, sf, "loads"))
 
 
@@ -70,7 +71,7 @@ def p3_profile(spark: SparkSession, sf: str) -> DataFrame:
     """The profile of every column of every load."""
     rows = table(spark, sf, "encounters")
     store = C.temporary_store(spark, [c for c in rows.columns if c != "load_id"])
-    return _shown_profile(store.commit(C.delta(rows, "load_id", store.columns)), store.columns, column_specs(spark, sf))
+    return _shown_profile(store.commit(C.delta(spread(rows, "load_id"), "load_id", store.columns)), store.columns, column_specs(spark, sf))
 
 
 def p3_after_correction(spark: SparkSession, sf: str) -> DataFrame:
@@ -78,7 +79,7 @@ def p3_after_correction(spark: SparkSession, sf: str) -> DataFrame:
     delta of -1, all but the one of the greatest row_id. Only the rows that leave are counted for it."""
     rows = table(spark, sf, "encounters")
     store = C.temporary_store(spark, [c for c in rows.columns if c != "load_id"])
-    store.commit(C.delta(rows, "load_id", store.columns))
+    store.commit(C.delta(spread(rows, "load_id"), "load_id", store.columns))
     ids = rows.where("enc_id IS NOT NULL").groupBy("enc_id").agg(F.max("row_id").alias("last"), F.collect_list("row_id").alias("sent"))  # sendings of one encounter are few
     gone = written(ids.select("last", F.explode("sent").alias("row_id")).where("row_id < last").select("row_id"), "replaced")
     replaced = sized_join(rows, gone, ["row_id"], "left_semi", ["row_id"])
@@ -93,7 +94,7 @@ def p3_changes(spark: SparkSession, sf: str) -> DataFrame:
     """The findings of p3_found for every column: the loads in which a column differs from the load before."""
     rows = table(spark, sf, "encounters")
     names = [c for c in rows.columns if c != "load_id"]
-    return C.change_findings(rows, "load_id", names, column_specs(spark, sf), table(spark, sf, "loads"), _AS_NUMBERS)
+    return C.change_findings(spread(rows, "load_id"), "load_id", names, column_specs(spark, sf), table(spark, sf, "loads"), _AS_NUMBERS)
 
 
 P5_NUMBERS, P5_LABELS = ["X20_heart_rate", "X21_systolic", "X60_sparse"], ["X50_department"]
@@ -227,25 +228,35 @@ from prof p left join spread e on e.load_id = p.load_id and e.column_name = p.co
 _P3_COLUMNS = {"X60_sparse": "number", "X40_skewed": "number", "x13": "number", "X56_reminder": "label"}
 
 
-def _p3_sql() -> str:
+def _p3_sql(columns: dict[str, str], numbers: dict[str, str] | None = None) -> str:
+    """columns: kind of each; numbers: how times and texts are read as numbers. A text shifts as a label, all its numbers being one."""
     parts = []
-    for c, kind in _P3_COLUMNS.items():
-        num = f"case when not {_lost(c, kind)} then {c} end" if kind == "number" else "null::double"
-        lab = f"case when not {_lost(c, kind)} then {c} end" if kind == "label" else "null::varchar"
-        parts.append(f"select load_id, '{c}' as column_name, {num} as num, {lab} as lab from encounters")
+    for c, kind in columns.items():
+        num = lab = word = "null"
+        if kind == "number":
+            num = f"case when not isnan({c}::double) then {c}::double end"
+        elif kind == "time":
+            num = numbers[c]
+        elif kind == "text":
+            num = f"case when not {_lost(c, 'label')} then {numbers[c]} end"
+            lab = f"case when not {_lost(c, 'label')} and ({num}) is null then {c} end"
+            word = f"case when ({num}) is not null then '0' else {lab} end"
+        else:
+            lab = word = f"case when not {_lost(c, 'label')} then {c} end"
+        parts.append(f"select load_id, '{c}' as column_name, ({num})::double as num, ({lab})::varchar as lab, ({word})::varchar as word from encounters")
     return f"""
 with cells as ({" union all ".join(parts)}),
 prof as (
   select e.load_id, e.column_name, count(*)::double as n_rows, count(num) + count(lab) as n,
     sum(case when num < s.min_value or num > s.max_value or (lab is not null and not list_contains(s.allowed, lab)) then 1 else 0 end)::double as broken,
     quantile_cont(num, 0.25) as q1, quantile_cont(num, 0.5) as med, quantile_cont(num, 0.75) as q3
-  from cells e join column_specs s using (column_name) where e.load_id is not null group by 1, 2),
+  from cells e left join column_specs s using (column_name) where e.load_id is not null group by 1, 2),
 nxt as (select a.load_id as prev_id, b.load_id from loads a join loads b on a.feed_id = b.feed_id and b.seq_no = a.seq_no + 1),
-shares as (select c.load_id, c.column_name, lab, count(*) / max(p.n)::double as share from cells c join prof p using (load_id, column_name) where lab is not null group by 1, 2, 3),
+shares as (select c.load_id, c.column_name, word, count(*) / max(p.n)::double as share from cells c join prof p using (load_id, column_name) where word is not null group by 1, 2, 3),
 diffs as (
-  select load_id, column_name, lab, sum(share) as d from (
-    select load_id, column_name, lab, share from shares
-    union all select nxt.load_id, column_name, lab, -share from shares join nxt on nxt.prev_id = shares.load_id) group by 1, 2, 3),
+  select load_id, column_name, word, sum(share) as d from (
+    select load_id, column_name, word, share from shares
+    union all select nxt.load_id, column_name, word, -share from shares join nxt on nxt.prev_id = shares.load_id) group by 1, 2, 3),
 shift as (select load_id, column_name, sum(abs(d)) / 2 as shift from diffs group by 1, 2),
 both_ as (
   select a.*, b.n as p_n, b.n_rows as p_rows, b.med as p_med, b.q3 - b.q1 as p_iqr, (b.load_id is not null) as has_prev, shift
@@ -253,7 +264,13 @@ both_ as (
   left join shift on shift.load_id = a.load_id and shift.column_name = a.column_name)
 select load_id, column_name, 'pattern' as finding from both_ where n > 0 and broken / n > 0.03
 union all select load_id, column_name, 'null_rate' from both_ where has_prev and abs((n_rows - n) / n_rows - (p_rows - p_n) / p_rows) > 0.15
-union all select load_id, column_name, 'distribution' from both_ where has_prev and n > 0 and p_n > 0 and (abs(med - p_med) > 0.6 * p_iqr or (column_name = 'X56_reminder' and shift > 0.2))"""
+union all select load_id, column_name, 'distribution' from both_ where has_prev and n > 0 and p_n > 0 and (abs(med - p_med) > 0.6 * p_iqr or shift > 0.2)"""
+
+
+def _changes_sql() -> str:
+    kinds = {"row_id": "number", "enc_id": "number", "clinic_id": "label", "appt_ts": "time", "checkin_ts": "time"} | {c: "text" if c in _AS_NUMBERS else "label" if _kind(c) == "string" else "number" for c in _NAMES}
+    numbers = {c: f"epoch_us({c}) / 1e6" for c in ("appt_ts", "checkin_ts")} | {c: sqltext.number(c) for c in ("X23_temperature", "X24_oxygen_sat")}
+    return _p3_sql(kinds, numbers)
 
 
 def _p5_sql() -> str:
@@ -290,4 +307,4 @@ def _p5_checked_sql() -> str:
     return " union all ".join(f"select '{c}' as column_name, count(*) as rows, count(*) filter ({_lost(c, k)}) as missing, count(*) filter ({_lost(c, k)}) as filled, true as observed_kept from encounters" for c, k in kinds)
 
 
-SQL = {"p1_found": _p1_sql(), "p1_records": _records_sql(), "p3_profile": _profile_sql(), "p3_after_correction": _profile_sql("(from encounters qualify enc_id is null or row_id = max(row_id) over (partition by enc_id))"), "p3_found": _p3_sql(), "p5_found": _p5_sql(), "p5_settled": _p5_settled_sql(), "p5_checked": _p5_checked_sql()}
+SQL = {"p1_found": _p1_sql(), "p1_records": _records_sql(), "p3_profile": _profile_sql(), "p3_after_correction": _profile_sql("(from encounters qualify enc_id is null or row_id = max(row_id) over (partition by enc_id))"), "p3_found": _p3_sql(_P3_COLUMNS), "p3_changes": _changes_sql(), "p5_found": _p5_sql(), "p5_settled": _p5_settled_sql(), "p5_checked": _p5_checked_sql()}

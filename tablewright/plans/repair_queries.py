@@ -84,7 +84,8 @@ def impute_report(spark: SparkSession, sf: str) -> DataFrame:
 def scaler_statistics(spark: SparkSession, sf: str) -> DataFrame:
     columns = [c for c in S.NUMERIC if c != "PAT_ID"]
     stats = scaler_stats(numeric_view(table(spark, sf, "encounters").select("row_id", *S.NUMERIC), "row_id", columns), columns)
-    rows = [(c, s.median, round(s.mean, 4) + 0.0, round(s.sd, 4), s.whole) for c, s in stats.items()]
+    # a mean of decimals may end in a 5: digits beyond those that a mean of this many rows can have are stable
+    rows = [(c, s.median, round(s.mean, 7) + 0.0, round(s.sd, 6), s.whole) for c, s in stats.items()]
     return spark.createDataFrame(rows, "column_name string, median double, mean double, sd double, whole boolean")
 
 
@@ -275,7 +276,7 @@ def _fallback_sql() -> str:
 def _stats_sql() -> str:
     cols = [c for c in S.NUMERIC if c != "PAT_ID"]
     return f"with {S.CLEAN}, med as (select " + ", ".join(f"quantile_cont({c}::double, 0.5) as {c}" for c in cols) + " from clean) " + S.union(
-        [f"select '{c}' as column_name, max(m.{c}) as median, round(avg(coalesce(clean.{c}::double, m.{c})), 4) + 0e0 as mean, round(stddev_pop(coalesce(clean.{c}::double, m.{c})), 4) as sd, coalesce(bool_and(clean.{c} = floor(clean.{c}::double)), false) as whole from clean, med m" for c in cols]
+        [f"select '{c}' as column_name, max(m.{c}) as median, round(avg(coalesce(clean.{c}::double, m.{c})), 7) + 0e0 as mean, round(stddev_pop(coalesce(clean.{c}::double, m.{c})), 6) as sd, coalesce(bool_and(clean.{c} = floor(clean.{c}::double)), false) as whole from clean, med m" for c in cols]
     )
 
 

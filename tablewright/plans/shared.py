@@ -76,6 +76,13 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """A scan (and nothing else, since its tasks are asked for) with fewer tasks than the cluster has cores, which only small
+    tables have, is spread out before costly work per row; `by`: rows that agree stay together."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *by) if df.rdd.getNumPartitions() < cores else df
+
+
 def over_groups(rows: DataFrame, keys: tuple[str, ...], schema: str, use: Callable[[pa.Table], pa.RecordBatch | list[tuple]], made: pa.Schema | None = None) -> DataFrame:
     """Run `use` (Arrow table of one key -> record batch) over the groups of integer keys without nulls, which come whole and
     one after another. A group must be of bounded size. With `made`, `use` gives rows, which are put together to batches."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
 import os
 import uuid
 
@@ -108,8 +110,9 @@ def commands(spark: SparkSession, sf: str) -> DataFrame:
         "profile": ["profile", "--save"], "correlate": ["correlate"], "impute": ["impute", "--output", f"{out}/filled.parquet", "--neighbors", "3"], "eda": ["eda", "--skip-tsne"],
         "importance": ["importance", "--target", "T", "--permutation-repeats", "1"], "validate with gaps": ["validate"], "importance without a target": ["importance", "--target", "none"],
     }
-    made = [(what, cli.main([*line, "--input", source, "--output-dir", out], spark)) for what, line in runs.items()]
-    made.append(("validate", cli.main(["validate", "--input", f"{out}/filled.parquet"], spark)))
+    with contextlib.redirect_stdout(io.StringIO()):
+        made = [(what, cli.main([*line, "--input", source, "--output-dir", out], spark)) for what, line in runs.items()]
+        made.append(("validate", cli.main(["validate", "--input", f"{out}/filled.parquet"], spark)))
     return spark.createDataFrame(made, "command string, code int")
 
 
