@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.functions.parse import as_number, label_missing, name
+from tablewright.plans import shared
 from tablewright.plans.shared import fits_broadcast, sized_join, written
 
 #: The largest change, in deviations of the column or in shares of a label, at which the rounds end; rounds at most.
@@ -102,10 +103,15 @@ def fill_missing(
     return Filled(rows.select(*out), reduce(DataFrame.unionByName, fills).withColumnRenamed("_key", key))
 
 
-def _met(rows: DataFrame, hubs: DataFrame, on: str | list[str]) -> DataFrame:
-    """Rows with what their hubs have. A large hub table is joined by shuffle; adaptive execution splits the tasks of frequent
+def _met(rows: DataFrame, hubs: DataFrame, on: str | list[str], fits: bool) -> DataFrame:
+    """Rows with what their hubs have; fits: whether the hub table may be broadcast. A large hub table is joined by shuffle; adaptive execution splits the tasks of frequent
     hubs, of which the table has one row (or one per label), so that no copies of it are needed."""
-    return rows.join(F.broadcast(hubs) if fits_broadcast(hubs) else hubs.hint("merge"), on, "left")
+    return rows.join(F.broadcast(hubs) if fits else hubs.hint("merge"), on, "left")
+
+
+def _fitting(counts: list, columns: int) -> set[int]:
+    """The edges whose hubs, so many rows of numbers, are below the limits of a broadcast."""
+    return {r.j for r in counts if r.hubs <= min(shared.MAX_BROADCAST_ROWS, shared.MAX_BROADCAST_BYTES // (8 * columns))}
 
 
 class _Numbers:
@@ -126,10 +132,15 @@ class _Numbers:
     def _anchored(self, base: DataFrame) -> DataFrame:
         """Rows with a gap, with the weighted sum (_a) and the weight (_w) of their hubs' averages, the strongest edge with
         observed values (_s), and per edge a hub without votes (_x) with the columns that it lacks as bits (_b)."""
+        links = F.filter(F.array(*(F.struct(F.lit(j).alias("j"), F.col(f"_h{j}").alias("h")) for j in range(len(self.edges)))), lambda x: x["h"].isNotNull())
+        each = base.select(*(v.alias(f"v{i}") for i, v in enumerate(self.votes)), *(F.col(f"_n{i}").alias(f"n{i}") for i in self.k), F.explode(links).alias("x"))
+        # combined before the shuffle: a hub of a third of the rows is one row per task there
+        hubs = written(each.groupBy("x.j", "x.h").agg(*(F.avg(f"v{i}").alias(f"m{i}") for i in self.k), *(F.count(f"n{i}").alias(f"o{i}") for i in self.k)), "hubs")
+        fits = _fitting(hubs.groupBy("j").agg(F.count(F.lit(1)).alias("hubs")).collect(), len(hubs.columns))
         rows = base.where(self.gap)
         for j in range(len(self.edges)):
-            votes = base.where(F.col(f"_h{j}").isNotNull()).groupBy(f"_h{j}").agg(*(F.avg(v).alias(f"_m{j}_{i}") for i, v in enumerate(self.votes)), *(F.count(f"_n{i}").alias(f"_o{j}_{i}") for i in self.k))
-            rows = _met(rows, written(votes, "hubs"), f"_h{j}")
+            own = hubs.where(F.col("j") == j).select(F.col("h").alias(f"_h{j}"), *(F.col(f"m{i}").alias(f"_m{j}_{i}") for i in self.k), *(F.col(f"o{i}").alias(f"_o{j}_{i}") for i in self.k))
+            rows = _met(rows, own, f"_h{j}", j in fits)
         out, ranked = {}, sorted(range(len(self.edges)), key=lambda j: -self.edges[j].weight)
         for i in self.k:
             means = [(F.col(f"_m{j}_{i}"), e.weight) for j, e in enumerate(self.edges)]
@@ -143,10 +154,10 @@ class _Numbers:
         kept = [c for c in base.columns if not c.startswith("_h")]
         return written(rows.select(*kept, *(v.alias(c) for c, v in out.items())), "anchored")
 
-    def _estimates(self, rows: DataFrame, given: dict[int, DataFrame]) -> tuple[DataFrame, list[Column]]:
+    def _estimates(self, rows: DataFrame, given: dict[int, tuple[DataFrame, bool]]) -> tuple[DataFrame, list[Column]]:
         """The value of each column, null where no hub gives one."""
-        for j, hubs in given.items():
-            rows = _met(rows, hubs.select(F.col("h").alias(f"_x{j}"), *(F.col(f"u{i}").alias(f"_u{j}_{i}") for i in self.k)), f"_x{j}")
+        for j, (hubs, fits) in given.items():
+            rows = _met(rows, hubs.select(F.col("h").alias(f"_x{j}"), *(F.col(f"u{i}").alias(f"_u{j}_{i}") for i in self.k)), f"_x{j}", fits)
         out = []
         for i in self.k:
             total, mass = F.col(f"_a{i}"), F.col(f"_w{i}")
@@ -157,10 +168,10 @@ class _Numbers:
             out.append(F.when(F.col(f"_n{i}").isNull() & (mass > 0), total / F.when(mass > 0, mass)))
         return rows, out
 
-    def _propagated(self, rows: DataFrame, held: list[int], tolerance: float, rounds: int) -> dict[int, DataFrame]:
-        """Per edge the values (h, u0, u1, ...) of hubs without votes."""
+    def _propagated(self, rows: DataFrame, held: list[int], tolerance: float, rounds: int) -> dict[int, tuple[DataFrame, bool]]:
+        """Per edge the values (h, u0, u1, ...) of hubs without votes, and whether they may be broadcast."""
         rows = rows.where(reduce(lambda a, b: a | b, (F.col(f"_x{j}").isNotNull() for j in held)))
-        given: dict[int, DataFrame] = {}
+        given: dict[int, tuple[DataFrame, bool]] = {}
         bit = lambda i: F.col("x.b").bitwiseAND(F.lit(1 << i)) > 0
         for _ in range(rounds):
             met, value = self._estimates(rows, given)
@@ -168,13 +179,15 @@ class _Numbers:
             links = F.array(*(F.struct(F.lit(j).alias("j"), F.col(f"_x{j}").alias("h"), F.col(f"_b{j}").alias("b"), *(before(j, i).alias(f"p{i}") for i in self.k)) for j in held))
             each = met.select(*(v.alias(f"v{i}") for i, v in enumerate(value)), F.explode(F.filter(links, lambda x: x["h"].isNotNull())).alias("x"))
             now = written(each.groupBy("x.j", "x.h").agg(*(F.avg(F.when(bit(i), F.col(f"v{i}"))).alias(f"u{i}") for i in self.k), *(F.max(f"x.p{i}").alias(f"p{i}") for i in self.k)), "empty_hubs")
-            given = {j: now.where(F.col("j") == j) for j in held}
             change = (F.when(F.col(f"u{i}").isNotNull(), F.coalesce(F.abs(F.col(f"u{i}") - F.col(f"p{i}")) / F.lit(self.spread[i] or 1.0), F.lit(float("inf")))) for i in self.k)
-            if max(x or 0.0 for x in now.agg(*map(F.max, change)).first()) <= tolerance:
+            per_edge = now.groupBy("j").agg(F.count(F.lit(1)).alias("hubs"), F.max(F.greatest(F.lit(0.0), *change)).alias("moved")).collect()
+            fits = _fitting(per_edge, len(now.columns))
+            given = {j: (now.where(F.col("j") == j), j in fits) for j in held}
+            if max(r.moved for r in per_edge) <= tolerance:
                 break
         return given
 
-    def _valued(self, rows: DataFrame, given: dict[int, DataFrame]) -> DataFrame:
+    def _valued(self, rows: DataFrame, given: dict[int, tuple[DataFrame, bool]]) -> DataFrame:
         rows, value = self._estimates(rows, given)
         out = {}
         for i in self.k:
@@ -196,7 +209,7 @@ def _labels(base: DataFrame, i: int, edges: list[Edge], tolerance: float, rounds
     shares = written(counts.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy(*hub))).drop("n"), "shares")
     gaps = base.where(label.isNull())
     spokes = gaps.select("_row", F.explode(links).alias("x")).select("_row", "x.j", "x.h")
-    met = written(_met(spokes, shares, hub), "spokes")
+    met = written(_met(spokes, shares, hub, fits_broadcast(shares)), "spokes")
     anchored = met.where("label IS NOT NULL").select("_row", "label", (weight * F.col("p")).alias("p"), weight.alias("w"))
     empty = met.where("label IS NULL").select("_row", *hub)
     every = anchored
