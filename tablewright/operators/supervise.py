@@ -54,12 +54,23 @@ def codes(df: DataFrame, column: str) -> DataFrame:
 
 
 def ordinal_encode(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Labels as codes (double) in sorted order; missing stays null; other columns, and their order, as they are."""
+    """Labels as codes (double) in sorted order; missing stays null; other columns, and their order, as they are.
+
+    The distinct labels of all columns of a type are numbered by one sort; a column's codes begin at its first label.
+    """
     out = df
-    for i, c in enumerate(columns):
-        book = written(codes(df, c), "codes")
-        right = book.select(F.col("value").alias(f"_v{i}"), F.col("code").cast("double").alias(f"_c{i}"))
-        out = out.join(F.broadcast(right) if fits_broadcast(book) else right, present(df, c).eqNullSafe(F.col(f"_v{i}")), "left").drop(f"_v{i}")
+    for kind in dict.fromkeys(df.schema[c].dataType.simpleString() for c in columns):
+        own = [i for i, c in enumerate(columns) if df.schema[c].dataType.simpleString() == kind]
+        cells = F.array(*(F.struct(F.lit(i).alias("pos"), present(df, columns[i]).alias("value")) for i in own))
+        labels = df.select(F.explode(cells).alias("label")).where("label.value IS NOT NULL").distinct()
+        numbered = numbered_in_order(labels, "label", "n").select("label.pos", "label.value", "n")
+        # one row per column
+        first = numbered.groupBy("pos").agg(F.min("n").alias("first"))
+        book = written(numbered.join(F.broadcast(first), "pos").select("pos", "value", (F.col("n") - F.col("first")).cast("double").alias("code")), "codes")
+        fits = fits_broadcast(book)
+        for i in own:
+            right = book.where(F.col("pos") == i).select(F.col("value").alias(f"_v{i}"), F.col("code").alias(f"_c{i}"))
+            out = out.join(F.broadcast(right) if fits else right, present(df, columns[i]).eqNullSafe(F.col(f"_v{i}")), "left").drop(f"_v{i}")
     place = {c: i for i, c in enumerate(columns)}
     return out.select(*((F.col(f"_c{place[c]}").alias(c) if c in place else name(c)) for c in df.columns))
 
