@@ -8,7 +8,6 @@ string up to the limit; array functions turn the matches into spans, look back f
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -66,7 +65,7 @@ def marks_column(spark, vocabulary: Vocabulary, above: int):
             texts = batch.to_pylist()
             ids = v.encode_batch(texts)
             rows = [break_letters(t, x, v.lengths) if len(x) > above else (None, (), ()) for t, x in zip(texts, ids)]
-            lists = lambda k: pa.ListArray.from_arrays(_offsets([r[k] for r in rows]), np.fromiter(chain.from_iterable(r[k] for r in rows), np.int32))  # noqa: B023, E731
+            lists = lambda k: pa.ListArray.from_arrays(_offsets([r[k] for r in rows]), np.concatenate([np.zeros(0, np.int32), *(r[k] for r in rows if r[0])]).astype(np.int32))  # noqa: B023, E731
             yield pa.StructArray.from_arrays(
                 [
                     pa.array(list(map(len, ids)), pa.int32()),
@@ -127,13 +126,15 @@ def split_documents(docs: DataFrame, key: str, text: str, vocabulary: Vocabulary
         start = F.when(i == 0, F.lit(0)).otherwise(span_start(F.col("letters"), F.get("stops", i - 1), overlap))
         return F.struct(i.cast("int").alias("piece"), start.alias("start_token"), stop.alias("end_token"))
 
-    def cut(p: Column) -> Column:
+    def cut(p: Column, raw: Column) -> Column:
         a, b = p["start_token"], p["end_token"]
         first = behind(F.col("bytes"), a)
         # bytes are reached directly, characters would be counted from the start of the text for every piece
-        text = F.substring("_raw", first + 1, behind(F.col("bytes"), b) - first).cast("string")
+        text = F.substring(raw, first + 1, behind(F.col("bytes"), b) - first).cast("string")
         return F.struct(p["piece"], a, b, behind(F.col("ends"), a).alias("start_char"), behind(F.col("ends"), b).alias("end_char"), text.alias("text"))
 
-    # a piece takes along its own span and text, and nothing of the whole text
-    cuts = stops.select(key, "n_tokens", F.transform(F.transform("stops", piece), cut).alias("_pieces")).select(key, F.col("n_tokens").alias("doc_tokens"), F.explode("_pieces").alias("p"))
+    # a piece takes along its own span and text, and nothing of the whole text; as the variable of an outer function the text is
+    # read once, as a column it would be copied out of its row for every piece
+    pieces = F.get(F.transform(F.array("_raw"), lambda raw: F.transform(F.transform("stops", piece), lambda p: cut(p, raw))), F.lit(0))
+    cuts = stops.select(key, "n_tokens", pieces.alias("_pieces")).select(key, F.col("n_tokens").alias("doc_tokens"), F.explode("_pieces").alias("p"))
     return cuts.select(key, "p.piece", "p.start_token", "p.end_token", "p.start_char", "p.end_char", (F.col("p.end_token") - F.col("p.start_token")).alias("n_tokens"), "doc_tokens", "p.text")
