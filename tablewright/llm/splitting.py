@@ -136,5 +136,6 @@ def split_documents(docs: DataFrame, key: str, text: str, vocabulary: Vocabulary
     # a piece takes along its own span and text, and nothing of the whole text; as the variable of an outer function the text is
     # read once, as a column it would be copied out of its row for every piece
     pieces = F.get(F.transform(F.array("_raw"), lambda raw: F.transform(F.transform("stops", piece), lambda p: cut(p, raw))), F.lit(0))
-    cuts = stops.select(key, "n_tokens", pieces.alias("_pieces")).select(key, F.col("n_tokens").alias("doc_tokens"), F.explode("_pieces").alias("p"))
+    # every text here has a piece; a plain explode would have its input's size asked for below, and all of this computed for that
+    cuts = stops.select(key, "n_tokens", pieces.alias("_pieces")).select(key, F.col("n_tokens").alias("doc_tokens"), F.explode_outer("_pieces").alias("p"))
     return cuts.select(key, "p.piece", "p.start_token", "p.end_token", "p.start_char", "p.end_char", (F.col("p.end_token") - F.col("p.start_token")).alias("n_tokens"), "doc_tokens", "p.text")
