@@ -87,7 +87,7 @@ def fill_missing(
     if numbers:
         part = _Numbers(base, numbers, edges, bounds or {}, tolerance, rounds)
         each = F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(f"_e{i}").alias("number"), F.col(f"_s{i}").alias("source"), F.col(f"_z{i}").alias("settled")) for i, c in enumerate(numbers)))
-        fills.append(part.filled.select("_key", F.explode(F.filter(each, lambda x: x["source"].isNotNull())).alias("f")).select("_key", "f.column_name", "f.number", F.lit(None).cast("string").alias("label"), "f.source", "f.settled"))
+        fills.append(part.filled.select("_key", F.explode(each).alias("f")).where("f.source IS NOT NULL").select("_key", "f.column_name", "f.number", F.lit(None).cast("string").alias("label"), "f.source", "f.settled"))
         shown = ["_row", "_key", *(f"_l{i}" for i in range(len(labels)))]
         whole = base.where(~part.gap).select(*shown, *(f"_n{i}" for i in part.k), *(F.lit(None).cast("string").alias(f"_s{i}") for i in part.k))
         rows = whole.unionByName(part.filled.select(*shown, *(F.coalesce(f"_n{i}", f"_e{i}").alias(f"_n{i}") for i in part.k), *(f"_s{i}" for i in part.k)))
@@ -109,6 +109,12 @@ def _met(rows: DataFrame, hubs: DataFrame, on: str | list[str], fits: bool) -> D
     return rows.join(F.broadcast(hubs) if fits else hubs.hint("merge"), on, "left")
 
 
+def _links(edges: range) -> Column:
+    """A row's hubs, (j, h) each. It is exploded whole and then filtered: of a filtered array the size would be asked for first,
+    in a filter of its own."""
+    return F.array(*(F.struct(F.lit(j).alias("j"), F.col(f"_h{j}").alias("h")) for j in edges))
+
+
 def _fitting(counts: list, columns: int) -> set[int]:
     """The edges whose hubs, so many rows of numbers, are below the limits of a broadcast."""
     return {r.j for r in counts if r.hubs <= min(shared.MAX_BROADCAST_ROWS, shared.MAX_BROADCAST_BYTES // (8 * columns))}
@@ -132,8 +138,7 @@ class _Numbers:
     def _anchored(self, base: DataFrame) -> DataFrame:
         """Rows with a gap, with the weighted sum (_a) and the weight (_w) of their hubs' averages, the strongest edge with
         observed values (_s), and per edge a hub without votes (_x) with the columns that it lacks as bits (_b)."""
-        links = F.filter(F.array(*(F.struct(F.lit(j).alias("j"), F.col(f"_h{j}").alias("h")) for j in range(len(self.edges)))), lambda x: x["h"].isNotNull())
-        each = base.select(*(v.alias(f"v{i}") for i, v in enumerate(self.votes)), *(F.col(f"_n{i}").alias(f"n{i}") for i in self.k), F.explode(links).alias("x"))
+        each = base.select(*(v.alias(f"v{i}") for i, v in enumerate(self.votes)), *(F.col(f"_n{i}").alias(f"n{i}") for i in self.k), F.explode(_links(range(len(self.edges)))).alias("x")).where("x.h IS NOT NULL")
         # combined before the shuffle: a hub of a third of the rows is one row per task there
         hubs = written(each.groupBy("x.j", "x.h").agg(*(F.avg(f"v{i}").alias(f"m{i}") for i in self.k), *(F.count(f"n{i}").alias(f"o{i}") for i in self.k)), "hubs")
         fits = _fitting(hubs.groupBy("j").agg(F.count(F.lit(1)).alias("hubs")).collect(), len(hubs.columns))
@@ -177,7 +182,7 @@ class _Numbers:
             met, value = self._estimates(rows, given)
             before = lambda j, i: F.col(f"_u{j}_{i}") if given else F.lit(None).cast("double")  # noqa: B023, E731
             links = F.array(*(F.struct(F.lit(j).alias("j"), F.col(f"_x{j}").alias("h"), F.col(f"_b{j}").alias("b"), *(before(j, i).alias(f"p{i}") for i in self.k)) for j in held))
-            each = met.select(*(v.alias(f"v{i}") for i, v in enumerate(value)), F.explode(F.filter(links, lambda x: x["h"].isNotNull())).alias("x"))
+            each = met.select(*(v.alias(f"v{i}") for i, v in enumerate(value)), F.explode(links).alias("x")).where("x.h IS NOT NULL")
             now = written(each.groupBy("x.j", "x.h").agg(*(F.avg(F.when(bit(i), F.col(f"v{i}"))).alias(f"u{i}") for i in self.k), *(F.max(f"x.p{i}").alias(f"p{i}") for i in self.k)), "empty_hubs")
             change = (F.when(F.col(f"u{i}").isNotNull(), F.coalesce(F.abs(F.col(f"u{i}") - F.col(f"p{i}")) / F.lit(self.spread[i] or 1.0), F.lit(float("inf")))) for i in self.k)
             per_edge = now.groupBy("j").agg(F.count(F.lit(1)).alias("hubs"), F.max(F.greatest(F.lit(0.0), *change)).alias("moved")).collect()
@@ -201,14 +206,14 @@ class _Numbers:
 
 def _labels(base: DataFrame, i: int, edges: list[Edge], tolerance: float, rounds: int) -> DataFrame:
     """(_row, _key, label, source, settled) of the rows whose label i is missing; shares travel as (hub, label, share) rows."""
-    links = F.filter(F.array(*(F.struct(F.lit(j).alias("j"), F.col(f"_h{j}").alias("h")) for j in range(len(edges)))), lambda x: x["h"].isNotNull())
+    links = _links(range(len(edges)))
     weight = F.element_at(F.array(*(F.lit(float(e.weight)) for e in edges)), F.col("j") + 1)
     label, hub = F.col(f"_l{i}"), ["j", "h"]
-    counts = base.where(label.isNotNull()).select(F.explode(links).alias("x"), label.alias("label")).groupBy("x.j", "x.h", "label").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    counts = base.where(label.isNotNull()).select(F.explode(links).alias("x"), label.alias("label")).where("x.h IS NOT NULL").groupBy("x.j", "x.h", "label").agg(F.count(F.lit(1)).cast("double").alias("n"))
     # a hub's labels, each once
     shares = written(counts.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy(*hub))).drop("n"), "shares")
     gaps = base.where(label.isNull())
-    spokes = gaps.select("_row", F.explode(links).alias("x")).select("_row", "x.j", "x.h")
+    spokes = gaps.select("_row", F.explode(links).alias("x")).where("x.h IS NOT NULL").select("_row", "x.j", "x.h")
     met = written(_met(spokes, shares, hub, fits_broadcast(shares)), "spokes")
     anchored = met.where("label IS NOT NULL").select("_row", "label", (weight * F.col("p")).alias("p"), weight.alias("w"))
     empty = met.where("label IS NULL").select("_row", *hub)
