@@ -147,6 +147,7 @@ SQL = {
     "csv_text": "select row_id, " + ", ".join(f"case when {c} not in {S.TOKENS} and {c} not in {_CSV_LOST} then {c} end as {c}" for c in ("X51_visit_type", "X57_payment")) + " from encounters",
     "tsv_source": "select n_nationkey::bigint as n_nationkey, n_name, n_regionkey::bigint as n_regionkey from nation",
     "load_with_roles": f"select column_name, role from ({T.SQL['classify_columns']})",
+    "generated_sample": f"select column_name, role from ({T.SQL['classify_columns']})",
     "heatmap_marks": f"select feature_2 as row_feature, feature_1 as column_feature, correlation, true as named from ({T.VITAL_PAIRS})",
     "row_keys": "select count(*) as n, 0::bigint as low, count(*) - 1 as high, count(*) as n_keys from encounters",
     "stream_profile": _profile_sql(),
