@@ -240,3 +240,47 @@ def test_other_ways_of_filling(spark):
     assert made.same_rows(df) and made.frame.where("a IS NULL").count() == 0
     with pytest.raises(ValueError, match="lost or moved"):
         I.impute(df, "k", way=Loser)
+
+
+def shuffled(spark):
+    """Records that all stages so far have written to shuffles."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._gateway.jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_donors_are_not_copied_for_each_slice(spark, monkeypatch):
+    monkeypatch.setattr(I, "SLICE", 9)
+    monkeypatch.setattr(I, "BLOCK", 16)
+    x = gappy(300)
+    view = I.numeric_view(frame(spark, x), "k", list("abcd")).localCheckpoint()
+    stats = I.scaler_stats(view, list("abcd"))
+    before = shuffled(spark)
+    assert I.neighbour_fills(view, list("abcd"), stats, 4, "distance").count() == np.isnan(x[~np.isnan(x).all(1)]).sum()
+    # each row once to its cell, and the rows with gaps to their slices, in pieces
+    assert shuffled(spark) - before < 3 * len(x)
+
+
+@pytest.mark.parametrize("weights", ["distance", "uniform"])
+def test_rows_of_one_key_share_their_donors(spark, monkeypatch, weights):
+    monkeypatch.setattr(I, "BLOCK", 16)
+    x = gappy(60, 3)
+    # two rows of key 1 lack a; each has near donors of its own
+    x[1], x[0] = [np.nan, 0.5, 20.0, 1.0], [np.nan, 150.0, -3e3, 2.0]
+    keys = [1, 1, *range(2, 60)]
+    df = spark.createDataFrame([(k, *(None if v != v else float(v) for v in r)) for k, r in zip(keys, x)], "k long, a double, b double, c double, d double")
+    med = np.nanmedian(x, 0)
+    full = np.where(np.isnan(x), med, x)
+    z = (x - full.mean(0)) / full.std(0)
+    near = []
+    for i in (0, 1):
+        for j in range(2, 60):
+            both = ~np.isnan(z[i]) & ~np.isnan(z[j])
+            if both.any() and not np.isnan(x[j, 0]):
+                near.append((np.sqrt(((z[i, both] - z[j, both]) ** 2).sum() * 4 / both.sum()), j))
+    d, j = np.array(sorted(near)[:4]).T
+    w = np.ones(4) if weights == "uniform" else 1 / d
+    want = (w * x[j.astype(int), 0]).sum() / w.sum()
+    got = I.impute(df, "k", ImputationConfig(4, weights), ROLES).frame.where("k = 1").collect()
+    assert [r.a for r in got] == pytest.approx([want, want])
