@@ -158,3 +158,34 @@ def test_other_ways_of_ranking_and_permutation_over_all_rows(spark):
     got = {r.feature: r for r in made.rankings.collect()}
     assert got["signal"].length == 6.0 and got["signal"].permutation > 0.2 and abs(got["noise"].permutation) < 0.05
     assert list(made.failures) == ["broken"] and made.metrics["accuracy"] > 0.95
+
+
+TREES = [
+    (0.5, (0, 0.5, (1, 0.0, (1.0, 10.0), (5.0, 30.0), 40.0), (2, 1.0, (0, 2.0, (2.0, 20.0), (8.0, 15.0), 35.0), (-4.0, 25.0), 60.0), 100.0)),
+    (2.0, (3, -1.0, (0.5, 60.0), (0, 1.25, (3.0, 20.0), (7.0, 20.0), 40.0), 100.0)), (1.0, (4.0, 100.0)),
+]
+
+
+def test_many_rows_are_explained_at_once():
+    x = np.round(np.random.default_rng(3).normal(size=(50, 4)) * 2) / 2
+    together = np.zeros(x.shape)
+    for w, tree in TREES:
+        M._tree_shap(tree, x, together, w)
+    alone = np.zeros(x.shape)
+    for row, phi in zip(x, alone):
+        for w, tree in TREES:
+            M._tree_shap(tree, row, phi, w)
+    assert together == pytest.approx(alone) and np.abs(together).sum() > 1
+
+
+def test_trees_say_the_same_of_codes():
+    def value(node, x):
+        return node[0] if len(node) == 2 else value(node[2] if x[node[0]] <= node[1] else node[3], x)
+
+    x = np.round(np.random.default_rng(4).normal(size=(200, 4)) * 4) / 4
+    x[:5, 0], x[5:9, 1] = M.SENTINEL, np.nan
+    (trees,), cuts = M._on_codes([TREES])
+    codes = [np.searchsorted(at, x[:, c]).astype(M._code_type(cuts)) for c, at in cuts.items()]
+    assert list(cuts) == [0, 1, 2, 3] and cuts[0].tolist() == [0.5, 1.25, 2.0]
+    for (_, plain), (_, coded) in zip(TREES, trees):
+        assert np.broadcast_to(M._tree_values(coded, codes), 200).tolist() == [value(plain, r) for r in x]
