@@ -284,3 +284,37 @@ def test_rows_of_one_key_share_their_donors(spark, monkeypatch, weights):
     want = (w * x[j.astype(int), 0]).sum() / w.sum()
     got = I.impute(df, "k", ImputationConfig(4, weights), ROLES).frame.where("k = 1").collect()
     assert [r.a for r in got] == pytest.approx([want, want])
+
+
+def flagged(n, seed=1):
+    """Twelve flags, four columns without gaps that one number drives, and one that most rows lack."""
+    rng = np.random.default_rng(seed)
+    x = np.hstack([rng.random((n, 12)) < 0.5, rng.normal(size=(n, 1)) + rng.normal(size=(n, 4)) / 5, rng.normal(size=(n, 1))]).astype(float)
+    x[:, :12][rng.random((n, 12)) < 0.03] = np.nan
+    x[rng.random(n) < 0.7, 16] = np.nan
+    return x
+
+
+def test_flags_and_driven_columns_match_brute_force(spark, monkeypatch):
+    for at, size in (("SLICE", 40), ("BLOCK", 16), ("LEAF", 12)):
+        monkeypatch.setattr(I, at, size)
+    x, names = flagged(260), [f"c{i}" for i in range(17)]
+    df = spark.createDataFrame([(i, *(None if v != v else float(v) for v in r)) for i, r in enumerate(x)], "k long, " + ", ".join(f"{c} double" for c in names))
+    view = I.numeric_view(df, "k", names).localCheckpoint()
+    got = I.neighbour_fills(view, names, I.scaler_stats(view, names), 4, "distance").collect()
+    want = brute(x, 4, "distance")
+    assert len(got) == np.isnan(x).sum()
+    assert [r.value for r in got] == pytest.approx([want[r._key, r.pos] for r in got])
+
+
+def test_few_pairs_are_compared():
+    x = flagged(12_000)
+    full = np.where(np.isnan(x), np.nanmedian(x, 0), x)
+    scale = I.Scale(full.mean(0), full.std(0), np.ones(17, bool))
+    cells = I.Cells.of(x, scale, len(x), 1)
+    c = cells.place(x, scale)
+    order = np.argsort(c, kind="stable")
+    block = I._Block(c[order], order, x[order].T.copy(), scale, cells, I.BLOCK)
+    held = I._Receivers(block, scale, cells, 20)
+    held.offer(block)
+    assert held.compared < 0.5 * len(held.keys) * len(x)
